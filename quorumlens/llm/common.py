@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six characters that separate words: space, tab, newline, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -64,3 +67,20 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_python(df: DataFrame, source: str, fn: Callable[[list], list[pa.Array]], fields: list[T.StructField], drop: tuple = ()) -> DataFrame:
+    """df without the columns `drop`, plus `fields`: what fn makes of each Arrow batch's `source` values.
+
+    The other columns pass through as Arrow buffers, so that no type or null changes on the way."""
+    kept = [c for c in df.columns if c not in drop]
+    schema = T.StructType([df.schema[c] for c in kept] + fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            new = fn(batch.column(names.index(source)).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + new, kept + [f.name for f in fields])
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -19,15 +19,14 @@ ignored by `near_duplicates` and kept by `one_of_each`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import drop_stored, small_batches, stored, text_of
+from .common import drop_stored, stored, text_of, with_python
 
 SHINGLE = 3
 BUCKET = 64
@@ -49,14 +48,12 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, fp: the fingerprint as a signed long) of every row."""
-    small_batches(documents.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+    def run(texts: list) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return with_python(rows, "text", run, [T.StructField("fp", T.LongType())], drop=("text",))
 
 
 def _segments(fp: Column) -> Column:
