@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, quality_rules, sharding, simhash
+from . import langid, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash
 from .common import table
 
 SHARDS = 40
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,14 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    vocabulary = sentencepiece.load(spark, model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = sentencepiece.decode(sentencepiece.encode(docs, vocabulary), vocabulary)
+    spaces = F.replace(F.col("text"), F.lit(sentencepiece.SPACE), F.lit(" "))
+    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), "n_corrected", F.col("decoded").eqNullSafe(spaces).alias("round_trip"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"), weights=[1.0] * SHARDS, grown_weight=1.0)
 
@@ -51,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op8_langid": op8_langid,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
 }
 
