@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash
+from . import ann, langid, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash
 from .common import table
 
 SHARDS = 40
@@ -35,6 +35,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.held_out(F.col("doc_id"))
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op6_ann": op6_ann,
     "op8_langid": op8_langid,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
