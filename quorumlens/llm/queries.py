@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash
+from . import ann, langid, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 40
@@ -35,6 +35,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op8_langid": op8_langid,
     "op9_sentencepiece": op9_sentencepiece,
