@@ -37,6 +37,15 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def once(value: Column) -> Column:
+    """value, evaluated where it stands.
+
+    Filters, also those that Spark derives from explode, are pushed below a projection with its expressions put in
+    place of its columns; inside a lambda such an expression is evaluated for every element.  One that reads the
+    partition's number isn't moved."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"

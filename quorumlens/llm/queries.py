@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
+from . import ann, langid, licenses, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 40
@@ -45,6 +45,10 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.held_out(F.col("doc_id"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
+    "op7_licenses": op7_licenses,
     "op8_langid": op8_langid,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
