@@ -172,7 +172,8 @@ class LineIndex:
         frequent = stored(self.references().where(F.col("refs") >= min_docs).select("k1", "k2"), "frequent")
         hits = document_keys(docs).join(frequent, ["k1", "k2"])
         drops = stored(hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("k1").alias("__a"), F.collect_set("k2").alias("__b")), "drops")
-        joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        # merged at every size: a broadcast of the small case would only hide that texts are shuffled once
+        joined = docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
         lines = joined.withColumn("__lines", F.split(text_of(), "\n", -1))
 
         def stays(line: Column) -> Column:
