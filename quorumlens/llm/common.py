@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def smallest_hashes(df: DataFrame, group: str, hash_col: str, most: int, salts: int = 64) -> DataFrame:
+    """The rows of the `most` smallest hashes of each group: first of each of `salts` parts of a group, then of those.
+
+    No task ranks more than salts * most rows of a group in the second step, nor a whole group in the first."""
+    part = F.pmod(F.col(hash_col), F.lit(salts))
+    first = df.withColumn("__r", F.row_number().over(Window.partitionBy(group, part).orderBy(hash_col))).where(F.col("__r") <= most)
+    return first.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(hash_col))).where(F.col("__r") <= most).drop("__r")
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove the files of a table that stored() wrote and that no later plan reads."""
     spark = df.sparkSession

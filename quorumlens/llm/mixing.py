@@ -73,49 +73,70 @@ def with_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def mix_plan(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
+def keyed(documents: DataFrame, seed: int) -> DataFrame:
+    """documents with __source, __size, __key (the smaller the sooner taken) and __bucket."""
     text = text_of()
-    e = -F.log(draw(F.col("doc_id"), seed)) / F.col("__quality")
-    rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"), quality(text).alias("__quality"))
-    rows = rows.withColumn("key", e).withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int"))
-    rows = stored(rows.drop("__quality"), "keys")
-    sums = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
+    key = -F.log(draw(F.col("doc_id"), seed)) / quality(text)
+    rows = documents.withColumn("__source", F.col("source").cast("string")).withColumn("__size", word_count(text)).withColumn("__key", key)
+    return rows.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("__key"))) * BUCKETS)).cast("int"))
+
+
+def cuts(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """One row a source: name, source_size, target, epochs, budget, cut (the bucket in which the budget ends; BUCKETS:
+    none) and before (words of the buckets before it).  rows: __source, __size, __bucket of every document."""
+    sums = stored(rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("words")), "sums")
     sources = with_targets(ranked_sources(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights), share, most)
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    sources = stored(sources.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")).withColumnRenamed("source", "__source"), "targets")
-    same = F.col("source").eqNullSafe(F.col("__source"))
-    earlier = Window.partitionBy("__source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    reached = sums.join(sources, same).withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-    cut = reached.where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget")))
-    cuts = cut.select(F.col("__source").alias("__cut_source"), F.col("bucket").alias("cut"), "before")
-    plan = stored(sources.join(cuts, F.col("__source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source"), "plan")
-    joined = rows.join(plan, same)
-    cut_at = F.coalesce("cut", F.lit(BUCKETS))
-    whole = joined.where(F.col("bucket") != cut_at).withColumn("part", F.when(F.col("bucket") < cut_at, F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sorted_ = joined.where(F.col("bucket") == F.col("cut")).withColumn("prior", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    sorted_ = sorted_.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("prior"))))
-    names = ["doc_id", "source", "size", "source_size", "target", "epochs", "part"]
-    out = whole.select(*names).unionByName(sorted_.select(*names))
+    sources = sources.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    sources = stored(sources.withColumnRenamed("source", "name"), "targets")
+    earlier = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reached = sums.join(sources, F.col("source").eqNullSafe(F.col("name"))).withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    ends = reached.where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget")))
+    ends = ends.select(F.col("name").alias("__name"), F.col("bucket").alias("cut"), "before")
+    joined = sources.join(ends, F.col("name").eqNullSafe(F.col("__name")), "left").drop("__name")
+    return stored(joined.withColumn("cut", F.coalesce("cut", F.lit(BUCKETS))), "plan")
+
+
+def parts(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows in the bucket in which their source's budget ends, with part: the words taken of each beyond epochs."""
+    last = rows.join(plan, F.col("__source").eqNullSafe(F.col("name"))).where(F.col("__bucket") == F.col("cut"))
+    order = Window.partitionBy("__source").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    prior = F.col("before") + F.coalesce(F.sum("__size").over(order), F.lit(0))
+    return last.withColumn("part", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("budget") - prior)))
+
+
+def mix_plan(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
+    rows = stored(keyed(documents, seed).select("doc_id", "__source", "__size", "__key", "__bucket"), "keys")
+    plan = cuts(rows, weights, share, most)
+    rest = rows.join(plan, F.col("__source").eqNullSafe(F.col("name"))).where(F.col("__bucket") != F.col("cut"))
+    whole = rest.withColumn("part", F.when(F.col("__bucket") < F.col("cut"), F.col("__size")).otherwise(F.lit(0)))
+    names = ["doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", "epochs", "part"]
+    out = whole.select(*names).unionByName(parts(rows, plan).select(*names))
     return out.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
 
 
-def mix(documents: DataFrame, **parameters) -> DataFrame:
+def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
     """The mixed documents themselves: a row per epoch, and one with the first `part` words where the budget ends in it.
 
-    Rows are matched to their plan by (doc_id, source, size) and, among equal ones, by number of rows: those differ in
-    nothing that the plan depends on, so the plan's total is dealt out over them as a sum."""
-    plan = mix_plan(documents, **parameters)
-    key = ["doc_id", "source", "size"]
-    per = plan.groupBy(*key).agg(F.max("epochs").alias("__epochs"), F.max("part").alias("__part_max"), F.sum("part").alias("__part"))
-    per = per.select(*[F.col(k).alias(f"__{k}") for k in key], "__epochs", "__part", "__part_max")
-    docs = documents.withColumn("__words", word_count(text_of()))
-    joined = docs.join(per, docs["doc_id"].eqNullSafe(per["__doc_id"]) & docs["source"].cast("string").eqNullSafe(per["__source"]) & (docs["__words"] == per["__size"]))
-    copies = F.when(F.col("__epochs") > 0, F.array_repeat(F.col("__words"), F.col("__epochs").cast("int"))).otherwise(F.array().cast("array<bigint>"))
-    copies = F.concat(copies, F.when(F.col("__part_max") > 0, F.array(F.col("__part_max"))).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("__take", F.explode(copies))
-    return rows.withColumn("text", F.when(F.col("__take") < F.col("__words"), first_words(text_of(), F.col("__take"))).otherwise(F.col("text"))).select(*documents.columns)
+    Texts aren't shuffled but for those in the buckets in which budgets end; equal (doc_id, source, size) among these
+    get the parts of their number in the plan."""
+    docs = keyed(documents, seed)
+    rows = stored(docs.select("doc_id", "__source", "__size", "__key", "__bucket"), "keys")
+    plan = cuts(rows, weights, share, most)
+    placed = docs.join(plan.select("name", "epochs", "cut"), F.col("__source").eqNullSafe(F.col("name")))
+    kept = [*[F.col(c) for c in documents.columns], "__size", "epochs"]
+    whole = placed.where(F.col("__bucket") != F.col("cut")).select(*kept, F.when(F.col("__bucket") < F.col("cut"), F.col("__size")).otherwise(F.lit(0)).alias("part"))
+    key = ["doc_id", "__source", "__size"]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("__key"))
+    ends = parts(rows, plan).withColumn("__n", number).select(*[F.col(k).alias(f"__of{k}") for k in key], F.col("__n").alias("__of_n"), "part")
+    same = [F.col(k).eqNullSafe(F.col(f"__of{k}")) for k in key] + [F.col("__n") == F.col("__of_n")]
+    cut = placed.where(F.col("__bucket") == F.col("cut")).withColumn("__n", number).join(stored(ends, "ends"), same).select(*kept, "part")
+    rows = whole.unionByName(cut)
+    none = F.array().cast("array<bigint>")
+    copies = F.when(F.col("epochs") > 0, F.array_repeat(F.col("__size"), F.col("epochs").cast("int"))).otherwise(none)
+    taken = rows.withColumn("__take", F.explode(F.concat(copies, F.when(F.col("part") > 0, F.array(F.col("part").cast("long"))).otherwise(none))))
+    return taken.withColumn("text", F.when(F.col("__take") < F.col("__size"), first_words(text_of(), F.col("__take"))).otherwise(F.col("text"))).select(*documents.columns)
 
 
 def first_words(text: Column, n: Column) -> Column:

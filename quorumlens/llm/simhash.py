@@ -128,6 +128,7 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """documents without those of a component but the one whose doc_id names it (of repeated rows of it, one)."""
     found = stored(near_duplicates(documents), "found")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = documents.join(stored(stay, "stay"), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    # merged at every size, as a broadcast of the small case would hide that texts are shuffled once
+    kept = documents.join(stored(stay, "stay").hint("merge"), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     total, distinct = found.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
     return kept if total == distinct else kept.dropDuplicates(["doc_id"])
