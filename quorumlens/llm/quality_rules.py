@@ -31,17 +31,16 @@ def window_hashes(words: Column, size: int = WINDOW) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def repeated_words(hashes: Column, size: int = WINDOW) -> Column:
+def repeated_words(pairs: str, size: int = WINDOW) -> Column:
     """Words inside windows whose hash occurs twice or more, first occurrences included.
 
-    Sorting (hash, position) puts equal windows side by side; covered words are then summed in order of position,
-    each counted once."""
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = lambda p, i, step: F.get(pairs, i + step)["h"] == p["h"]
-    places = F.filter(F.transform(pairs, lambda p, i: F.when(F.coalesce(same(p, i, 1), F.lit(False)) | F.coalesce(same(p, i, -1), F.lit(False)), p["i"]).otherwise(F.lit(-1))), lambda i: i >= 0)
+    pairs names a column of sorted structs (h: hash, i: position): equal windows are side by side.  Covered words are
+    summed in order of position, each counted once.  A column, not an expression: lambdas evaluate theirs each time."""
+    hash_at = lambda i: F.get(F.col(pairs), i)["h"]
+    twin = F.transform(pairs, lambda p, i: F.when(p["h"].eqNullSafe(hash_at(i + 1)) | p["h"].eqNullSafe(hash_at(i - 1)), p["i"]).otherwise(F.lit(-1)))
+    places = F.sort_array(F.filter(twin, lambda i: i >= 0))
     start = F.struct(F.lit(-size).alias("at"), F.lit(0).cast("long").alias("n"))
-    total = F.aggregate(F.sort_array(places), start, lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(size), i - a["at"])).alias("n")), lambda a: a["n"])
-    return total
+    return F.aggregate(places, start, lambda a, i: F.struct(i.alias("at"), (a["n"] + F.least(F.lit(size), i - a["at"])).alias("n")), lambda a: a["n"])
 
 
 def base_rules(documents: DataFrame) -> DataFrame:
@@ -52,7 +51,9 @@ def base_rules(documents: DataFrame) -> DataFrame:
     rows = rows.withColumn("version", F.xxhash64("source", "t"))
     rows = rows.withColumn("words", F.regexp_extract_all("t", F.lit(WORD), 0)).withColumn("bare", bare).withColumn("lines", lines)
     rows = rows.withColumn("hashes", window_hashes(F.col("words")))
-    n_repeat = F.when(F.size(F.array_distinct("hashes")) == F.size("hashes"), F.lit(0).cast("long")).otherwise(repeated_words(F.col("hashes")))
+    pairs = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("pairs", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), pairs))
+    n_repeat = F.when(F.col("pairs").isNull(), F.lit(0).cast("long")).otherwise(repeated_words("pairs"))
     rows = rows.select(
         "doc_id", "source", "version",
         F.size("words").cast("long").alias("n_words"),
