@@ -46,6 +46,7 @@ def axes(vectors: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray
     """[vector, table, probe]: numbers of the nearest signed axes, nearest first."""
     n, d = vectors.shape
     wide = 1 << max(1, int(np.ceil(np.log2(max(2, d)))))
+    probes = min(probes, 2 * wide)
     padded = np.zeros((n, wide))
     padded[:, :d] = vectors
     out = np.empty((n, tables, probes), np.int32)
@@ -61,9 +62,10 @@ def axes(vectors: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray
 def _with_cells(df: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
     def run(vectors: list) -> list[pa.Array]:
         cells = axes(np.array(vectors, np.float64), tables, probes, seed) if vectors else np.zeros((0, tables, probes), np.int32)
+        probes_made = cells.shape[2]
         cells = cells + (np.arange(tables, dtype=np.int32) << 20)[None, :, None]
         flat = pa.array(cells.reshape(-1).astype(np.int32))
-        return [pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables * probes), flat)]
+        return [pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * tables * probes_made), flat)]
 
     return with_python(df, "v", run, [T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
