@@ -17,9 +17,11 @@ n_corrected, decoded are replaced if there, other columns are kept.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 500_000
 LONG = 256
+STARTS = 18
 NONE = -np.inf
 
 
@@ -74,6 +77,7 @@ class Vocabulary:
     UNIGRAM, BPE = 1, 2
 
     def __init__(self, blob: bytes):
+        self.digest = hashlib.sha256(blob).hexdigest()
         self.pieces, scores, kinds, self.model_type, self.dummy_prefix = [], [], [], self.UNIGRAM, True
         for number, value in _fields(blob):
             if number == 1:
@@ -106,6 +110,8 @@ class Vocabulary:
         self.key_scores = np.array([scores[i] for i in usable])[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        self.starts = np.zeros(1 << STARTS, bool)  # beginnings of the keys: most substrings need no search
+        self.starts[self.keys >> np.uint64(64 - STARTS)] = True
         self.known = {self.pieces[i]: (scores[i], i) for i in usable}
         self.unknown_score = min(scores[i] for i in usable) - 10.0
         self.raw = [p.encode().replace(SPACE.encode(), b" ") for p in self.pieces]
@@ -127,10 +133,13 @@ class Vocabulary:
         hashes = np.zeros((n, size), np.uint64)
         for k in range(1, most + 1):
             hashes = _substring_hash(hashes[:, : size - k + 1], codes[:, k - 1 :])
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            hit = self.keys[at] == hashes
-            scores[:, : size - k + 1, k] = np.where(hit, self.key_scores[at], NONE)
-            ids[:, : size - k + 1, k] = np.where(hit, self.key_ids[at], -1)
+            row, start = np.nonzero(self.starts[hashes >> np.uint64(64 - STARTS)])
+            wanted = hashes[row, start]
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[at] == wanted
+            row, start, at = row[hit], start[hit], at[hit]
+            scores[row, start, k] = self.key_scores[at]
+            ids[row, start, k] = self.key_ids[at]
         return scores, ids
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
@@ -201,41 +210,34 @@ class Vocabulary:
                 offer(left[i])
         return [x for p in parts if p for x in ([self.known[p][1]] if p in self.known else self.fallback(p))]
 
-    def encode_segments(self, segments: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        """ids of each segment, and 1 for those whose best path differs from the merge order of a BPE model."""
-        out: list = [None] * len(segments)
-        corrected = [0] * len(segments)
-        groups: dict[int, list[int]] = {}
-        for i, s in enumerate(segments):
-            groups.setdefault(len(s), []).append(i)
+    def encode_segments(self, segments: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of equal length: (segments, numbers of ids, all their ids, 1 where a BPE model's merge order differed)."""
+        groups: dict[int, list[str]] = {}
+        for s in segments:
+            groups.setdefault(len(s), []).append(s)
         for size, members in groups.items():
             step = max(1, 65_536 // size)
             for at in range(0, len(members), step):
                 part = members[at : at + step]
-                codes = np.frombuffer("".join(segments[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(np.uint64)
+                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(np.uint64)
                 scores, ids = self.lattice(codes)
-                nexts = self.viterbi(scores)
+                nexts, corrected = self.viterbi(scores), np.zeros(len(part), np.int64)
                 if self.model_type == self.BPE and size <= LONG:
                     checked = self.merged(scores)
-                    for i, x in zip(part, (checked != nexts).any(1).tolist(), strict=True):
-                        corrected[i] = int(x)
-                    nexts = checked
+                    nexts, corrected = checked, (checked != nexts).any(1).astype(np.int64)
                 row, start = np.nonzero(nexts)
                 found = ids[row, start, nexts[row, start] - start]
-                ends = np.searchsorted(row, np.arange(len(part)), "right").tolist()
-                holes = set(row[found < 0].tolist())
-                begin = 0
-                for k, (i, end) in enumerate(zip(part, ends, strict=True)):
-                    own = found[begin:end]
-                    if self.model_type == self.BPE and size > LONG:
-                        by_path, own = own, np.array(self.merged_long(segments[i]), np.int32)
-                        corrected[i] = int(len(by_path) != len(own) or bool((by_path != own).any()))
-                    elif k in holes:
-                        chars = segments[i]
-                        own = np.array([x for s, v in zip(start[begin:end].tolist(), own.tolist(), strict=True) for x in ([v] if v >= 0 else self.fallback(chars[s]))], np.int32)
-                    out[i] = own
-                    begin = end
-        return out, corrected
+                counts = np.bincount(row, minlength=len(part))
+                if self.model_type == self.BPE and size > LONG:
+                    lists = [np.array(self.merged_long(s), np.int32) for s in part]
+                    paths = np.split(found, np.cumsum(counts)[:-1])
+                    corrected = np.array([int(len(a) != len(b) or bool((a != b).any())) for a, b in zip(paths, lists, strict=True)])
+                    found, counts = np.concatenate(lists), np.array([len(x) for x in lists])
+                elif (found < 0).any():  # single characters outside the vocabulary
+                    spell = [[v] if v >= 0 else self.fallback(part[r][c]) for v, r, c in zip(found.tolist(), row.tolist(), start.tolist(), strict=True)]
+                    counts = np.bincount(row, weights=[len(x) for x in spell], minlength=len(part)).astype(np.int64)
+                    found = np.array([x for own in spell for x in own], np.int32)
+                yield part, counts, found, corrected
 
 
 class Encoder:
@@ -252,13 +254,14 @@ class Encoder:
         self.flat, self.starts, self.counts, self.fixed = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        ids, corrected = self.vocabulary.encode_segments(new)
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.flat = np.concatenate([self.flat, *ids])
-        self.counts, self.fixed = np.concatenate([self.counts, counts]), np.concatenate([self.fixed, np.array(corrected, np.int64)])
-        for s in new:
-            self.index[s] = len(self.index)
+        flat, counts, fixed = [self.flat], [self.counts], [self.fixed]
+        for part, n, ids, corrected in self.vocabulary.encode_segments(new):
+            self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
+            flat.append(ids.astype(np.int32))
+            counts.append(n)
+            fixed.append(corrected)
+        self.flat, self.counts, self.fixed = np.concatenate(flat), np.concatenate(counts), np.concatenate(fixed)
+        self.starts = np.cumsum(self.counts) - self.counts
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list[int]]:
         cut = [self.segment.findall((SPACE * self.vocabulary.dummy_prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
@@ -292,14 +295,19 @@ def load(spark: SparkSession, path: str) -> Vocabulary:
         return Vocabulary(file.read())
 
 
-def _shared(df: DataFrame, vocabulary: Vocabulary):
-    """The vocabulary (one file's size) on the executors, with one encoder a task."""
-    broadcast, own = df.sparkSession.sparkContext.broadcast(vocabulary), {}
+#: Encoders of this Python worker by vocabulary: what one task has met the next one knows.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _shared(df: DataFrame, vocabulary: Vocabulary) -> Callable[[], Encoder]:
+    """The vocabulary (one file's size) on the executors, with one encoder a worker."""
+    broadcast, digest = df.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.digest
 
     def encoder() -> Encoder:
-        if not own:
-            own["encoder"] = Encoder(broadcast.value)
-        return own["encoder"]
+        if digest not in _ENCODERS:
+            _ENCODERS.clear()
+            _ENCODERS[digest] = Encoder(broadcast.value)
+        return _ENCODERS[digest]
 
     return encoder
 
