@@ -17,11 +17,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_python
+from .common import smallest_hashes, with_python
 
 BITS = 18
 ORDERS = (1, 2, 3)
@@ -128,10 +128,12 @@ def train(documents: DataFrame, where: Column | None = None) -> Model:
     """A model of the languages in documents (rows where `where` holds); only the bounded sample reaches the driver."""
     usable = documents if where is None else documents.where(where)
     usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= MAX_CHARS))
-    usable = usable.select(F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"), F.col("lang").cast("string").alias("lang"), "text")
-    each = usable.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= PER_LANGUAGE)
-    sample = each.orderBy("r", "h", "text").limit(TOTAL).select("text", "lang").collect()
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    ids = usable.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"), F.col("lang").cast("string").alias("lang"))
+    chosen = smallest_hashes(ids, "lang", "h", PER_LANGUAGE).orderBy("h").limit(TOTAL)
+    # ids first, texts after: at most TOTAL rows are broadcast, and no text is shuffled
+    sample = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = sample.select("text", "lang", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h")).orderBy("h", "text").limit(TOTAL).collect()
+    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
