@@ -24,11 +24,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_python
+from .common import smallest_hashes, with_python
 
 TOXIC, CLEAN, MAX_CHARS = 2500, 5000, 20_000
 STEMS = (4, 5, 6)
@@ -233,9 +233,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Scorer:
     """From the labels (doc_id, toxic) that aren't held out; only the bounded sample reaches the driver."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     single = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("low")).where(F.col("toxic") == F.col("low"))
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(9)))
-    most = F.when(F.col("toxic") == 1, TOXIC).otherwise(CLEAN)
-    chosen = single.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= max(TOXIC, CLEAN)).where(F.col("r") <= most)
+    single = single.withColumn("h", F.xxhash64("doc_id", F.lit(9)))
+    chosen = smallest_hashes(single.where("toxic = 1"), "toxic", "h", TOXIC).unionByName(smallest_hashes(single.where("toxic = 0"), "toxic", "h", CLEAN))
     texts = documents.where(F.col("text").isNotNull() & (F.char_length("text") <= MAX_CHARS)).select("doc_id", "text")
     rows = texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(9)), "text").limit(TOXIC + CLEAN).collect()
     return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
