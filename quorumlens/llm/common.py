@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df in the executors' memory or on their disks, filled now, so that its size is known to the plans that use it.
+
+    Its lineage stays: what a lost executor held is computed again.  For tables of a few steps from their input that
+    several plans read; results of loops and of unstable order are stored() instead.  Released by
+    spark.catalog.clearCache(), or by unpersist() where no later plan reads it."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def smallest_hashes(df: DataFrame, group: str, hash_col: str, most: int, salts: int = 64) -> DataFrame:
     """The rows of the `most` smallest hashes of each group: first of each of `salts` parts of a group, then of those.
 
@@ -87,8 +99,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_python(df: DataFrame, source: str, fn: Callable[[list], list[pa.Array]], fields: list[T.StructField], drop: tuple = ()) -> DataFrame:
-    """df without the columns `drop`, plus `fields`: what fn makes of each Arrow batch's `source` values.
+def with_python(df: DataFrame, source: str, fn: Callable[[list], list[pa.Array]], fields: list[T.StructField], drop: tuple = (), arrow: bool = False) -> DataFrame:
+    """df without the columns `drop`, plus `fields`: what fn makes of each Arrow batch's `source` values (a list, or with
+    `arrow` the Arrow array).
 
     The other columns pass through as Arrow buffers, so that no type or null changes on the way."""
     kept = [c for c in df.columns if c not in drop]
@@ -97,7 +110,8 @@ def with_python(df: DataFrame, source: str, fn: Callable[[list], list[pa.Array]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            new = fn(batch.column(names.index(source)).to_pylist())
+            values = batch.column(names.index(source))
+            new = fn(values if arrow else values.to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + new, kept + [f.name for f in fields])
 
     small_batches(df.sparkSession)

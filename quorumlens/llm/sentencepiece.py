@@ -22,9 +22,11 @@ import heapq
 import re
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -34,7 +36,7 @@ SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 500_000
 LONG = 256
-STARTS = 18
+STARTS = 20
 NONE = -np.inf
 
 
@@ -110,8 +112,13 @@ class Vocabulary:
         self.key_scores = np.array([scores[i] for i in usable])[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
-        self.starts = np.zeros(1 << STARTS, bool)  # beginnings of the keys: most substrings need no search
-        self.starts[self.keys >> np.uint64(64 - STARTS)] = True
+        # by the beginning of a hash: the first key's place, len(keys) for none; keys after it are searched for
+        top = (self.keys >> np.uint64(64 - STARTS)).astype(np.int64)
+        self.first = np.full(1 << STARTS, len(self.keys), np.int32)
+        self.first[top[::-1]] = np.arange(len(self.keys), dtype=np.int32)[::-1]
+        self.shared = np.zeros(len(self.keys) + 1, bool)
+        self.shared[:-2] = top[1:] == top[:-1]
+        self.probe = np.append(self.keys, np.uint64(0))
         self.known = {self.pieces[i]: (scores[i], i) for i in usable}
         self.unknown_score = min(scores[i] for i in usable) - 10.0
         self.raw = [p.encode().replace(SPACE.encode(), b" ") for p in self.pieces]
@@ -133,10 +140,13 @@ class Vocabulary:
         hashes = np.zeros((n, size), np.uint64)
         for k in range(1, most + 1):
             hashes = _substring_hash(hashes[:, : size - k + 1], codes[:, k - 1 :])
-            row, start = np.nonzero(self.starts[hashes >> np.uint64(64 - STARTS)])
-            wanted = hashes[row, start]
-            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            hit = self.keys[at] == wanted
+            at = self.first[hashes >> np.uint64(64 - STARTS)]
+            row, start = np.nonzero(at < len(self.keys))
+            at, wanted = at[row, start], hashes[row, start]
+            hit = self.probe[at] == wanted
+            again = np.flatnonzero(~hit & self.shared[at])
+            at[again] = np.searchsorted(self.keys, wanted[again])
+            hit[again] = self.probe[at[again]] == wanted[again]
             row, start, at = row[hit], start[hit], at[hit]
             scores[row, start, k] = self.key_scores[at]
             ids[row, start, k] = self.key_ids[at]
@@ -246,7 +256,7 @@ class Encoder:
     segment = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.raw = vocabulary, None
         self._reset()
 
     def _reset(self) -> None:
@@ -265,10 +275,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list[int]]:
         cut = [self.segment.findall((SPACE * self.vocabulary.dummy_prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(dict.fromkeys(s for segments in cut for s in segments if s not in self.index))
+        met = set(chain.from_iterable(cut))
+        new = list(met.difference(self.index))
         if len(self.index) + len(new) > CACHE:
             self._reset()
-            new = list(dict.fromkeys(s for segments in cut for s in segments))
+            new = list(met)
         if new:
             self._learn(new)
         out, fixed = [], []
@@ -282,9 +293,20 @@ class Encoder:
             fixed.append(int(self.fixed[at].sum()))
         return out, fixed
 
-    def decode(self, ids: list[list[int] | None]) -> list[str | None]:
-        raw, skip = self.vocabulary.raw.__getitem__, int(self.vocabulary.dummy_prefix)
-        return [None if x is None else b"".join(map(raw, x)).decode("utf-8", "replace")[skip:] for x in ids]
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids, joined in Arrow; bytes that are no UTF-8 become U+FFFD."""
+        if self.raw is None:
+            self.raw = pa.array(self.vocabulary.raw, pa.large_binary())
+        skip, values = int(self.vocabulary.dummy_prefix), ids.values.slice(ids.offsets[0].as_py() if len(ids) else 0)
+        offsets = pc.subtract(ids.offsets, ids.offsets[0]).cast(pa.int64()) if len(ids) else pa.array([0], pa.int64())
+        pieces = self.raw.take(values.slice(0, offsets[-1].as_py()))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, pieces), pa.scalar(b"", pa.large_binary()))
+        try:
+            texts = joined.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            texts = pa.array([None if t is None else t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.large_string())
+        texts = (pc.utf8_slice_codeunits(texts, skip) if skip else texts).cast(pa.string())
+        return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
 
 
 def load(spark: SparkSession, path: str) -> Vocabulary:
@@ -332,4 +354,4 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFra
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
     """df with decoded string."""
     encoder = _shared(df, vocabulary)
-    return with_python(df, ids, lambda lists: [pa.array(encoder().decode(lists), pa.string())], [T.StructField("decoded", T.StringType())], drop=("decoded",))
+    return with_python(df, ids, lambda lists: [encoder().decode(lists)], [T.StructField("decoded", T.StringType())], drop=("decoded",), arrow=True)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -428,7 +429,10 @@ def test_pieces_equal_the_library(pieces):
     texts = piece_texts()
     ids, _ = encoder.encode(texts)
     assert [x.tolist() for x in ids] == library.encode(texts)
-    assert encoder.decode([x.tolist() for x in ids]) == [t.replace("▁", " ") for t in texts]
+    lists = pa.array([x.tolist() for x in ids] + [None, [3 + 0xFF]], pa.list_(pa.int32()))
+    assert encoder.decode(lists).to_pylist() == [t.replace("▁", " ") for t in texts] + [None, ""]
+    assert encoder.decode(lists.slice(5, 20)).to_pylist() == [t.replace("▁", " ") for t in texts[5:25]]
+    assert encoder.decode(pa.array([[0, 3 + 0xFF, 3 + 0x41]], pa.list_(pa.int32()))).to_pylist() == ["⁇ \ufffdA"]
 
 
 def test_best_paths_equal_the_library_in_unigram_mode(pieces):
