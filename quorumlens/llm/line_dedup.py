@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import line_key, lower_ascii, scratch, stored, text_of
+from .common import kept, line_key, lower_ascii, once, scratch, stored, text_of
 
 SHARD_KEYS = 65_536
 STATE = "shard int, k1 long, k2 long, refs long, filter binary"
@@ -130,7 +130,7 @@ def document_keys(docs: DataFrame) -> DataFrame:
     """(doc_id, k1, k2), once for each row of docs and key in it."""
     lines = F.split(lower_ascii(text_of()), "\n", -1)
     keys = F.array_distinct(F.filter(F.transform(lines, line_key), lambda k: k != ""))
-    pairs = docs.select("doc_id", F.explode(F.transform(keys, _key_hashes)).alias("k"))
+    pairs = docs.select("doc_id", once(F.transform(keys, _key_hashes)).alias("ks")).select("doc_id", F.explode("ks").alias("k"))
     return pairs.select("doc_id", "k.k1", "k.k2")
 
 
@@ -149,8 +149,8 @@ class LineIndex:
         return self._apply(docs, -1)
 
     def _apply(self, docs: DataFrame, sign: int) -> LineIndex:
-        once = document_keys(docs).distinct()  # spread by document too, so that no key is hot
-        counts = stored(once.groupBy("k1", "k2").agg((F.count(F.lit(1)) * sign).alias("n")), "counts")
+        pairs = document_keys(docs).distinct()  # spread by document too, so that no key is hot
+        counts = kept(pairs.groupBy("k1", "k2").agg((F.count(F.lit(1)) * sign).alias("n")))
         shards = self.shards or max(1, -(-counts.count() // SHARD_KEYS))
         batch = counts.withColumn("shard", F.pmod(F.shiftright("k1", 24), F.lit(shards)).cast("int"))
 
@@ -158,7 +158,9 @@ class LineIndex:
             return _merged(int(key[0]), state, new)
 
         grown = self.state.groupBy("shard").cogroup(batch.groupBy("shard")).applyInPandas(update, STATE)
-        return LineIndex(self.spark, self.folder, stored(grown, "state"), shards)
+        state = stored(grown, "state")
+        counts.unpersist()
+        return LineIndex(self.spark, self.folder, state, shards)
 
     def references(self) -> DataFrame:
         """(k1, k2, refs) of every key in some document."""
@@ -167,11 +169,11 @@ class LineIndex:
     def clean(self, docs: DataFrame, min_docs: int) -> DataFrame:
         """docs without the lines whose key is in at least min_docs indexed documents, plus n_lines and n_dropped.
 
-        Frequent keys are written out first: Spark then broadcasts them if their files are small enough, and else
+        Frequent keys are gathered first: Spark then broadcasts them if their files are small enough, and else
         sorts both sides with adaptive splitting of hot keys.  Texts meet only the keys of their own document."""
-        frequent = stored(self.references().where(F.col("refs") >= min_docs).select("k1", "k2"), "frequent")
+        frequent = kept(self.references().where(F.col("refs") >= min_docs).select("k1", "k2"))
         hits = document_keys(docs).join(frequent, ["k1", "k2"])
-        drops = stored(hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("k1").alias("__a"), F.collect_set("k2").alias("__b")), "drops")
+        drops = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("k1").alias("__a"), F.collect_set("k2").alias("__b"))
         # merged at every size: a broadcast of the small case would only hide that texts are shuffled once
         joined = docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
         lines = joined.withColumn("__lines", F.split(text_of(), "\n", -1))
@@ -180,7 +182,7 @@ class LineIndex:
             key = line_key(lower_ascii(line))
             return (key == "") | ~(F.array_contains("__a", F.xxhash64(key)) & F.array_contains("__b", F.xxhash64(F.lit(1), key)))
 
-        kept = F.when(F.col("__a").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))
-        out = lines.withColumn("__kept", kept).withColumn("text", F.array_join("__kept", "\n"))
+        left = F.when(F.col("__a").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))
+        out = lines.withColumn("__kept", left).withColumn("text", F.array_join("__kept", "\n"))
         out = out.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
         return out.drop("__id", "__a", "__b", "__lines", "__kept")

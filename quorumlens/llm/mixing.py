@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, text_of, word_count
+from .common import SPACES, kept, stored, text_of, word_count
 
 BUCKETS = 4096
 MARKS = "#*$%&|<>0123456789"
@@ -43,6 +43,7 @@ def ranked_sources(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
 
     Ranks come from a range sort and counts per range, so no task needs all sources."""
     ranged = sizes.repartitionByRange(F.col("source").isNull(), F.col("source")).sortWithinPartitions(F.col("source").isNull(), F.col("source"))
+    # one row a source; written, as a range sort run again may number otherwise
     numbered = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("__id", 33)
     # one row per range, whose number spark.sql.shuffle.partitions bounds
@@ -84,17 +85,17 @@ def keyed(documents: DataFrame, seed: int) -> DataFrame:
 def cuts(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """One row a source: name, source_size, target, epochs, budget, cut (the bucket in which the budget ends; BUCKETS:
     none) and before (words of the buckets before it).  rows: __source, __size, __bucket of every document."""
-    sums = stored(rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("words")), "sums")
+    sums = kept(rows.groupBy(F.col("__source").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("words")))
     sources = with_targets(ranked_sources(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights), share, most)
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = sources.withColumn("budget", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    sources = stored(sources.withColumnRenamed("source", "name"), "targets")
+    sources = kept(sources.withColumnRenamed("source", "name"))
     earlier = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     reached = sums.join(sources, F.col("source").eqNullSafe(F.col("name"))).withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     ends = reached.where((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("words") > F.col("budget")))
     ends = ends.select(F.col("name").alias("__name"), F.col("bucket").alias("cut"), "before")
     joined = sources.join(ends, F.col("name").eqNullSafe(F.col("__name")), "left").drop("__name")
-    return stored(joined.withColumn("cut", F.coalesce("cut", F.lit(BUCKETS))), "plan")
+    return kept(joined.withColumn("cut", F.coalesce("cut", F.lit(BUCKETS))))
 
 
 def parts(rows: DataFrame, plan: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def parts(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix_plan(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
-    rows = stored(keyed(documents, seed).select("doc_id", "__source", "__size", "__key", "__bucket"), "keys")
+    rows = kept(keyed(documents, seed).select("doc_id", "__source", "__size", "__key", "__bucket"))
     plan = cuts(rows, weights, share, most)
     rest = rows.join(plan, F.col("__source").eqNullSafe(F.col("name"))).where(F.col("__bucket") != F.col("cut"))
     whole = rest.withColumn("part", F.when(F.col("__bucket") < F.col("cut"), F.col("__size")).otherwise(F.lit(0)))
@@ -122,16 +123,16 @@ def mix(documents: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     Texts aren't shuffled but for those in the buckets in which budgets end; equal (doc_id, source, size) among these
     get the parts of their number in the plan."""
     docs = keyed(documents, seed)
-    rows = stored(docs.select("doc_id", "__source", "__size", "__key", "__bucket"), "keys")
+    rows = kept(docs.select("doc_id", "__source", "__size", "__key", "__bucket"))
     plan = cuts(rows, weights, share, most)
     placed = docs.join(plan.select("name", "epochs", "cut"), F.col("__source").eqNullSafe(F.col("name")))
-    kept = [*[F.col(c) for c in documents.columns], "__size", "epochs"]
-    whole = placed.where(F.col("__bucket") != F.col("cut")).select(*kept, F.when(F.col("__bucket") < F.col("cut"), F.col("__size")).otherwise(F.lit(0)).alias("part"))
+    names = [*[F.col(c) for c in documents.columns], "__size", "epochs"]
+    whole = placed.where(F.col("__bucket") != F.col("cut")).select(*names, F.when(F.col("__bucket") < F.col("cut"), F.col("__size")).otherwise(F.lit(0)).alias("part"))
     key = ["doc_id", "__source", "__size"]
     number = F.row_number().over(Window.partitionBy(*key).orderBy("__key"))
     ends = parts(rows, plan).withColumn("__n", number).select(*[F.col(k).alias(f"__of{k}") for k in key], F.col("__n").alias("__of_n"), "part")
     same = [F.col(k).eqNullSafe(F.col(f"__of{k}")) for k in key] + [F.col("__n") == F.col("__of_n")]
-    cut = placed.where(F.col("__bucket") == F.col("cut")).withColumn("__n", number).join(stored(ends, "ends"), same).select(*kept, "part")
+    cut = placed.where(F.col("__bucket") == F.col("cut")).withColumn("__n", number).join(ends, same).select(*names, "part")
     rows = whole.unionByName(cut)
     none = F.array().cast("array<bigint>")
     copies = F.when(F.col("epochs") > 0, F.array_repeat(F.col("__size"), F.col("epochs").cast("int"))).otherwise(none)

@@ -10,7 +10,7 @@ would emit the square of their number; such buckets are taken out of the tables
 probes one is instead linked through its whole-fingerprint ball: two fingerprints are within two bits if and only if
 their closed balls of radius one meet, and a meeting point has 65 members at most.  No link is lost and none is extra.
 
-Components come from alternating large-star and small-star rounds over written tables.
+Components come from alternating large-star and small-star rounds.
 
 Defined results: null, empty or blank text has fingerprint zero; repeated rows are linked as equal; null doc_ids take
 part but are no component_id unless a component has no other; an empty table gives an empty result; extra columns are
@@ -26,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stored, stored, text_of, with_python
+from .common import drop_stored, kept, stored, text_of, with_python
 
 SHINGLE = 3
 BUCKET = 64
+FILE_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -70,7 +71,7 @@ def _unsets(value: Column, bits: int) -> Column:
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: enough pairs of the distinct fingerprints nodes (fp) within two bits to connect all that are."""
     entries = nodes.select("fp", F.explode(_segments(F.col("fp"))).alias("s")).select("fp", "s.seg", "s.value")
-    heavy = stored(entries.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("seg", "value"), "heavy")
+    heavy = kept(entries.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("seg", "value"))
     table = entries.join(heavy, ["seg", "value"], "left_anti").withColumnRenamed("fp", "other")
     ball = entries.select("fp", "seg", F.explode(F.concat(F.array("value"), _unsets(F.col("value"), 32))).alias("value"), F.col("value").alias("own"))
     found = ball.join(table, ["seg", "value"]).where((F.col("own") != F.col("value")) | (F.col("fp") < F.col("other")))
@@ -85,50 +86,56 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of its component, for every node of edges (a, b) but the roots."""
+    """(node, root): the smallest node of its component, for every node of edges (a, b) but the roots.
 
-    def star(pairs: DataFrame, larger_only: bool) -> DataFrame:
+    Each half round is written out, which cuts its lineage, in files of at most FILE_ROWS pairs."""
+
+    def written(pairs: DataFrame, most: int) -> DataFrame:
+        return stored(pairs.coalesce(-(-most // FILE_ROWS) or 1), "pairs")
+
+    def star(pairs: DataFrame, n: int, larger_only: bool) -> DataFrame:
         """Each node's chosen neighbours point to the smallest of the node and its neighbours."""
-        low = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        low = stored(low, "lows")  # so that a hub's pairs can be split by the join
+        low = kept(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))  # so that a hub's pairs can be split by the join
         moved = pairs.join(low, "u")
-        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")) if larger_only else moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        result = stored(out.where(F.col("a") != F.col("b")).distinct(), "stars")
-        drop_stored(low)
+        out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        if not larger_only:
+            out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        result = written(out.where(F.col("a") != F.col("b")).distinct(), n)
+        low.unpersist()
         return result
 
     def digest(table: DataFrame) -> tuple:
         return tuple(table.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
 
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
-    was = None
+    first = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    now, was = first, None
     while (state := digest(now)) != was:
         was, before = state, now
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        wide = star(both, True)
-        now = star(wide.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False)
-        drop_stored(before)
+        wide = star(both, 2 * state[0], True)
+        now = star(wide.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), 2 * state[0], False)
+        before.unpersist() if before is first else drop_stored(before)
         drop_stored(wide)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    rows = stored(fingerprints(documents), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = stored(components(links(nodes.select("fp"))), "roots")
+    rows = kept(fingerprints(documents))
+    nodes = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(links(nodes.select("fp")))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stored(placed.select("fp", "first", "root"), "placed")
-    ids = stored(placed.groupBy("root").agg(F.min("first").alias("component_id")), "ids")
-    names = stored(placed.join(ids, "root").select("fp", "component_id"), "names")
+    placed = kept(placed.select("fp", "first", "root"))
+    ids = kept(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+    names = kept(placed.join(ids, "root").select("fp", "component_id"))
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """documents without those of a component but the one whose doc_id names it (of repeated rows of it, one)."""
-    found = stored(near_duplicates(documents), "found")
+    found = kept(near_duplicates(documents))
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     # merged at every size, as a broadcast of the small case would hide that texts are shuffled once
-    kept = documents.join(stored(stay, "stay").hint("merge"), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    chosen = documents.join(kept(stay).hint("merge"), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
     total, distinct = found.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    return kept if total == distinct else kept.dropDuplicates(["doc_id"])
+    return chosen if total == distinct else chosen.dropDuplicates(["doc_id"])
