@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, line_key, lower_ascii, once, scratch, stored, text_of
+from .common import kept, line_key, lower_ascii, once, stored, text_of
 
 SHARD_KEYS = 65_536
 STATE = "shard int, k1 long, k2 long, refs long, filter binary"
@@ -135,12 +135,24 @@ def document_keys(docs: DataFrame) -> DataFrame:
 
 
 class LineIndex:
-    """State at one version; insert and delete return the next version and leave this one as it is."""
+    """State at one version; insert and delete return the next version and leave this one as it is.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, state: DataFrame | None = None, shards: int = 0):
-        self.spark, self.folder, self.shards = spark, folder or scratch(spark), shards
+    The first insert sets the number of shards; a later one that would more than quadruple their size deals all keys
+    out over more."""
+
+    def __init__(self, spark: SparkSession, state: DataFrame | None = None, shards: int = 0):
+        self.spark, self.shards = spark, shards
         self.state = spark.createDataFrame([], STATE) if state is None else state
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineIndex:
+        """The version saved at path."""
+        state = spark.read.schema(STATE).parquet(path)
+        return cls(spark, state, (state.agg(F.max("shard")).first()[0] or 0) + 1)
+
+    def save(self, path: str) -> None:
+        self.state.write.parquet(path)
+
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._apply(docs, 1)
 
@@ -151,16 +163,27 @@ class LineIndex:
     def _apply(self, docs: DataFrame, sign: int) -> LineIndex:
         pairs = document_keys(docs).distinct()  # spread by document too, so that no key is hot
         counts = kept(pairs.groupBy("k1", "k2").agg((F.count(F.lit(1)) * sign).alias("n")))
-        shards = self.shards or max(1, -(-counts.count() // SHARD_KEYS))
-        batch = counts.withColumn("shard", F.pmod(F.shiftright("k1", 24), F.lit(shards)).cast("int"))
+        n, base = counts.count(), self
+        if not self.shards:
+            base = LineIndex(self.spark, self.state, max(1, -(-n // SHARD_KEYS)))
+        elif (total := n + self.references().count()) > 4 * SHARD_KEYS * self.shards:
+            base = self.resharded(-(-total // SHARD_KEYS))
+        state = base._merged_with(counts)
+        counts.unpersist()
+        return LineIndex(self.spark, state, base.shards)
+
+    def resharded(self, shards: int) -> LineIndex:
+        """The same keys and counts over another number of shards."""
+        fresh = LineIndex(self.spark, None, shards)
+        return LineIndex(self.spark, fresh._merged_with(self.references().withColumnRenamed("refs", "n")), shards)
+
+    def _merged_with(self, counts: DataFrame) -> DataFrame:
+        batch = counts.withColumn("shard", F.pmod(F.shiftright("k1", 24), F.lit(self.shards)).cast("int"))
 
         def update(key: tuple, state: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             return _merged(int(key[0]), state, new)
 
-        grown = self.state.groupBy("shard").cogroup(batch.groupBy("shard")).applyInPandas(update, STATE)
-        state = stored(grown, "state")
-        counts.unpersist()
-        return LineIndex(self.spark, self.folder, state, shards)
+        return stored(self.state.groupBy("shard").cogroup(batch.groupBy("shard")).applyInPandas(update, STATE), "state")
 
     def references(self) -> DataFrame:
         """(k1, k2, refs) of every key in some document."""

@@ -117,6 +117,18 @@ def test_line_index_is_reversible(spark):
     assert state(both.delete(second).delete(first)) == []
 
 
+def test_line_index_grows_and_is_saved(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    docs = [(i, "\n".join(f"line {random.Random(i * 9 + k).randrange(90)}" for k in range(6))) for i in range(40)]
+    one = line_dedup.LineIndex(spark).insert(frame(spark, docs[:2]))
+    two = one.insert(frame(spark, docs[2:]))
+    state = lambda index: sorted(map(tuple, index.references().collect()))
+    assert one.shards < two.shards and state(two) == state(line_dedup.LineIndex(spark, shards=1).insert(frame(spark, docs)))
+    two.save(str(tmp_path / "index"))
+    again = line_dedup.LineIndex.open(spark, str(tmp_path / "index"))
+    assert state(again.delete(frame(spark, docs[2:]))) == state(one)
+
+
 def test_cuckoo_filter_holds_and_forgets():
     rng = np.random.default_rng(0)
     k1, k2 = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 5000)
