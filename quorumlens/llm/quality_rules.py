@@ -6,7 +6,7 @@ their host (`source`), distinct documents are counted per host and line, lines i
 the host are removed, and a document is rejected when fewer than `min_left` of its words are left.
 
 A document lists each of its lines once, counts are summed in two steps (by line and document, then by line), and
-lines above the limit are written out before documents meet them, so a line in a third of all documents is never one
+lines above the limit are gathered before documents meet them, so a line in a third of all documents is never one
 task's work: the join either broadcasts the small table or splits hot keys.
 
 Defined results: null or empty text has no words and fails the base rules; null source is a host of its own; a
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, line_key, lower_ascii, stored, text_of, word_count
+from .common import SPACES, WORD, kept, line_key, lower_ascii, once, text_of, word_count
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -70,14 +70,15 @@ def host_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, version: hash of the row's source and text, at, line: hash of host and normalised line, n: its words)."""
     source = F.col("source").cast("string")
     keys = F.transform(F.split(lower_ascii(text_of()), "\n", -1), line_key)
-    lines = documents.select("doc_id", F.xxhash64(source, text_of()).alias("version"), F.coalesce(F.xxhash64(source), F.lit(0)).alias("host"), source.isNull().alias("none"), F.posexplode(keys).alias("at", "k"))
+    lines = documents.select("doc_id", F.xxhash64(source, text_of()).alias("version"), F.coalesce(F.xxhash64(source), F.lit(0)).alias("host"), source.isNull().alias("none"), once(keys).alias("ks"))
+    lines = lines.select("doc_id", "version", "host", "none", F.posexplode("ks").alias("at", "k"))
     return lines.where(F.col("k") != "").select("doc_id", "version", "at", F.xxhash64("host", "none", "k").alias("line"), word_count(F.col("k")).alias("n"))
 
 
 def frequent_lines(documents: DataFrame, max_docs: int) -> DataFrame:
     """(line) of those in more than max_docs distinct documents of a host."""
-    once = host_lines(documents).select("line", "doc_id").distinct()
-    return stored(once.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("line"), "lines")
+    pairs = host_lines(documents).select("line", "doc_id").distinct()
+    return kept(pairs.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("line"))
 
 
 def verdicts(documents: DataFrame, max_docs: int = 10, min_left: float = 0.3) -> DataFrame:
@@ -87,7 +88,7 @@ def verdicts(documents: DataFrame, max_docs: int = 10, min_left: float = 0.3) ->
     frequent = frequent_lines(documents, max_docs)
     hits = host_lines(documents).join(frequent, "line").select("doc_id", "version", "at", "n").distinct()
     removed = hits.groupBy(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).agg(F.sum("n").alias("removed"))
-    removed = stored(removed, "removed")
+    removed = kept(removed)
     base = base_rules(documents)
     joined = base.join(removed, base["doc_id"].eqNullSafe(removed["__id"]) & (base["version"] == removed["__version"]), "left")
     gone = F.least(F.col("n_words"), F.coalesce("removed", F.lit(0)))
