@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, with_python
+from .common import kept, with_python
 
 TABLES, PROBES = 16, 6
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -103,20 +103,20 @@ def _best(queries: pd.DataFrame, entries: pd.DataFrame, most: int) -> pd.DataFra
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", tables: int = TABLES, probes: int = PROBES, seed: int = 3) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row where is_query (an expression over vec_id)."""
     most = k + 1  # the query's own id may be among them
-    base = stored(valid(vectors, vec_id, embedding), "vectors")
+    base = kept(valid(vectors, vec_id, embedding))
     smallest = base.withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(F.col("r") <= most)
     reps = smallest.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
-    reps = stored(_with_cells(reps, tables, 1, seed), "entries")
+    reps = kept(_with_cells(reps, tables, 1, seed))
     asked = base.where(is_query).select(F.col("vec_id").alias("query_id"), "k1", "k2")
     names = reps.select("k1", "k2", "rep")
-    queries = stored(asked.join(names, ["k1", "k2"]).select("query_id", "rep"), "queries")
-    once = stored(queries.select("rep").distinct(), "asked")
-    probing = stored(_with_cells(reps.join(once, "rep", "left_semi").select("rep", "v"), tables, probes, seed), "probing")
+    queries = kept(asked.join(names, ["k1", "k2"]).select("query_id", "rep"))
+    once = kept(queries.select("rep").distinct())
+    probing = kept(_with_cells(reps.join(once, "rep", "left_semi").select("rep", "v"), tables, probes, seed))
 
     def per_cell(df: DataFrame, block: int, name: str) -> DataFrame:
         return df.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
 
-    blocks = F.broadcast(stored(per_cell(reps, VECTOR_BLOCK, "nv").join(per_cell(probing, QUERY_BLOCK, "nq"), "cell"), "cells"))  # tables x axes rows at most
+    blocks = F.broadcast(kept(per_cell(reps, VECTOR_BLOCK, "nv").join(per_cell(probing, QUERY_BLOCK, "nq"), "cell")))  # tables x axes rows at most
     left = reps.select("rep", "ids", "v", F.explode("cells").alias("cell")).join(blocks, "cell")
     left = left.select("cell", F.pmod(F.xxhash64("rep"), F.col("nv")).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "ids", "v")
     right = probing.select("rep", "v", F.explode("cells").alias("cell")).join(blocks, "cell")
@@ -131,7 +131,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(rerank, "rep long, vec_id long, score double")
     merged = found.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
-    top = stored(merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r"), "nearest")
+    top = kept(merged.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r"))
     pairs = queries.join(top, "rep").where(F.col("query_id") != F.col("vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
