@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from quorumlens.llm import langid, mixing
+from quorumlens.llm.common import stored
 from quorumlens.llm.queries import PIECES, QUERIES, SQL
 
 from .test_llm_operators import ODD, fingerprint_by_hand, frame, roots_by_hand
@@ -47,14 +48,14 @@ def test_stages_match_brute_force(spark):
     rows = corpus()
     docs = frame(spark, rows)
     named, texts, alone = stages_by_hand(rows, langid.train(docs))
-    one = corpus_pipeline.language_id(spark, docs, "")
+    one = stored(corpus_pipeline.language_id(spark, docs, ""))  # written and read again, as the pipeline does
     assert {r["doc_id"] for r in one.collect()} == named and {300, 301}.isdisjoint(named) and len(named) > 120
-    two = corpus_pipeline.dedup_lines(spark, one, "")
+    two = stored(corpus_pipeline.dedup_lines(spark, one, ""))
     assert {r["doc_id"]: r["text"] for r in two.collect()} == texts and 302 not in texts
     assert all(r["n_chars"] == len(r["text"]) for r in two.collect())
-    three = corpus_pipeline.near_dedup(spark, two, "")
+    three = stored(corpus_pipeline.near_dedup(spark, two, ""))
     assert sorted(r["doc_id"] for r in three.collect()) == sorted(alone) and len(alone) < len(texts)
-    four = corpus_pipeline.mix_sources(spark, three, "")
+    four = stored(corpus_pipeline.mix_sources(spark, three, ""))
     plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(three).collect()}
     words = Counter()
     for r in four.collect():
@@ -71,7 +72,7 @@ def test_stages_match_brute_force(spark):
 def test_odd_and_empty_documents(spark, rows):
     docs = frame(spark, rows) if rows else frame(spark, ODD).where("false")
     for _, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, "").collect(), stage(spark, docs, "").schema)
+        docs = stored(stage(spark, docs, ""))
     assert {"doc_id", "ids"} <= set(docs.columns) and (docs.count() > 0) == bool(rows)
 
 
