@@ -60,11 +60,20 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILE_ROWS = 1_000_000
+
+
+def stored_few(df: DataFrame, most: int) -> DataFrame:
+    """stored(), for a narrow table of at most `most` rows, in files of about FILE_ROWS rows."""
+    return stored(df.coalesce(max(1, -(-most // FILE_ROWS))))
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df in the executors' memory or on their disks, filled now, so that its size is known to the plans that use it.
 
     Its lineage stays: what a lost executor held is computed again.  For tables of a few steps from their input that
-    several plans read; results of loops and of unstable order are stored() instead.  Released by
+    several plans read; results of loops and of unstable order are stored() instead, as are those that would stack up:
+    a plan's text, which Spark makes for each query, holds those of all tables kept below it.  Released by
     spark.catalog.clearCache(), or by unpersist() where no later plan reads it."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()

@@ -26,11 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stored, kept, stored, text_of, with_python
+from .common import drop_stored, kept, stored_few, text_of, with_python
 
 SHINGLE = 3
 BUCKET = 64
-FILE_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -88,10 +87,7 @@ def links(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of its component, for every node of edges (a, b) but the roots.
 
-    Each half round is written out, which cuts its lineage, in files of at most FILE_ROWS pairs."""
-
-    def written(pairs: DataFrame, most: int) -> DataFrame:
-        return stored(pairs.coalesce(-(-most // FILE_ROWS) or 1), "pairs")
+    Each half round is written out, which cuts its lineage."""
 
     def star(pairs: DataFrame, n: int, larger_only: bool) -> DataFrame:
         """Each node's chosen neighbours point to the smallest of the node and its neighbours."""
@@ -100,7 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
         out = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not larger_only:
             out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        result = written(out.where(F.col("a") != F.col("b")).distinct(), n)
+        result = stored_few(out.where(F.col("a") != F.col("b")).distinct(), n)
         low.unpersist()
         return result
 
@@ -122,12 +118,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     rows = kept(fingerprints(documents))
-    nodes = kept(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    n = rows.count()
+    nodes = stored_few(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
     roots = components(links(nodes.select("fp")))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = kept(placed.select("fp", "first", "root"))
-    ids = kept(placed.groupBy("root").agg(F.min("first").alias("component_id")))
-    names = kept(placed.join(ids, "root").select("fp", "component_id"))
+    placed = stored_few(placed.select("fp", "first", "root"), n)
+    ids = stored_few(placed.groupBy("root").agg(F.min("first").alias("component_id")), n)
+    names = stored_few(placed.join(ids, "root").select("fp", "component_id"), n)
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
