@@ -32,27 +32,32 @@ SHINGLE = 3
 BUCKET = 64
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash; bytes.lower and bytes.split know ASCII only, which is what is asked for."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 of each shingle in order; bytes.lower and bytes.split know ASCII only, which is what is asked for."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], np.uint64)
+    return np.array([digest(s, 42) for s in shingles], np.uint64)
+
+
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash."""
+    hashes = shingle_hashes(text, size)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long) of every row."""
+def fingerprints(documents: DataFrame, *others: Column) -> DataFrame:
+    """(doc_id, the others, fp: the fingerprint as a signed long) of every row."""
 
     def run(texts: list) -> list[pa.Array]:
         return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *others, text_of().alias("text"))
     return with_python(rows, "text", run, [T.StructField("fp", T.LongType())], drop=("text",))
 
 
@@ -115,24 +120,42 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def near_roots(rows: DataFrame, n: int) -> DataFrame:
+    """(fp, first: its smallest doc_id, root) of the fingerprints of rows (doc_id, fp), n at most."""
+    nodes = stored_few(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
+    roots = components(links(nodes.select("fp")))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    return stored_few(placed.select("fp", "first", "root"), n)
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     rows = kept(fingerprints(documents))
     n = rows.count()
-    nodes = stored_few(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
-    roots = components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stored_few(placed.select("fp", "first", "root"), n)
+    placed = near_roots(rows, n)
     ids = stored_few(placed.groupBy("root").agg(F.min("first").alias("component_id")), n)
     names = stored_few(placed.join(ids, "root").select("fp", "component_id"), n)
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """documents without those of a component but the one whose doc_id names it (of repeated rows of it, one)."""
-    found = kept(near_duplicates(documents))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+def survivors(documents: DataFrame, placed: DataFrame) -> DataFrame:
+    """documents with one row of each component; placed is (doc_id, version: hash of the text, root) of every row.
+
+    That is a row of the smallest doc_id (null last) and, among texts of that doc_id, of the smallest hash."""
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "version")).alias("x"))
+    stay = kept(first.select(F.col("x.doc_id").alias("__id"), F.col("x.version").alias("__version")))
+    version = F.xxhash64(text_of())
     # merged at every size, as a broadcast of the small case would hide that texts are shuffled once
-    chosen = documents.join(kept(stay).hint("merge"), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    total, distinct = found.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    return chosen if total == distinct else chosen.dropDuplicates(["doc_id"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (version == F.col("__version"))
+    chosen = documents.join(stay.hint("merge"), same, "left_semi")
+    rows, distinct = placed.count(), placed.select("doc_id", "version").distinct().count()
+    if rows == distinct:
+        return chosen
+    return chosen.withColumn("__version", version).dropDuplicates(["doc_id", "__version"]).drop("__version")
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """documents with one row of each component of linked fingerprints."""
+    rows = kept(fingerprints(documents, F.xxhash64(text_of()).alias("version")))
+    found = near_roots(rows, rows.count())
+    return survivors(documents, rows.join(found, "fp").select("doc_id", "version", "root"))
