@@ -5,16 +5,53 @@ from collections import Counter
 
 import pytest
 
-from quorumlens.llm import simhash
+import corpus_pipeline
+from quorumlens.llm import near_copies, simhash
 
-from .test_llm_operators import frame
+from .test_llm_operators import fingerprint_by_hand, frame
 
 
 def words(rng, n):
     return [f"w{rng.randrange(500)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize("module", [simhash])
+def jaccard_survivors(docs):
+    """Smallest doc_id of each component of five-word Jaccard >= 0.8."""
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in docs}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {find(i) for i in sets}
+
+
+@pytest.mark.parametrize(("pairs", "common"), [(8, 16), (0, 3)])
+def test_near_dedup_finds_near_copies(spark, monkeypatch, pairs, common):
+    monkeypatch.setattr(near_copies, "PAIRS", pairs)
+    monkeypatch.setattr(near_copies, "COMMON", common)
+    rng = random.Random(3)
+    docs = [(i, " ".join(words(rng, 140))) for i in range(20)]
+    for i in range(20, 120):  # a crowd of near copies of one text, some too far, and a few of others
+        own = docs[0 if i < 90 else rng.randrange(20)][1].split()
+        for at in rng.sample(range(140), rng.randrange(1, 6)):
+            own[at] = f"z{rng.randrange(60)}"
+        docs.append((i, " ".join(own)))
+    want = jaccard_survivors(docs)
+    got = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, docs), "").collect()]
+    assert sorted(got) == sorted(want) and 20 < len(want) < 110
+    far = [i for i, t in docs[20:] if i not in want and (fingerprint_by_hand(t) ^ fingerprint_by_hand(docs[0][1])).bit_count() > 2]
+    assert len(far) > 5
+
+
+@pytest.mark.parametrize("module", [simhash, near_copies])
 def test_one_row_of_each_component_by_row(spark, module):
     rng = random.Random(5)
     texts = [" ".join(words(rng, 40)) for _ in range(9)]
