@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, line_key, lower_ascii, once, stored, text_of
+from .common import kept, line_key, lower_ascii, once, stored, text_of, word_count
 
 SHARD_KEYS = 65_536
 STATE = "shard int, k1 long, k2 long, refs long, filter binary"
@@ -189,23 +189,44 @@ class LineIndex:
         """(k1, k2, refs) of every key in some document."""
         return self.state.where(F.col("filter").isNull()).select("k1", "k2", "refs")
 
-    def clean(self, docs: DataFrame, min_docs: int) -> DataFrame:
+    def clean(self, docs: DataFrame, min_docs: int, spare: bool = False) -> DataFrame:
         """docs without the lines whose key is in at least min_docs indexed documents, plus n_lines and n_dropped.
 
+        With `spare`, a document that would lose over half of its words keeps the lines it carries: those of which it has
+        the smallest doc_id.  So of a text whose every line is frequent one document stays whole.
+
         Frequent keys are gathered first: Spark then broadcasts them if their files are small enough, and else
         sorts both sides with adaptive splitting of hot keys.  Texts meet only the keys of their own document."""
         frequent = kept(self.references().where(F.col("refs") >= min_docs).select("k1", "k2"))
         hits = document_keys(docs).join(frequent, ["k1", "k2"])
-        drops = hits.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("k1").alias("__a"), F.collect_set("k2").alias("__b"))
+        sets = [F.collect_set("k1").alias("__a"), F.collect_set("k2").alias("__b")]
+        if spare:
+            hits = kept(hits)
+            carrier = kept(hits.groupBy("k1", "k2").agg(F.min("doc_id").alias("__first")))
+            hits = hits.join(carrier, ["k1", "k2"]).withColumn("__own", F.col("doc_id").eqNullSafe(F.col("__first")))
+            sets += [F.collect_set(F.when(F.col("__own"), F.col(k))).alias(name) for k, name in (("k1", "__c"), ("k2", "__d"))]
+        drops = hits.groupBy(F.col("doc_id").alias("__id")).agg(*sets)
         # merged at every size: a broadcast of the small case would only hide that texts are shuffled once
         joined = docs.join(drops.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
         lines = joined.withColumn("__lines", F.split(text_of(), "\n", -1))
 
+        def among(key: Column, a: str, b: str) -> Column:
+            return F.array_contains(a, F.xxhash64(key)) & F.array_contains(b, F.xxhash64(F.lit(1), key))
+
         def stays(line: Column) -> Column:
             key = line_key(lower_ascii(line))
-            return (key == "") | ~(F.array_contains("__a", F.xxhash64(key)) & F.array_contains("__b", F.xxhash64(F.lit(1), key)))
+            return (key == "") | ~among(key, "__a", "__b")
+
+        def carried(line: Column) -> Column:
+            key = line_key(lower_ascii(line))
+            return (key == "") | ~among(key, "__a", "__b") | among(key, "__c", "__d")
 
         left = F.when(F.col("__a").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays))
-        out = lines.withColumn("__kept", left).withColumn("text", F.array_join("__kept", "\n"))
+        out = lines.withColumn("__kept", left)
+        if spare:
+            owns = F.size("__c") > 0  # null where nothing is dropped
+            poor = F.when(owns, 2 * word_count(F.array_join("__kept", "\n")) < word_count(text_of()))
+            out = out.withColumn("__kept", F.when(poor, F.filter("__lines", carried)).otherwise(F.col("__kept"))).drop("__c", "__d")
+        out = out.withColumn("text", F.array_join("__kept", "\n"))
         out = out.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
         return out.drop("__id", "__a", "__b", "__lines", "__kept")

@@ -51,6 +51,22 @@ def test_near_dedup_finds_near_copies(spark, monkeypatch, pairs, common):
     assert len(far) > 5
 
 
+def test_lines_of_copies_stay(spark):
+    rng = random.Random(4)
+    text = "\n".join(" ".join(words(rng, 30)) for _ in range(4))
+    near = [x.split("\n") for x in ["\n".join(" ".join(words(rng, 30)) for _ in range(4))] * 14]
+    for i in range(1, 14):  # 14 near copies: the first line of each but one has a word of its own
+        near[i][0] += f" z{i}"
+    docs = [(i, text) for i in range(15)] + [(50 + i, "\n".join(x)) for i, x in enumerate(near)]
+    docs += [(100 + i, f"A line on every site\n{' '.join(words(rng, 20))}") for i in range(12)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, frame(spark, docs), "").collect()}
+    assert all(out[i] == text for i in range(15)) and out[50] == docs[15][1]
+    assert not any("every site" in t for t in out.values())
+    assert not any(out[i] == dict(docs)[i] for i in range(51, 64))
+    left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, docs[:15]), "").collect()]
+    assert left == [0]
+
+
 @pytest.mark.parametrize("module", [simhash, near_copies])
 def test_one_row_of_each_component_by_row(spark, module):
     rng = random.Random(5)
