@@ -5,8 +5,8 @@ license notices is shingled alike.  Windows of WIDE shingles, each half over the
 of one row: windows of Jaccard similarity s share a band with probability 1 - (1 - s) ** BANDS, which is 0.996 at 0.5
 and over 0.9999 at 0.67 (containment 0.8 of either in the other).  Templates are sketched at every offset, so a window
 inside a copy meets its twin exactly.  Templates of fewer than WIDE shingles would be diluted in a wide window and are
-met by windows of one shingle, whose MinHash is that shingle: nothing of theirs is missed.  Notices of fewer than five
-words count as one shingle where they are a whole line.
+met by windows of one shingle, whose MinHash is that shingle: nothing of theirs is missed.  A notice of fewer than five
+words is one shingle of its own length, looked for at every word of the text.
 
 Windows whose bands are in the catalogue retrieve templates; a match needs at least `threshold` of the template's
 shingles among those around the window, by exact intersection.  All this happens within the row of a text; what is
@@ -45,16 +45,13 @@ CATALOGUE: list[tuple[str, str]] = [
 
 
 def shingled(df: DataFrame, text: str) -> DataFrame:
-    """df with words array<string>, h: hashes of all shingles in order, and short: hashes of lines of 1 to 4 words."""
+    """df with words array<string> and h: hashes of all shingles in order."""
     low = F.lower(F.col(text))
     out = df.withColumn("words", once(F.regexp_extract_all(low, F.lit(WORDS), 0)))
     last = F.size("words") - SHINGLE
     none = F.array().cast("array<bigint>")
     hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col("words"), i + k) for k in range(SHINGLE)]))
-    out = out.withColumn("h", once(F.when(last >= 0, hashes).otherwise(none)))
-    brief = F.filter(F.split(low, "\n", -1), lambda s: F.octet_length(s) <= 400)  # four words of a notice are no longer
-    lines = F.filter(F.transform(brief, lambda s: F.regexp_extract_all(s, F.lit(WORDS), 0)), lambda w: (F.size(w) > 0) & (F.size(w) < SHINGLE))
-    return out.withColumn("short", F.transform(lines, lambda w: F.xxhash64(F.lit("line"), F.array_join(w, " "))))
+    return out.withColumn("h", once(F.when(last >= 0, hashes).otherwise(none)))
 
 
 def wide_keys(start: Column, window: Column) -> Column:
@@ -65,42 +62,55 @@ def wide_keys(start: Column, window: Column) -> Column:
     return F.array(*[F.struct(k.alias("key"), start.alias("at")) for k in keys])
 
 
-def templates(spark: SparkSession, catalogue: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[int, str]]]:
-    """(license, t: its distinct shingles) and the catalogue's band keys as (key, license); both as large as the catalogue."""
+def templates(spark: SparkSession, catalogue: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[int, str]], dict[int, set[str]]]:
+    """(license, t: its distinct shingles), the catalogue's band keys as (key, license), and the first words of notices of
+    fewer than SHINGLE words by their length; all as large as the catalogue."""
     rows = shingled(spark.createDataFrame(catalogue, "license string, text string"), "text")
-    rows = rows.withColumn("t", F.array_distinct(F.when(F.size("h") > 0, F.col("h")).otherwise(F.col("short"))))
+    brief = F.filter(F.array(F.when(F.size("words") > 0, F.xxhash64(F.lit("brief"), F.array_join("words", " ")))), lambda x: x.isNotNull())
+    rows = rows.withColumn("t", F.array_distinct(F.when(F.size("h") > 0, F.col("h")).otherwise(brief)))
     offsets = F.sequence(F.lit(0), F.size("h") - WIDE)
     wide = F.flatten(F.transform(offsets, lambda i: wide_keys(i, F.slice(F.col("h"), i + 1, F.lit(WIDE)))))
     single = F.transform("t", lambda x: F.struct(x.alias("key"), F.lit(0).alias("at")))
     keys = rows.select("license", F.explode(F.when(F.size("h") >= WIDE, wide).otherwise(single)).alias("k"))
     found = sorted({(r["key"], r["license"]) for r in keys.select("k.key", "license").collect()})
-    return rows.select("license", "t"), found
+    first: dict[int, set[str]] = {}
+    for r in rows.where((F.size("h") == 0) & (F.size("words") > 0)).select("words").collect():
+        first.setdefault(len(r["words"]), set()).add(r["words"][0])
+    return rows.select("license", "t"), found, first
+
+
+def _brief(n: int, first: set[str], wanted: str) -> str:
+    """SQL of struct(key, at: -1 less the word's number) of each window of n words that is a notice."""
+    words = ", ".join(f"'{w}'" for w in sorted(first))  # letters and digits only
+    starts = f"filter(if(size(words) >= {n}, sequence(0, size(words) - {n}), array()), i -> words[i] in ({words}))"
+    windows = f"transform({starts}, i -> named_struct('key', xxhash64('brief', array_join(slice(words, i + 1, {n}), ' ')), 'at', -1 - i))"
+    return f"filter({windows}, x -> x.key in ({wanted}))"
 
 
 def scan(documents: DataFrame, catalogue: list[tuple[str, str]] = CATALOGUE, threshold: float = 0.8) -> DataFrame:
-    """doc_id, license, containment, n_shared, n_template, first_word (-1: a short line) of every match."""
+    """doc_id, license, containment, n_shared, n_template, first_word of every match."""
     spark = documents.sparkSession
-    notices, keys = templates(spark, catalogue)
+    notices, keys, first = templates(spark, catalogue)
     text = text_of()
     rows = documents.select("doc_id", F.xxhash64(text).alias("version"), text.alias("text")).where(F.col("text") != "")
-    rows = shingled(rows, "text").select("doc_id", "version", "h", "short")
+    rows = shingled(rows, "text").select("doc_id", "version", "words", "h")
     wanted = ", ".join(map(str, sorted({k for k, _ in keys})))
     starts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(WIDE // 2))).otherwise(F.array().cast("array<int>"))
     windows = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(F.col("h"), i + 1, F.lit(WIDE)).alias("w")))
     wide = F.flatten(F.transform(windows, lambda x: wide_keys(x["at"], x["w"])))
     rows = rows.withColumn("wide", wide)
     # an IN list of the catalogue's keys keeps the few windows to look at before anything is exploded
+    brief = "".join(f",\n        {_brief(n, words, wanted)}" for n, words in sorted(first.items()))
     hits = f"""concat(
         filter(wide, x -> x.key in ({wanted})),
-        filter(transform(h, (x, i) -> named_struct('key', x, 'at', i)), x -> x.key in ({wanted})),
-        transform(filter(short, x -> x in ({wanted})), x -> named_struct('key', x, 'at', -1)))"""
+        filter(transform(h, (x, i) -> named_struct('key', x, 'at', i)), x -> x.key in ({wanted})){brief})"""
     rows = rows.withColumn("hits", once(F.expr(hits)))
     bands = spark.createDataFrame(keys, "key long, license string").join(notices, "license").select(F.col("key").alias("band"), "license", "t")
-    hit = rows.select("doc_id", "version", "h", "short", F.explode("hits").alias("x")).join(F.broadcast(bands), F.col("x.key") == F.col("band"))
+    hit = rows.select("doc_id", "version", "h", F.explode("hits").alias("x")).join(F.broadcast(bands), F.col("x.key") == F.col("band"))
     n = F.size("t")
     start = F.greatest(F.lit(0), F.col("x.at") - n)
-    near = F.when(F.col("x.at") < 0, F.col("short")).otherwise(F.slice("h", start + 1, F.col("x.at") - start + WIDE + n))
-    found = hit.select("doc_id", "version", "license", n.alias("n_template"), F.col("x.at").alias("at"), F.size(F.array_intersect("t", near)).alias("n_shared"))
+    near = F.when(F.col("x.at") < 0, F.array("x.key")).otherwise(F.slice("h", start + 1, F.col("x.at") - start + WIDE + n))
+    found = hit.select("doc_id", "version", "license", n.alias("n_template"), F.when(F.col("x.at") < 0, -1 - F.col("x.at")).otherwise(F.col("x.at")).alias("at"), F.size(F.array_intersect("t", near)).alias("n_shared"))
     found = found.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_template"))
     best = found.groupBy("doc_id", "version", "license").agg(F.max("n_shared").alias("n_shared"), F.max("n_template").alias("n_template"), F.min("at").alias("first_word"))
     return best.select("doc_id", "license", (F.col("n_shared") / F.col("n_template")).alias("containment"), F.col("n_shared").cast("long").alias("n_shared"), F.col("n_template").cast("long").alias("n_template"), F.col("first_word").cast("long").alias("first_word"))

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from quorumlens.llm import near_copies, simhash
+from quorumlens.llm import licenses, near_copies, simhash
 
 from .test_llm_operators import fingerprint_by_hand, frame
 
@@ -75,3 +75,11 @@ def test_one_row_of_each_component_by_row(spark, module):
     got = Counter((r["doc_id"], r["text"]) for r in module.one_of_each(frame(spark, docs)).collect())
     want = [(None, t) for t in texts[:4]] + [(1, texts[4]), (1, texts[5]), (2, texts[6]), (2, texts[7]), (9, texts[8])]
     assert got == Counter(want)
+
+
+def test_short_notices_anywhere(spark):
+    texts = ["(c) 2024 Foo Inc. All rights reserved.", "one two three. All rights\nreserved", "-" * 500 + " All rights reserved " + "-" * 500, "all rights are reserved", "rights reserved", "so all all rights reserved of"]
+    got = {(r["doc_id"], r["license"], r["first_word"]) for r in licenses.scan(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {(i, "all-rights-reserved", at) for i, at in ((0, 4), (1, 3), (2, 0), (5, 2))}
+    two = licenses.scan(frame(spark, [(1, "x no copying y"), (2, "secret")]), [("a", "No copying"), ("b", "Secret"), ("c", "all of it is ours")])
+    assert {(r["doc_id"], r["license"]) for r in two.collect()} == {(1, "a"), (2, "b")}
