@@ -48,11 +48,21 @@ def once(value: Column) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder under spark.checkpoint.dir, which driver and executors share.  Unset, it is a local folder, which only
+    a local session may use."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/quorumlens/{uuid.uuid4().hex}"
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks a shuffle of this session has."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared scratch folder and read back: cuts lineage, survives lost executors, has a known size."""
     path = f"{scratch(df.sparkSession)}/{name}"
@@ -60,33 +70,68 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-FILE_ROWS = 1_000_000
+FILE_ROWS = 50_000
 
 
 def stored_few(df: DataFrame, most: int) -> DataFrame:
-    """stored(), for a narrow table of at most `most` rows, in files of about FILE_ROWS rows."""
+    """stored(), for a narrow table of at most `most` rows, in files of about FILE_ROWS rows, or fewer files if its
+    shuffle has fewer tasks.  What multiplies rows should be dealt out again first, see tasks()."""
     return stored(df.coalesce(max(1, -(-most // FILE_ROWS))))
 
 
+_KEPT: list[DataFrame] = []
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df in the executors' memory or on their disks, filled now, so that its size is known to the plans that use it.
 
     Its lineage stays: what a lost executor held is computed again.  For tables of a few steps from their input that
     several plans read; results of loops and of unstable order are stored() instead, as are those that would stack up:
-    a plan's text, which Spark makes for each query, holds those of all tables kept below it.  Released by
-    spark.catalog.clearCache(), or by unpersist() where no later plan reads it."""
+    a plan's text, which Spark makes for each query, holds those of all tables kept below it.  Operators unpersist()
+    what no later plan reads; what their results read stays until release()."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
+    _KEPT.append(df)
     return df
 
 
-def smallest_hashes(df: DataFrame, group: str, hash_col: str, most: int, salts: int = 64) -> DataFrame:
-    """The rows of the `most` smallest hashes of each group: first of each of `salts` parts of a group, then of those.
+def release() -> None:
+    """Unpersist all that kept() holds, and nothing else.  A result that reads one of these tables stays right, since
+    they have their lineage, but computes it again: release when results are written."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
+
+
+def smallest_hashes(df: DataFrame, group: str, hash_col: str, most: int) -> DataFrame:
+    """(group, hash) of about the `most` smallest distinct hashes of each group, never more.
+
+    A threshold from the group's row count lets through about twice as many rows, which are reduced to distinct hashes
+    before they are shuffled and ranked; so no task meets more than a small multiple of `most`.  (Where hashes repeat in
+    most rows of a group, fewer than `most` may be left.)"""
+    counts = kept(df.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__n")))
+    share = F.shiftrightunsigned(F.col(hash_col), 11).cast("double") * F.lit(2.0**-53)
+    few = df.join(broadcast_few(counts), F.col(group) == F.col("__group")).where(share * F.col("__n") < F.lit(2.0 * most + 64)).select(group, hash_col).distinct()
+    return few.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(F.shiftrightunsigned(hash_col, 1), hash_col))).where(F.col("__r") <= most).drop("__r")
+
 
-    No task ranks more than salts * most rows of a group in the second step, nor a whole group in the first."""
-    part = F.pmod(F.col(hash_col), F.lit(salts))
-    first = df.withColumn("__r", F.row_number().over(Window.partitionBy(group, part).orderBy(hash_col))).where(F.col("__r") <= most)
-    return first.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(hash_col))).where(F.col("__r") <= most).drop("__r")
+def first_texts(rows: DataFrame, most_bytes: int) -> list:
+    """Rows in order up to a total length of their `text`, so that the driver's share is bounded in bytes too."""
+    out, total = [], 0
+    for row in rows.toLocalIterator():
+        total += 4 * len(row["text"])
+        if total > most_bytes:
+            break
+        out.append(row)
+    return out
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_few(df: DataFrame) -> DataFrame:
+    """df, a narrow table that is kept() or stored(), to be broadcast if it has BROADCAST_ROWS rows at most; a larger one
+    is joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def drop_stored(df: DataFrame) -> None:
@@ -125,3 +170,13 @@ def with_python(df: DataFrame, source: str, fn: Callable[[list], list[pa.Array]]
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def packed(df: DataFrame, *own: str) -> DataFrame:
+    """The columns own and, as one column __row, all others, so that their names meet no other's."""
+    return df.select(*own, F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in df.columns if c not in own]).alias("__row"))
+
+
+def unpacked(column: str, *own: str) -> Column:
+    """A column of the frame that was packed."""
+    return F.col(column if column in own else f"__row.`{column}`").alias(column)

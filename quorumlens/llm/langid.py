@@ -5,11 +5,11 @@ share of the text's n-grams of that length (TF) times the inverse document frequ
 are learned by follow-the-regularised-leader with L1 and L2 penalties (most stay exactly zero), and a temperature
 fitted on every tenth sample document, which the weights don't see, calibrates the probabilities.
 
-The model is fitted on a bounded sample: per language the PER_LANGUAGE documents with the smallest hash of doc_id
-among those of at most MAX_CHARS characters, and TOTAL documents in all.  Prediction reads whole texts.
+The model is fitted on a bounded sample: per language about PER_LANGUAGE documents with the smallest hash of doc_id
+among those of at most MAX_CHARS characters, and TOTAL documents and MAX_BYTES in all.  Prediction reads whole texts.
 
 Defined results: text that is null or has no letter is `und` with score 0, as is every text if nothing was learned;
-documents without lang aren't learned from; repeated rows are scored alike; an empty table gives an empty result;
+documents without lang or doc_id aren't learned from; repeated rows are scored alike; an empty table gives an empty result;
 extra columns are kept, `lang_pred` and `score` replaced by `identify`.
 """
 
@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import smallest_hashes, with_python
+from .common import first_texts, packed, smallest_hashes, unpacked, with_python
 
 BITS = 18
 ORDERS = (1, 2, 3)
-PER_LANGUAGE, TOTAL, MAX_CHARS = 600, 12_000, 20_000
+PER_LANGUAGE, TOTAL, MAX_CHARS, MAX_BYTES = 600, 12_000, 20_000, 64_000_000
 SCALE = 100.0
 _MULTIPLIERS = (2654435761, 2246822519, 3266489917)
 
@@ -48,18 +48,19 @@ class Model:
 
     def __init__(self, languages: list[str], rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0):
         self.languages, self.rows, self.weights, self.bias, self.temperature = languages, rows, weights, bias, temperature
-        self._dense = None
+        self._place = None
 
     def __getstate__(self):
-        return {**self.__dict__, "_dense": None}
+        return {**self.__dict__, "_place": None, "_padded": None}
 
     def logits(self, text: str) -> np.ndarray:
-        if self._dense is None:
-            self._dense = np.zeros((1 << BITS, len(self.languages)), np.float32)
-            self._dense[self.rows] = self.weights
+        if self._place is None:
+            self._place = np.full(1 << BITS, len(self.rows), np.int32)  # the row of zeros, which comes last
+            self._place[self.rows] = np.arange(len(self.rows), dtype=np.int32)
+            self._padded = np.concatenate([self.weights, np.zeros((1, len(self.languages)), np.float32)])
         total = self.bias.astype(np.float64)
         for hashes in ngram_hashes(text):
-            total = total + (np.ones(len(hashes), np.float32) @ self._dense[hashes]) * (SCALE / len(hashes))
+            total = total + (np.ones(len(hashes), np.float32) @ self._padded[self._place[hashes]]) * (SCALE / len(hashes))
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -111,7 +112,7 @@ def fit(texts: list[str], labels: list[str], alpha: float = 0.3, beta: float = 1
             bias -= alpha * error / (beta + np.sqrt(seen))
     rows = np.flatnonzero((np.abs(z) > l1).any(1))
     model = Model(languages, rows, (weights(rows) * idf[rows, None]).astype(np.float32), bias)
-    held = [i for i in range(len(texts)) if i not in set(learn)] or learn
+    held = sorted(set(range(len(texts))) - set(learn)) or learn
     logits = np.array([model.logits(texts[i]) for i in held])
     grid = np.geomspace(0.05, 20, 121)
     loss = [-np.mean([np.log(max(1e-300, softmax(row / t)[y[i].argmax()])) for row, i in zip(logits, held, strict=True)]) for t in grid]
@@ -127,12 +128,12 @@ def held_out(doc_id: Column) -> Column:
 def train(documents: DataFrame, where: Column | None = None) -> Model:
     """A model of the languages in documents (rows where `where` holds); only the bounded sample reaches the driver."""
     usable = documents if where is None else documents.where(where)
-    usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= MAX_CHARS))
-    ids = usable.select("doc_id", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"), F.col("lang").cast("string").alias("lang"))
-    chosen = smallest_hashes(ids, "lang", "h", PER_LANGUAGE).orderBy("h").limit(TOTAL)
-    # ids first, texts after: at most TOTAL rows are broadcast, and no text is shuffled
-    sample = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = sample.select("text", "lang", F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h")).orderBy("h", "text").limit(TOTAL).collect()
+    usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.char_length("text") <= MAX_CHARS))
+    usable = usable.select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.lit(5)).alias("h"))
+    chosen = smallest_hashes(usable.select("lang", "h"), "lang", "h", PER_LANGUAGE).orderBy("h").limit(TOTAL)
+    # hashes first, texts after: at most TOTAL rows are broadcast, and no text is shuffled
+    sample = usable.join(F.broadcast(chosen.select("h").distinct()), "h", "left_semi")
+    rows = first_texts(sample.orderBy("h", "text").limit(TOTAL), MAX_BYTES)
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
@@ -149,5 +150,5 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(documents: DataFrame, model: Model, min_score: float = 0.4) -> DataFrame:
     """documents that have letters and a language of at least min_score."""
-    scored = identify(documents.select(F.struct(*documents.columns).alias("__row"), "text"), model)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("__row.*")
+    scored = identify(packed(documents, "text"), model)
+    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*[unpacked(c, "text") for c in documents.columns])
