@@ -12,9 +12,9 @@ their closed balls of radius one meet, and a meeting point has 65 members at mos
 
 Components come from alternating large-star and small-star rounds.
 
-Defined results: null, empty or blank text has fingerprint zero; repeated rows are linked as equal; null doc_ids take
-part but are no component_id unless a component has no other; an empty table gives an empty result; extra columns are
-ignored by `near_duplicates` and kept by `one_of_each`.
+Defined results: null, empty or blank text has fingerprint zero; repeated rows are linked as equal; doc_id may be of any
+type with an order; null doc_ids take part but are no component_id unless a component has no other; an empty table gives
+an empty result; extra columns are ignored by `near_duplicates` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -22,11 +22,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_stored, kept, stored_few, text_of, with_python
+from .common import broadcast_few, drop_stored, kept, stored_few, tasks, text_of, with_python
 
 SHINGLE = 3
 BUCKET = 64
@@ -57,7 +57,7 @@ def fingerprints(documents: DataFrame, *others: Column) -> DataFrame:
     def run(texts: list) -> list[pa.Array]:
         return [pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))]
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), *others, text_of().alias("text"))
+    rows = documents.select("doc_id", *others, text_of().alias("text"))
     return with_python(rows, "text", run, [T.StructField("fp", T.LongType())], drop=("text",))
 
 
@@ -74,6 +74,7 @@ def _unsets(value: Column, bits: int) -> Column:
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: enough pairs of the distinct fingerprints nodes (fp) within two bits to connect all that are."""
+    nodes = nodes.repartition(tasks(nodes.sparkSession), "fp")  # a node becomes 35 rows here, and 65 below
     entries = nodes.select("fp", F.explode(_segments(F.col("fp"))).alias("s")).select("fp", "s.seg", "s.value")
     heavy = kept(entries.groupBy("seg", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET).select("seg", "value"))
     table = entries.join(heavy, ["seg", "value"], "left_anti").withColumnRenamed("fp", "other")
@@ -81,12 +82,14 @@ def links(nodes: DataFrame) -> DataFrame:
     found = ball.join(table, ["seg", "value"]).where((F.col("own") != F.col("value")) | (F.col("fp") < F.col("other")))
     close = found.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2)
     pairs = close.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
-    crowd = ball.join(heavy, ["seg", "value"], "left_semi").select("fp").distinct()
+    crowd = ball.join(heavy, ["seg", "value"], "left_semi").select("fp").distinct().repartition(tasks(nodes.sparkSession), "fp")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
     points = crowd.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
     met = points.groupBy("point").agg(F.sort_array(F.collect_set("fp")).alias("fps")).where(F.size("fps") > 1)
     stars = met.select(F.col("fps")[0].alias("a"), F.explode(F.slice("fps", 2, 65)).alias("b"))
-    return pairs.unionByName(stars).distinct()
+    found = kept(pairs.unionByName(stars).distinct())
+    heavy.unpersist()
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -109,6 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(table.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
 
     first = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    edges.unpersist()
     now, was = first, None
     while (state := digest(now)) != was:
         was, before = state, now
@@ -125,7 +129,10 @@ def near_roots(rows: DataFrame, n: int) -> DataFrame:
     nodes = stored_few(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
     roots = components(links(nodes.select("fp")))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp"))
-    return stored_few(placed.select("fp", "first", "root"), n)
+    out = stored_few(placed.select("fp", "first", "root"), n)
+    drop_stored(nodes)
+    drop_stored(roots)
+    return out
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -135,21 +142,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     placed = near_roots(rows, n)
     ids = stored_few(placed.groupBy("root").agg(F.min("first").alias("component_id")), n)
     names = stored_few(placed.join(ids, "root").select("fp", "component_id"), n)
+    drop_stored(placed)
+    drop_stored(ids)
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
 def survivors(documents: DataFrame, placed: DataFrame) -> DataFrame:
     """documents with one row of each component; placed is (doc_id, version: hash of the text, root) of every row.
 
-    That is a row of the smallest doc_id (null last) and, among texts of that doc_id, of the smallest hash."""
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "version")).alias("x"))
-    stay = kept(first.select(F.col("x.doc_id").alias("__id"), F.col("x.version").alias("__version")))
+    That is a row of the smallest doc_id (null last) and, among texts of that doc_id, of the smallest hash.  Documents meet
+    only the rows that go, where they stand if these are few."""
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "version")
+    rows = placed.groupBy("root", "doc_id", "version").agg(F.count(F.lit(1)).alias("rows"))
+    rows = kept(rows.withColumn("stays", place == F.min(place).over(Window.partitionBy("root"))))
+    repeated = rows.where("stays and rows > 1").limit(1).count()
+    gone = kept(rows.where("not stays").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")))
+    rows.unpersist()
     version = F.xxhash64(text_of())
-    # merged at every size, as a broadcast of the small case would hide that texts are shuffled once
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (version == F.col("__version"))
-    chosen = documents.join(stay.hint("merge"), same, "left_semi")
-    rows, distinct = placed.count(), placed.select("doc_id", "version").distinct().count()
-    if rows == distinct:
+    chosen = documents.join(broadcast_few(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (version == F.col("__version")), "left_anti")
+    if not repeated:
         return chosen
     return chosen.withColumn("__version", version).dropDuplicates(["doc_id", "__version"]).drop("__version")
 
