@@ -9,8 +9,9 @@ met by windows of one shingle, whose MinHash is that shingle: nothing of theirs
 words is one shingle of its own length, looked for at every word of the text.
 
 Windows whose bands are in the catalogue retrieve templates; a match needs at least `threshold` of the template's
-shingles among those around the window, by exact intersection.  All this happens within the row of a text; what is
-shuffled are matches.
+shingles among those around the window, by exact intersection.  Keys of a catalogue of up to LISTED keys are looked up
+within the row of a text, so that only the few windows that hit are joined with the catalogue; those of a larger one
+are joined as they are.  What is shuffled are matches, and keys if the catalogue is too large to be broadcast.
 
 Defined results: null or empty text matches nothing; repeated rows (doc_id and text) give one result; a template that
 occurs several times in a text is reported once, at its first place, with its best containment; an empty table gives
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import once, text_of
 
 SHINGLE, WIDE, BANDS = 5, 16, 8
+#: Keys of the catalogue up to which they are part of the plan; up to which the catalogue is broadcast (20 bytes each).
+LISTED, BROADCAST = 20_000, 1_000_000
 WORDS = r"[\p{L}\p{N}]+"
 
 # Public license notices.
@@ -63,8 +66,8 @@ def wide_keys(start: Column, window: Column) -> Column:
 
 
 def templates(spark: SparkSession, catalogue: list[tuple[str, str]]) -> tuple[DataFrame, list[tuple[int, str]], dict[int, set[str]]]:
-    """(license, t: its distinct shingles), the catalogue's band keys as (key, license), and the first words of notices of
-    fewer than SHINGLE words by their length; all as large as the catalogue."""
+    """(license, t: its distinct shingles), the catalogue's keys as (key, license), and the first words of notices of fewer
+    than SHINGLE words by their length; all as large as the catalogue."""
     rows = shingled(spark.createDataFrame(catalogue, "license string, text string"), "text")
     brief = F.filter(F.array(F.when(F.size("words") > 0, F.xxhash64(F.lit("brief"), F.array_join("words", " ")))), lambda x: x.isNotNull())
     rows = rows.withColumn("t", F.array_distinct(F.when(F.size("h") > 0, F.col("h")).otherwise(brief)))
@@ -79,12 +82,11 @@ def templates(spark: SparkSession, catalogue: list[tuple[str, str]]) -> tuple[Da
     return rows.select("license", "t"), found, first
 
 
-def _brief(n: int, first: set[str], wanted: str) -> str:
-    """SQL of struct(key, at: -1 less the word's number) of each window of n words that is a notice."""
+def _brief(n: int, first: set[str]) -> str:
+    """SQL of struct(key, at: -1 less the word's number) of each window of n words that begins as a notice does."""
     words = ", ".join(f"'{w}'" for w in sorted(first))  # letters and digits only
     starts = f"filter(if(size(words) >= {n}, sequence(0, size(words) - {n}), array()), i -> words[i] in ({words}))"
-    windows = f"transform({starts}, i -> named_struct('key', xxhash64('brief', array_join(slice(words, i + 1, {n}), ' ')), 'at', -1 - i))"
-    return f"filter({windows}, x -> x.key in ({wanted}))"
+    return f"transform({starts}, i -> named_struct('key', xxhash64('brief', array_join(slice(words, i + 1, {n}), ' ')), 'at', -1 - i))"
 
 
 def scan(documents: DataFrame, catalogue: list[tuple[str, str]] = CATALOGUE, threshold: float = 0.8) -> DataFrame:
@@ -94,19 +96,24 @@ def scan(documents: DataFrame, catalogue: list[tuple[str, str]] = CATALOGUE, thr
     text = text_of()
     rows = documents.select("doc_id", F.xxhash64(text).alias("version"), text.alias("text")).where(F.col("text") != "")
     rows = shingled(rows, "text").select("doc_id", "version", "words", "h")
-    wanted = ", ".join(map(str, sorted({k for k, _ in keys})))
     starts = F.when(F.size("h") > 0, F.sequence(F.lit(0), F.size("h") - 1, F.lit(WIDE // 2))).otherwise(F.array().cast("array<int>"))
     windows = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice(F.col("h"), i + 1, F.lit(WIDE)).alias("w")))
-    wide = F.flatten(F.transform(windows, lambda x: wide_keys(x["at"], x["w"])))
-    rows = rows.withColumn("wide", wide)
-    # an IN list of the catalogue's keys keeps the few windows to look at before anything is exploded
-    brief = "".join(f",\n        {_brief(n, words, wanted)}" for n, words in sorted(first.items()))
-    hits = f"""concat(
-        filter(wide, x -> x.key in ({wanted})),
-        filter(transform(h, (x, i) -> named_struct('key', x, 'at', i)), x -> x.key in ({wanted})){brief})"""
-    rows = rows.withColumn("hits", once(F.expr(hits)))
-    bands = spark.createDataFrame(keys, "key long, license string").join(notices, "license").select(F.col("key").alias("band"), "license", "t")
-    hit = rows.select("doc_id", "version", "h", F.explode("hits").alias("x")).join(F.broadcast(bands), F.col("x.key") == F.col("band"))
+    rows = rows.withColumn("wide", F.flatten(F.transform(windows, lambda x: wide_keys(x["at"], x["w"]))))
+    distinct = sorted({k for k, _ in keys})
+    few = len(distinct) <= LISTED
+    # a list of the catalogue's keys keeps the few windows to look at before anything is exploded
+    listed = f"x -> x.key in ({', '.join(map(str, distinct))})" if few and distinct else "x -> true"
+    parts = ["wide", "transform(h, (x, i) -> named_struct('key', x, 'at', i))", *[_brief(n, words) for n, words in sorted(first.items())]]
+    rows = rows.withColumn("hits", once(F.expr(f"concat({', '.join(f'filter({p}, {listed})' for p in parts)})")))
+    bands = spark.createDataFrame(keys, "key long, license string")
+    bands = F.broadcast(bands) if len(keys) <= BROADCAST else bands
+    if few:
+        hit = rows.select("doc_id", "version", "h", F.explode("hits").alias("x")).join(bands, F.col("x.key") == F.col("key"))
+    else:  # keys travel without their text's hashes, which the hits meet afterwards
+        found = rows.select("doc_id", "version", F.explode("hits").alias("x")).join(bands, F.col("x.key") == F.col("key"))
+        found = found.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "x", "license").distinct()
+        hit = rows.select("doc_id", "version", "h").join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version")))
+    hit = hit.join(notices, "license")
     n = F.size("t")
     start = F.greatest(F.lit(0), F.col("x.at") - n)
     near = F.when(F.col("x.at") < 0, F.array("x.key")).otherwise(F.slice("h", start + 1, F.col("x.at") - start + WIDE + n))
