@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from . import ann, langid, licenses, line_dedup, mixing, quality_rules, sentence
 from .common import table
 
 SHARDS = 40
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: A .model file; on the driver, or in any store that Spark reads.
+PIECES = os.environ.get("QUORUMLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +61,13 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
     vocabulary = sentencepiece.load(spark, model)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece.decode(sentencepiece.encode(docs, vocabulary), vocabulary)
+    back = sentencepiece.decode(sentencepiece.encode(docs, vocabulary, paths=True), vocabulary)
     spaces = F.replace(F.col("text"), F.lit(sentencepiece.SPACE), F.lit(" "))
-    return back.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), "n_corrected", F.col("decoded").eqNullSafe(spaces).alias("round_trip"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return back.select(
+        "doc_id", size("ids").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), size("path_ids").alias("n_path_ids"), F.xxhash64("path_ids").alias("path_xxhash64"),
+        "n_corrected", F.col("decoded").eqNullSafe(spaces).alias("round_trip"),
+    )
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

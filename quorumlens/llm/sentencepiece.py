@@ -1,17 +1,21 @@
-"""SentencePiece encoding and decoding in batched numpy.
+"""SentencePiece encoding and decoding in batched numpy: Viterbi, and for models of type BPE an exact check by merge order.
 
 A text gets a space in front and is cut into segments that no piece spans: spaces with the word behind them, and line
 ends.  The distinct segments of an Arrow batch that haven't been met yet are grouped by length, and equal-length ones
 advance together: polynomial hashes of their substrings probe the sorted hashes of the pieces, which gives a lattice
 of scores and ids, and a Viterbi pass over it takes vectorised maxima and stores backpointers.
 
-For a model of type unigram that is the encoding.  A model of type BPE defines its encoding by merge order instead,
-which the best path doesn't always equal; its segments are then checked on the same lattice by merging, best score
-first and leftmost among equals, and where the two differ the merge order holds (`n_corrected` counts these).
+The best path (`path_ids`) is the encoding of a model of type unigram.  A model of type BPE defines its encoding by merge
+order instead, which the best path doesn't always equal; with `merge_order`, the default for such a model, segments are
+checked on the same lattice by merging, best score first and leftmost among equals, and where the two differ the merge
+order holds in `ids` (`n_corrected` counts these segments).  Without it a BPE model is read as a unigram one.
+
+A segment of over WHOLE characters passes through the lattice in blocks; it needs 13 bytes a character for its path,
+and about 60 while it is merged.
 
 Defined results: null and empty text have no ids (null ids for null); characters in no piece fall back to their UTF-8
 bytes if the model has byte pieces, else to the unknown id; U+2581 is a space, as in the format; decoding is exact but
-for it and unknown ids; repeated rows are encoded alike; an empty table gives an empty result; columns ids,
+for it and unknown ids; repeated rows are encoded alike; an empty table gives an empty result; columns ids, path_ids,
 n_corrected, decoded are replaced if there, other columns are kept.
 """
 
@@ -21,6 +25,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -34,8 +39,10 @@ from .common import with_python
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 500_000
-LONG = 256
+#: Segments and their characters that an encoder keeps.
+CACHE, CACHED_CHARS = 500_000, 20_000_000
+#: Lengths from which a segment is merged by a heap, and from which it passes through the lattice in blocks.
+LONG, WHOLE = 256, 65_536
 STARTS = 20
 NONE = -np.inf
 
@@ -119,7 +126,8 @@ class Vocabulary:
         self.shared = np.zeros(len(self.keys) + 1, bool)
         self.shared[:-2] = top[1:] == top[:-1]
         self.probe = np.append(self.keys, np.uint64(0))
-        self.known = {self.pieces[i]: (scores[i], i) for i in usable}
+        ranks = {score: rank for rank, score in enumerate(sorted({scores[i] for i in usable}, reverse=True))}
+        self.known = {self.pieces[i]: (ranks[scores[i]], i) for i in usable}
         self.unknown_score = min(scores[i] for i in usable) - 10.0
         self.raw = [p.encode().replace(SPACE.encode(), b" ") for p in self.pieces]
         for b, i in self.bytes.items():
@@ -196,58 +204,122 @@ class Vocabulary:
         return after[:, :size]
 
     def merged_long(self, text: str) -> list[int]:
-        """Merge order for a segment too long for the batched pass, by a heap."""
-        parts, left, right = list(text), list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
-        heap: list[tuple[float, int, str]] = []
+        """Merge order for a segment too long for the batched pass, by a heap of numbers (rank of the score, place)."""
+        n, known = len(text), self.known
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        heap = [hit[0] << 40 | i for i in range(n - 1) if (hit := known.get(text[i : i + 2]))]
+        heapq.heapify(heap)
 
         def offer(i: int) -> None:
-            j = right[i]
-            if j >= 0 and (hit := self.known.get(parts[i] + parts[j])):
-                heapq.heappush(heap, (-hit[0], i, parts[i] + parts[j]))
+            j = after[i]
+            if j < n and after[j] - i <= self.longest and (hit := known.get(text[i : after[j]])):
+                heapq.heappush(heap, hit[0] << 40 | i)
 
-        for i in range(len(parts) - 1):
-            offer(i)
         while heap:
-            _, i, joined = heapq.heappop(heap)
-            j = right[i] if parts[i] else -1
-            if j < 0 or parts[i] + parts[j] != joined:
+            top = heapq.heappop(heap)
+            rank, i = top >> 40, top & ((1 << 40) - 1)
+            j = after[i]
+            # gone, merged otherwise meanwhile, or without a neighbour
+            if j <= 0 or j >= n or after[j] - i > self.longest or known.get(text[i : after[j]], (-1,))[0] != rank:
                 continue
-            parts[i], parts[j], right[i] = joined, "", right[j]
-            if right[i] >= 0:
-                left[right[i]] = i
+            after[i], after[j] = after[j], 0
+            if after[i] < n:
+                before[after[i]] = i
             offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-        return [x for p in parts if p for x in ([self.known[p][1]] if p in self.known else self.fallback(p))]
+            if before[i] >= 0:
+                offer(before[i])
+        out, i = [], 0
+        while i < n:
+            piece = text[i : after[i]]
+            out += [known[piece][1]] if piece in known else self.fallback(piece)
+            i = after[i]
+        return out
+
+    def best_long(self, text: str) -> list[int]:
+        """The ids of the best path of one segment, its lattice made in blocks of WHOLE places."""
+        n = len(text)
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        best, steps, arcs = array("d", [NONE]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0] = 0.0
+        for at in range(0, n, WHOLE):
+            scores, ids = self.lattice(codes[None, at : at + WHOLE + self.longest])
+            scores, ids = scores[0, : min(WHOLE, n - at)], ids[0]
+            if scores.shape[1] > 1:
+                scores[:, 1] = np.where(scores[:, 1] == NONE, self.unknown_score, scores[:, 1])
+            starts, lengths = np.nonzero(scores > NONE)
+            for i, k, score, piece in zip((starts + at).tolist(), lengths.tolist(), scores[starts, lengths].tolist(), ids[starts, lengths].tolist(), strict=True):
+                total = best[i] + score
+                if total > best[i + k]:  # of equal totals the longest piece, which comes first
+                    best[i + k], steps[i + k], arcs[i + k] = total, k, piece
+        out, end = [], n
+        while end:
+            start = end - steps[end]
+            out.append([arcs[end]] if arcs[end] >= 0 else self.fallback(text[start]))
+            end = start
+        return [x for own in reversed(out) for x in own]
+
+    def _spelled(self, part: list[str], nexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids and all ids of equal-length segments whose pieces end at nexts."""
+        row, start = np.nonzero(nexts)
+        found = ids[row, start, nexts[row, start] - start]
+        counts = np.bincount(row, minlength=len(part))
+        if (found < 0).any():  # single characters outside the vocabulary
+            spell = [[v] if v >= 0 else self.fallback(part[r][c]) for v, r, c in zip(found.tolist(), row.tolist(), start.tolist(), strict=True)]
+            counts = np.bincount(row, weights=[len(x) for x in spell], minlength=len(part)).astype(np.int64)
+            found = np.array([x for own in spell for x in own], np.int32)
+        return counts, found
+
+    def encode_segments(self, segments: list[str], merge_order: bool) -> Iterator[tuple[list[str], tuple, tuple, np.ndarray]]:
+        """Groups of equal length: (segments, numbers of ids and all their ids, the same of their best paths, 1 where merge
+        order differed)."""
+
+        def listed(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+            return np.array([len(x) for x in lists]), np.concatenate([np.array(x, np.int32) for x in lists])
 
-    def encode_segments(self, segments: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
-        """Groups of equal length: (segments, numbers of ids, all their ids, 1 where a BPE model's merge order differed)."""
         groups: dict[int, list[str]] = {}
         for s in segments:
             groups.setdefault(len(s), []).append(s)
         for size, members in groups.items():
-            step = max(1, 65_536 // size)
+            step = max(1, WHOLE // size)
             for at in range(0, len(members), step):
                 part = members[at : at + step]
-                codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(np.uint64)
-                scores, ids = self.lattice(codes)
-                nexts, corrected = self.viterbi(scores), np.zeros(len(part), np.int64)
-                if self.model_type == self.BPE and size <= LONG:
+                if size > WHOLE:
+                    path = listed([self.best_long(s) for s in part])
+                else:
+                    codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(part), size).astype(np.uint64)
+                    scores, ids = self.lattice(codes)
+                    nexts = self.viterbi(scores)
+                    path = self._spelled(part, nexts, ids)
+                exact, corrected = path, np.zeros(len(part), np.int64)
+                if merge_order and size <= LONG:
                     checked = self.merged(scores)
-                    nexts, corrected = checked, (checked != nexts).any(1).astype(np.int64)
-                row, start = np.nonzero(nexts)
-                found = ids[row, start, nexts[row, start] - start]
-                counts = np.bincount(row, minlength=len(part))
-                if self.model_type == self.BPE and size > LONG:
-                    lists = [np.array(self.merged_long(s), np.int32) for s in part]
-                    paths = np.split(found, np.cumsum(counts)[:-1])
-                    corrected = np.array([int(len(a) != len(b) or bool((a != b).any())) for a, b in zip(paths, lists, strict=True)])
-                    found, counts = np.concatenate(lists), np.array([len(x) for x in lists])
-                elif (found < 0).any():  # single characters outside the vocabulary
-                    spell = [[v] if v >= 0 else self.fallback(part[r][c]) for v, r, c in zip(found.tolist(), row.tolist(), start.tolist(), strict=True)]
-                    counts = np.bincount(row, weights=[len(x) for x in spell], minlength=len(part)).astype(np.int64)
-                    found = np.array([x for own in spell for x in own], np.int32)
-                yield part, counts, found, corrected
+                    corrected = (checked != nexts).any(1).astype(np.int64)
+                    if corrected.any():
+                        exact = self._spelled(part, checked, ids)
+                elif merge_order:
+                    exact = listed([self.merged_long(s) for s in part])
+                    ends = [np.split(x, np.cumsum(n)[:-1]) for n, x in (path, exact)]
+                    corrected = np.array([int(not np.array_equal(a, b)) for a, b in zip(*ends, strict=True)])
+                yield part, exact, path, corrected
+
+
+class _Ids:
+    """Lists of ids by number, end to end."""
+
+    def __init__(self):
+        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, lists: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.counts = np.concatenate([self.counts, *[n for n, _ in lists]])
+        self.flat = np.concatenate([self.flat, *[x.astype(np.int32) for _, x in lists]])
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        """The lists of these numbers, one behind the other."""
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)]
 
 
 class Encoder:
@@ -255,43 +327,50 @@ class Encoder:
 
     segment = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, merge_order: bool | None = None):
         self.vocabulary, self.raw = vocabulary, None
+        self.merge_order = vocabulary.model_type == Vocabulary.BPE if merge_order is None else merge_order
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat, self.starts, self.counts, self.fixed = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.exact, self.paths, self.fixed, self.chars = _Ids(), _Ids(), np.zeros(0, np.int64), 0
 
     def _learn(self, new: list[str]) -> None:
-        flat, counts, fixed = [self.flat], [self.counts], [self.fixed]
-        for part, n, ids, corrected in self.vocabulary.encode_segments(new):
+        exact, paths, fixed = [], [], [self.fixed]
+        for part, ids, path, corrected in self.vocabulary.encode_segments(new, self.merge_order):
             self.index.update(zip(part, range(len(self.index), len(self.index) + len(part)), strict=True))
-            flat.append(ids.astype(np.int32))
-            counts.append(n)
+            exact.append(ids)
+            paths.append(path)
             fixed.append(corrected)
-        self.flat, self.counts, self.fixed = np.concatenate(flat), np.concatenate(counts), np.concatenate(fixed)
-        self.starts = np.cumsum(self.counts) - self.counts
+        self.exact.extend(exact)
+        if self.merge_order:
+            self.paths.extend(paths)
+        else:
+            self.paths = self.exact
+        self.fixed = np.concatenate(fixed)
 
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray | None], list[int]]:
+    def encode(self, texts: list[str | None]) -> tuple[list, list, list[int]]:
+        """Of each text the ids, those of its best path, and the number of corrected segments."""
         cut = [self.segment.findall((SPACE * self.vocabulary.dummy_prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
         met = set(chain.from_iterable(cut))
         new = list(met.difference(self.index))
-        if len(self.index) + len(new) > CACHE:
+        self.chars += sum(map(len, new))
+        if len(self.index) + len(new) > CACHE or self.chars > CACHED_CHARS:
             self._reset()
             new = list(met)
+            self.chars = sum(map(len, new))
         if new:
             self._learn(new)
-        out, fixed = [], []
+        out, paths, fixed = [], [], []
         for text, segments in zip(texts, cut, strict=True):
             at = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
-            counts = self.counts[at]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)]
-            out.append(None if text is None else ids)
-            fixed.append(int(self.fixed[at].sum()))
-        return out, fixed
+            n = int(self.fixed[at].sum())
+            ids = None if text is None else self.exact.joined(at)
+            out.append(ids)
+            paths.append(self.paths.joined(at) if n else ids)
+            fixed.append(n)
+        return out, paths, fixed
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids, joined in Arrow; bytes that are no UTF-8 become U+FFFD."""
@@ -317,38 +396,41 @@ def load(spark: SparkSession, path: str) -> Vocabulary:
         return Vocabulary(file.read())
 
 
-#: Encoders of this Python worker by vocabulary: what one task has met the next one knows.
-_ENCODERS: dict[str, Encoder] = {}
+#: Encoders of this Python worker by vocabulary and way: what one task has met the next one knows.
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _shared(df: DataFrame, vocabulary: Vocabulary) -> Callable[[], Encoder]:
+def _shared(df: DataFrame, vocabulary: Vocabulary, merge_order: bool | None = None) -> Callable[[], Encoder]:
     """The vocabulary (one file's size) on the executors, with one encoder a worker."""
-    broadcast, digest = df.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.digest
+    broadcast, key = df.sparkSession.sparkContext.broadcast(vocabulary), (vocabulary.digest, merge_order)
 
     def encoder() -> Encoder:
-        if digest not in _ENCODERS:
+        if key not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[digest] = Encoder(broadcast.value)
-        return _ENCODERS[digest]
+            _ENCODERS[key] = Encoder(broadcast.value, merge_order)
+        return _ENCODERS[key]
 
     return encoder
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """df with ids array<int> of the whole text and n_corrected long."""
-    encoder = _shared(df, vocabulary)
+def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
+    sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
+    values = pa.array(np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]]).astype(np.int32), pa.int32())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array([x is None for x in ids], pa.bool_()))
+
+
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", merge_order: bool | None = None, paths: bool = False) -> DataFrame:
+    """df with ids array<int> of the whole text, n_corrected long and, if asked for, path_ids array<int>."""
+    encoder = _shared(df, vocabulary, merge_order)
 
     def run(texts: list) -> list[pa.Array]:
-        ids, corrected = encoder().encode(texts)
-        sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        mask = pa.array([x is None for x in ids], pa.bool_())
-        values = pa.array(np.concatenate([np.zeros(0, np.int32), *[x for x in ids if x is not None]]).astype(np.int32), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=mask)
-        return [lists, pa.array(corrected, pa.int64())]
-
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_corrected", T.LongType())]
-    return with_python(df, text, run, fields, drop=("ids", "n_corrected"))
+        ids, best, corrected = encoder().encode(texts)
+        return [_lists(ids), *([_lists(best)] if paths else []), pa.array(corrected, pa.int64())]
+
+    lists = T.ArrayType(T.IntegerType())
+    fields = [T.StructField("ids", lists), *([T.StructField("path_ids", lists)] if paths else []), T.StructField("n_corrected", T.LongType())]
+    return with_python(df, text, run, fields, drop=("ids", "n_corrected", "path_ids"))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
