@@ -13,7 +13,7 @@ CATEGORIES = ("collaboration", "campaign", "paid_promotion", "product", "testimo
 MEDIA_TYPES = ("image", "video", "reel", "carousel", "article", "document", "text")
 COLLAB = ("collaboration", "paid_promotion")
 SPACE = r"[\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-WINDOW_DAYS, LEGACY_DAYS, COMPETITORS = 90, 30, 3
+WINDOW_DAYS, LEGACY_DAYS, COMPETITORS, LEGACY_COMPETITORS = 90, 30, 3, 5
 LOW_FOLLOWERS, LOW_INTERACTIONS = 1000, 10
 HISTORY_DAYS, STUCK_MINUTES, POST_LIMIT = 31, 30, 1000
 
@@ -55,8 +55,44 @@ def monday(ts: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A number as text without a trailing .0"""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    """A number of four decimals at most as plain text, without an exponent or zeros at its end."""
+    return F.regexp_replace(x.cast("decimal(38,4)").cast("string"), r"\.?0+$", "")
+
+
+def _tie(x: Column, digits: int) -> tuple[Column, Column, Column]:
+    """Of a number x >= 0: whether its decimal text ends in a 5 behind `digits` decimals, the integer below x times
+    10 ** digits, and the sign of what the binary number is over that half: only its exact value tells a tie."""
+    factor = float(10**digits)
+    scaled = x.cast("decimal(38,15)") * F.lit(10**digits)
+    whole = F.floor(scaled)
+    # x is split in halves of 26 bits, whose products with the factor are exact
+    big = x * F.lit(float(2**27 + 1))
+    high = big - (big - x)
+    over = (high * F.lit(factor) - (whole.cast("double") + 0.5)) + (x - high) * F.lit(factor)
+    return scaled - whole == F.lit("0.5").cast("decimal(2,1)"), whole, over
+
+
+def _nearest(x: Column, digits: int, at_tie: Column, whole: Column, half: Column, over: Column) -> Column:
+    """x >= 0 to `digits` decimals by its exact value; at_tie: the integer of an exact tie."""
+    factor = F.lit(float(10**digits))
+    chosen = F.when(over > 0, whole + 1).when(over < 0, whole).otherwise(at_tie)
+    return F.when(half, chosen.cast("double") / factor).otherwise(F.bround(x, digits))
+
+
+def py_round(x: Column, digits: int = 0) -> Column:
+    """The earlier prototype's rounding: the decimal nearest to the exact binary value, exact ties to even; so 2.675,
+    which is a little less than it says, gives 2.67."""
+    size = F.abs(x)
+    half, whole, over = _tie(size, digits)
+    return F.signum(x) * _nearest(size, digits, whole + F.pmod(whole, F.lit(2)), whole, half, over)
+
+
+def to_fixed(x: Column, digits: int) -> Column:
+    """Text with exactly `digits` decimals of the nearest by exact value, exact ties away from zero."""
+    size = F.abs(x)
+    half, whole, over = _tie(size, digits)
+    text = _nearest(size, digits, whole + 1, whole, half, over).cast(f"decimal(38,{digits})").cast("string")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text)
 
 
 def first_rule(rules: list[tuple[Column, str]]) -> Column:
@@ -77,12 +113,13 @@ def media_type_c(raw: Column) -> Column:
 
 
 def int_or_zero(x: Column) -> Column:
-    """Permissive number: what isn't one counts as 0."""
-    return F.coalesce(x.try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Permissive number: 1200, 1200.0 and 1.2e3 are one and the same, what isn't a finite number counts as 0."""
+    return F.coalesce(F.nanvl(x.try_cast("double"), F.lit(0.0)).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def low_sample(followers: Column, interactions: Column) -> Column:
     """The warning text, or null."""
+    # fixed values: the application's sentence
     text = F.concat(
         F.lit("Reach is small ("), F.format_number(followers, 0), F.lit(" followers, ~"), number_text(js_round(interactions, 1)),
         F.lit(" avg interactions/post) — treat the engagement rate as low-sample and directionally indicative, not a sign of outsized performance."),
@@ -90,4 +127,5 @@ def low_sample(followers: Column, interactions: Column) -> Column:
     return F.when((followers < LOW_FOLLOWERS) | (interactions < LOW_INTERACTIONS), text)
 
 
+# Fixed value: the application's text.
 GROWTH_GAP = "Fewer than two weekly snapshots are available for this account in the window — growth requires at least two data points and is a data gap here, not a zero."

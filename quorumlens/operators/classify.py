@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import CATEGORIES, first_rule
@@ -26,7 +28,7 @@ SIGNALS: dict[str, list[str]] = {
 def category_of(caption: Column, coauthor: Column) -> Column:
     """Signals in order; a co-author alone is a collaboration, never a paid promotion."""
     low = F.lower(F.coalesce(caption, F.lit("")))
-    rules = [(F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w)), name) for name, words in SIGNALS.items()]
+    rules = [(reduce(or_, [low.contains(w) for w in words]), name) for name, words in SIGNALS.items()]
     return F.coalesce(first_rule(rules), F.when(coauthor.isNotNull(), F.lit("collaboration")), F.lit("other"))
 
 
@@ -41,6 +43,12 @@ def by_lookup(posts: DataFrame, known: DataFrame) -> DataFrame:
     return posts.join(known, "post_id", "left").select("post_id", F.coalesce("category", F.lit("other")).alias("category"))
 
 
+def chunked(posts: DataFrame, per: str = "account_id", key: str = "post_id", batch: int = BATCH) -> DataFrame:
+    """posts with chunk: the number of the request of at most `batch` posts of an account that each goes into."""
+    number = F.row_number().over(Window.partitionBy(per).orderBy(key))
+    return posts.withColumn("chunk", F.floor((number - 1) / batch).cast("int"))
+
+
 def by_model(posts: DataFrame, model: Callable[[list[dict]], list[dict]], batch: int = BATCH) -> DataFrame:
     """Answers of a model for batches of at most `batch` posts {id, caption, coauthor}; answers outside the contract
     (unknown ids, categories or confidences) are dropped."""

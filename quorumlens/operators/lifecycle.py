@@ -17,9 +17,11 @@ def next_pending(analyses: DataFrame) -> DataFrame:
 
 
 def claim(analyses: DataFrame, analysis_id) -> DataFrame:
-    """Compare and set: pending becomes scraping; a row that isn't pending any more stays, and the claim is lost."""
-    won = (F.col("analysis_id") == analysis_id) & (F.col("status") == "pending")
-    return analyses.withColumn("status", F.when(won, F.lit("scraping")).otherwise(F.col("status")))
+    """Compare and set: pending becomes scraping; a row that isn't pending any more stays, and the claim is lost.  won:
+    whether it was won, null for the rows that weren't asked for."""
+    asked = F.col("analysis_id") == analysis_id
+    won = F.when(asked, F.col("status") == "pending")
+    return analyses.withColumn("won", won).withColumn("status", F.when(F.coalesce("won", F.lit(False)), F.lit("scraping")).otherwise(F.col("status")))
 
 
 def sweep_stuck(analyses: DataFrame, now) -> DataFrame:
@@ -30,6 +32,29 @@ def sweep_stuck(analyses: DataFrame, now) -> DataFrame:
     return analyses.withColumn("status_detail", detail).withColumn("status", F.when(stuck, F.lit("failed")).otherwise(F.col("status")))
 
 
+# The details of each status.
+DETAILS = {
+    "scraping": "Scraping profiles, posts, and historical growth...",
+    "categorizing": "Classifying post content...",
+    "computing": "Computing metrics...",
+    "synthesizing": "Synthesizing insights...",
+    "rendering": "Rendering reports...",
+    "done": "Complete.",
+}
+
+
+def advanced(analyses: DataFrame, error: str = "error") -> DataFrame:
+    """analyses after one stage each: the next status with its detail, `failed` with the message where a running one has an
+    error; pending, final and unknown ones stay."""
+    following = dict(zip(RUNNING, ORDER[2:], strict=True))
+    after = F.create_map(*[F.lit(x) for pair in following.items() for x in pair])
+    details = F.create_map(*[F.lit(x) for pair in DETAILS.items() for x in pair])
+    runs = F.col("status").isin(*RUNNING)
+    status = F.when(runs & F.col(error).isNotNull(), F.lit("failed")).when(runs, F.element_at(after, F.col("status"))).otherwise(F.col("status"))
+    detail = F.when(runs & F.col(error).isNotNull(), F.col(error)).when(runs, F.element_at(details, F.col("__next"))).otherwise(F.col("status_detail"))
+    return analyses.withColumn("__next", status).withColumn("status_detail", detail).withColumn("status", F.col("__next")).drop("__next")
+
+
 def advance(status: str, error: str | None = None) -> str:
     """The status after a stage; any running stage may fail."""
     if error is not None:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import number_text
+from ..functions.scalar import number_text, to_fixed
+from .metrics import GROUP
 
 
 def upper_median(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -18,11 +19,11 @@ def upper_median(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 
 
 def landscape(metrics: DataFrame) -> DataFrame:
-    """Followers against engagement rate in percent, with the upper medians of both (ranks in one pass per platform)."""
-    rows = metrics.select("platform", "handle", "followers", (F.col("engagement_rate") * 100).alias("rate_pct"), (F.col("role") == "target").alias("is_target"))
+    """Followers against engagement rate in percent, with the upper medians of both."""
+    rows = metrics.select(*GROUP, "handle", "followers", (F.col("engagement_rate") * 100).alias("rate_pct"), (F.col("role") == "target").alias("is_target"))
     for value, name in (("followers", "median_followers"), ("rate_pct", "median_rate_pct")):
-        ranked = F.row_number().over(Window.partitionBy("platform").orderBy(value, "handle"))
-        whole = Window.partitionBy("platform")
+        ranked = F.row_number().over(Window.partitionBy(*GROUP).orderBy(value, "handle"))
+        whole = Window.partitionBy(*GROUP)
         rows = rows.withColumn("__r", ranked).withColumn("__n", F.count(F.lit(1)).over(whole))
         rows = rows.withColumn(name, F.max(F.when(F.expr("__r = __n div 2 + 1"), F.col(value))).over(whole)).drop("__r", "__n")
     return rows
@@ -40,42 +41,53 @@ def media_series(breakdown: DataFrame, handles: Sequence[str]) -> DataFrame:
 
 def category_dots(metrics: DataFrame, breakdown: DataFrame) -> DataFrame:
     """handle, category, avg_engagement, baseline: no `other`, accounts with a baseline above 0 only."""
-    base = metrics.where("baseline_engagement > 0").select("account_id", "platform", "handle", "baseline_engagement")
-    return breakdown.where("category <> 'other'").join(base, "account_id").select("platform", "handle", "category", "avg_engagement", "baseline_engagement")
+    base = metrics.where("baseline_engagement > 0").select("account_id", *GROUP, "handle", "baseline_engagement")
+    return breakdown.where("category <> 'other'").join(base, "account_id").select(*GROUP, "handle", "category", "avg_engagement", "baseline_engagement")
 
 
 def scoreboard(metrics: DataFrame, cumulative: DataFrame) -> DataFrame:
-    """One printed line per account; the target is starred."""
+    """One printed line per account, as the page has it; the target is starred.  A growth that can't be computed is a gap."""
     rows = metrics.join(cumulative, "account_id", "left")
-    growth = F.when(F.col("cumulative_growth_pct").isNotNull(), F.concat(number_text(F.col("cumulative_growth_pct")), F.lit("%"))).otherwise(F.lit("data gap"))
+    printed = lambda x, digits: F.concat(to_fixed(x, digits), F.lit("%"))
+    ranked = lambda text, p: F.concat(text, F.lit(" (p"), F.col(p).cast("string"), F.lit(")"))
+    growth = F.when(F.col("cumulative_growth_pct").isNotNull(), printed(F.col("cumulative_growth_pct"), 1)).otherwise(F.lit("data gap"))
     return rows.select(
-        "platform", F.concat(F.col("handle"), F.when(F.col("role") == "target", F.lit(" *")).otherwise(F.lit(""))).alias("account"),
-        F.concat(F.format_number("followers", 0), F.lit(" ("), F.col("followers_percentile").cast("string"), F.lit(")")).alias("followers"), growth.alias("growth"),
-        F.round(F.col("engagement_rate") * 100, 4).alias("rate_pct"), "engagement_rate_percentile", F.col("low_sample_warning").isNotNull().alias("low_sample"),
-        "avg_likes", "avg_comments", "posts_per_week",
+        *GROUP, F.concat(F.when(F.col("role") == "target", F.lit("★ ")).otherwise(F.lit("")), F.col("handle")).alias("account"),
+        ranked(F.format_number("followers", 0), "followers_percentile").alias("followers"), growth.alias("growth"),
+        ranked(printed(F.col("engagement_rate") * 100, 2), "engagement_rate_percentile").alias("rate"), F.col("low_sample_warning").isNotNull().alias("low_sample"),
+        number_text(F.col("avg_likes")).alias("avg_likes"), number_text(F.col("avg_comments")).alias("avg_comments"), number_text(F.col("posts_per_week")).alias("posts_per_week"),
     )
 
 
 def footnotes(metrics: DataFrame, cumulative: DataFrame) -> DataFrame:
-    """platform, low_sample_handles (in order of handle), growth_gap (of the first account that has one)."""
+    """analysis_id, platform, low_sample_handles (in order of handle), growth_gap (of the first account that has one)."""
     rows = metrics.join(cumulative.select("account_id", "growth_data_gap"), "account_id", "left")
     low = F.array_join(F.array_sort(F.collect_list(F.when(F.col("low_sample_warning").isNotNull(), F.col("handle")))), ", ")
-    return rows.groupBy("platform").agg(low.alias("low_sample_handles"), F.min_by("growth_data_gap", F.when(F.col("growth_data_gap").isNotNull(), F.col("handle"))).alias("growth_gap"))
+    return rows.groupBy(*GROUP).agg(low.alias("low_sample_handles"), F.min_by("growth_data_gap", F.when(F.col("growth_data_gap").isNotNull(), F.col("handle"))).alias("growth_gap"))
 
 
 def cadence_lines(metrics: DataFrame, collab: DataFrame) -> DataFrame:
     """handle and its collaboration line as printed."""
-    rows = metrics.select("account_id", "platform", "handle").join(collab, "account_id")
-    uplift = F.when(F.col("vs_baseline_multiplier").isNotNull(), F.concat(F.lit(", "), number_text(F.col("vs_baseline_multiplier")), F.lit("x baseline"))).otherwise(F.lit(""))
-    return rows.select("platform", "handle", F.concat(F.col("post_count").cast("string"), F.lit(" collab posts, avg engagement "), number_text(F.col("avg_engagement")), uplift).alias("line"))
+    rows = metrics.select("account_id", *GROUP, "handle").join(collab, "account_id")
+    uplift = F.when(F.col("vs_baseline_multiplier").isNotNull(), F.concat(F.lit(", "), number_text(F.col("vs_baseline_multiplier")), F.lit("x baseline engagement"))).otherwise(F.lit(" (no baseline comparison available)"))
+    return rows.select(*GROUP, "handle", F.concat(F.col("post_count").cast("string"), F.lit(" collaboration/paid posts"), uplift).alias("line"))
 
 
 def volume_quality(metrics: DataFrame) -> DataFrame:
     """Earlier prototype: posts per week against average likes with upper medians."""
-    rows = metrics.select("platform", "handle", "posts_per_week", "avg_likes")
-    a = upper_median(rows, "posts_per_week", ["platform"]).withColumnRenamed("median", "median_posts_per_week")
-    b = upper_median(rows, "avg_likes", ["platform"]).withColumnRenamed("median", "median_avg_likes")
-    return rows.join(a, "platform").join(b, "platform")
+    rows = metrics.select(*GROUP, "handle", "posts_per_week", "avg_likes")
+    a = upper_median(rows, "posts_per_week", GROUP).withColumnRenamed("median", "median_posts_per_week")
+    b = upper_median(rows, "avg_likes", GROUP).withColumnRenamed("median", "median_avg_likes")
+    return rows.join(a, list(GROUP)).join(b, list(GROUP))
+
+
+def detailed_page(scores: DataFrame, notes: DataFrame, lines: DataFrame, insights: DataFrame) -> DataFrame:
+    """The detailed report, one row per analysis and platform (`all` last): the lists that the page prints, in order of
+    handle.  insights: analysis_id, platform and the three lists."""
+    score = F.struct("account", *[c for c in scores.columns if c not in (*GROUP, "account")])
+    boards = scores.groupBy(*GROUP).agg(F.sort_array(F.collect_list(score)).alias("scoreboard"))
+    cadence = lines.groupBy(*GROUP).agg(F.sort_array(F.collect_list(F.concat("handle", F.lit(": "), "line"))).alias("cadence"))
+    return insights.join(boards, list(GROUP), "left").join(notes, list(GROUP), "left").join(cadence, list(GROUP), "left")
 
 
 def status(analyses: DataFrame, reports: DataFrame, analysis_id) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import COMPETITORS, PLATFORMS, WINDOW_DAYS, blank, first_rule, js_trim, strip_handle
+from ..functions.scalar import COMPETITORS, LEGACY_COMPETITORS, PLATFORMS, WINDOW_DAYS, blank, first_rule, js_trim, strip_handle
 
 #: platforms array, handles by platform, and competitors with a name and handles by platform
 REQUEST = "companyName string, industry string, region string, platforms array<string>, targetHandles map<string,string>, competitors array<struct<name:string, handles:map<string,string>>>"
@@ -32,6 +32,23 @@ def problem(allowed: tuple[str, ...] = PLATFORMS, competitors: int = COMPETITORS
     ])
 
 
+def legacy_competitors(text: Column) -> Column:
+    """The earlier prototype's list: one handle a line, blank lines left out, every leading @ gone."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: js_trim(x) != "")
+    return F.transform(lines, lambda x: F.regexp_replace(js_trim(x), "^@+", ""))
+
+
+def legacy_problem() -> Column:
+    """The first rule that a form (company, industry, region, target, competitors: text) breaks, or null.  Fields are
+    compared as they are: white space isn't empty."""
+    competitors = legacy_competitors(F.col("competitors"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return first_rule([
+        (F.size(competitors) > LEGACY_COMPETITORS, f"Enter at most {LEGACY_COMPETITORS} competitors."),
+        (empty("company") | empty("industry") | empty("region") | empty("target") | (F.size(competitors) == 0), "All fields are required."),
+    ])
+
+
 def validate(requests: DataFrame) -> DataFrame:
     """request_id, error"""
     return requests.select("request_id", problem().alias("error"))
@@ -69,6 +86,10 @@ def check_handles(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def all_valid(checks: DataFrame) -> DataFrame:
-    """request_id, all_valid, message naming those that aren't."""
-    bad = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("valid"), F.concat(F.col("platform"), F.lit(" @"), F.col("handle"))))), ", ")
-    return checks.groupBy("request_id").agg(F.bool_and("valid").alias("all_valid"), bad.alias("invalid"))
+    """request_id, all_valid, message: the sentence that names those that aren't, in order; null if all are."""
+    name = F.when(F.col("role") == "target", F.lit("Your business")).otherwise(F.coalesce(F.nullif(js_trim(F.col("display_name")), F.lit("")), F.lit("Competitor")))
+    label = F.concat(name, F.lit(" on "), F.col("platform"), F.lit(" (@"), F.col("handle"), F.lit("): "), F.col("error"))
+    bad = F.array_sort(F.collect_list(F.when(~F.col("valid"), label)))
+    # fixed value: the application's sentence
+    message = F.when(F.size(bad) > 0, F.concat(F.lit("Couldn't verify these handles — fix them before running the analysis: "), F.array_join(bad, "; ")))
+    return checks.groupBy("request_id").agg(F.bool_and("valid").alias("all_valid"), message.alias("message"))

@@ -4,10 +4,14 @@ Sizes of the lists are those that the application asks for (it doesn't check the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import number_text
+from .metrics import GROUP
+from .upsert import upsert
 
 SIZES = {"data_observations": (3, 6), "explanations": (2, 5), "recommendations": (3, 6)}
 REPORT_SIZES = {"key_findings": (3, 3), "working_content_patterns": (2, 5), "competitive_gaps": (2, 5), "experiments": (3, 5)}
@@ -18,15 +22,15 @@ def _say(*parts) -> Column:
 
 
 def platform_insights(metrics: DataFrame) -> DataFrame:
-    """platform, data_observations, explanations, recommendations: one row a platform, by aggregation only."""
-    s = metrics.groupBy("platform").agg(
+    """analysis_id, platform, data_observations, explanations, recommendations: one row a platform, by aggregation only."""
+    s = metrics.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("handle", F.struct("engagement_rate", "handle")).alias("top"), F.max("engagement_rate").alias("rate"),
         F.max_by("handle", F.struct("followers", "handle")).alias("big"), F.max("followers").alias("followers"),
         F.count_if(F.col("low_sample_warning").isNotNull()).alias("low"), F.max_by("handle", F.struct("posts_per_week", "handle")).alias("busy"), F.max("posts_per_week").alias("cadence"),
     )
     percent = number_text(F.floor(F.col("rate") * 10000 + 0.5) / 100)
     return s.select(
-        "platform",
+        *GROUP,
         F.array(
             _say(F.col("top"), " has the highest engagement rate of ", F.col("n").cast("string"), " accounts: ", percent, "%."),
             _say(F.col("big"), " has the largest audience: ", F.format_number("followers", 0), " followers."),
@@ -45,23 +49,29 @@ def platform_insights(metrics: DataFrame) -> DataFrame:
 
 
 def with_all(insights: DataFrame) -> DataFrame:
-    """Platform rows and the row `all`, which is there even for a single platform: the first sentences of each, in order."""
+    """Platform rows and each analysis' row `all`, which is there even for a single platform: the first sentences of each,
+    in order."""
 
     def gathered(name: str, most: int) -> Column:
         firsts = F.array_sort(F.collect_list(F.struct("platform", F.transform(name, lambda x, i: F.struct(i.alias("i"), x.alias("x"))).alias("v"))))
         flat = F.flatten(F.transform(firsts, lambda r: F.transform(r["v"], lambda y: F.struct(y["i"].alias("i"), r["platform"].alias("p"), _say(r["platform"], ": ", y["x"]).alias("x")))))
         return F.slice(F.transform(F.array_sort(flat), lambda r: r["x"]), 1, most).alias(name)
 
-    everything = insights.groupBy().agg(*[gathered(n, most) for n, (_, most) in SIZES.items()]).where(F.size("data_observations") > 0)
+    everything = insights.groupBy("analysis_id").agg(*[gathered(n, most) for n, (_, most) in SIZES.items()])
     return insights.unionByName(everything.withColumn("platform", F.lit("all")).select(*insights.columns))
 
 
+def stored_insights(existing: DataFrame, insights: DataFrame) -> DataFrame:
+    """The insights table after an analysis has been synthesised: one row per (analysis_id, platform), replaced if there."""
+    return upsert(existing, insights, GROUP)
+
+
 def customer_report(insights: DataFrame) -> DataFrame:
-    """The customer report's content, from the row `all`."""
+    """Each analysis' customer report, from its row `all`."""
     row = insights.where("platform = 'all'")
     phase = lambda day, i: F.struct(F.array(_say(f"By day {day}: ", F.get("recommendations", F.lit(i)))).alias("actions"), F.array(F.lit("The named metric has moved as hoped.")).alias("success_metrics")).alias(f"day{day}")
     return row.select(
-        F.slice("data_observations", 1, 3).alias("key_findings"), F.slice("explanations", 1, 5).alias("working_content_patterns"), F.slice("data_observations", 2, 3).alias("competitive_gaps"),
+        "analysis_id", F.slice("data_observations", 1, 3).alias("key_findings"), F.slice("explanations", 1, 5).alias("working_content_patterns"), F.slice("data_observations", 2, 3).alias("competitive_gaps"),
         F.slice("recommendations", 1, 5).alias("experiments"), F.struct(phase(30, 0), phase(60, 1), phase(90, 2)).alias("plan"),
     )
 
@@ -75,24 +85,41 @@ def sizes_hold(df: DataFrame, sizes: dict[str, tuple[int, int]]) -> DataFrame:
     return df.withColumn("ok", ok)
 
 
+SWOT = ("strengths", "weaknesses", "opportunities", "threats")
+ADVICE = ("keep_doing", "urgent", "mid_term", "long_term")
+
+
 def swot(metrics: DataFrame) -> DataFrame:
-    """Earlier prototype: four lists of two about the target of each platform."""
+    """Earlier prototype: four lists of two about the target of each platform, and four of recommendations, each of which
+    names its metric."""
     target = metrics.where("role = 'target'")
     word = lambda c, hi, lo: F.when(F.col(c) >= 50, F.lit(hi)).otherwise(F.lit(lo))
-    pair = lambda a, b: F.array(a, b)
+    p = lambda c: F.col(c).cast("string")
     return target.select(
-        "platform", "handle",
-        pair(_say("Engagement percentile ", F.col("engagement_rate_percentile").cast("string")), _say("Likes percentile ", F.col("avg_likes_percentile").cast("string"))).alias("strengths"),
-        pair(_say("Audience percentile ", F.col("followers_percentile").cast("string")), word("followers_percentile", "Reach is not the limit", "Reach is below the median")).alias("weaknesses"),
-        pair(F.lit("Test collaborations"), F.lit("Test the leading format")).alias("opportunities"),
-        pair(F.lit("Competitors with larger audiences"), F.lit("Competitors with a higher cadence")).alias("threats"),
+        *GROUP, "handle",
+        F.array(_say("Engagement percentile ", p("engagement_rate_percentile")), _say("Likes percentile ", p("avg_likes_percentile"))).alias("strengths"),
+        F.array(_say("Audience percentile ", p("followers_percentile")), word("followers_percentile", "Reach is not the limit", "Reach is below the median")).alias("weaknesses"),
+        F.array(F.lit("Test collaborations"), F.lit("Test the leading format")).alias("opportunities"),
+        F.array(F.lit("Competitors with larger audiences"), F.lit("Competitors with a higher cadence")).alias("threats"),
+        F.array(_say("Hold the engagement rate at percentile ", p("engagement_rate_percentile")), _say("Hold average likes at ", number_text(F.col("avg_likes")))).alias("keep_doing"),
+        F.array(word("engagement_rate_percentile", "Protect the engagement rate", "Raise the engagement rate"), word("avg_likes_percentile", "Protect average likes", "Raise average likes")).alias("urgent"),
+        F.array(_say("Test a cadence above ", number_text(F.col("posts_per_week")), " posts per week"), F.lit("Test collaborations against the baseline engagement")).alias("mid_term"),
+        F.array(_say("Grow followers beyond percentile ", p("followers_percentile")), F.lit("Measure follower growth, which is a data gap in a single run")).alias("long_term"),
     )
 
 
-def ranked(insights: DataFrame) -> DataFrame:
-    """Long form: platform, bucket, position, sentence."""
-    out = None
-    for name in SIZES:
-        part = insights.select("platform", F.lit(name).alias("bucket"), F.posexplode(name).alias("position", "sentence"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def ranked(lists: DataFrame, names: Sequence[str] = tuple(SIZES), keys: Sequence[str] = GROUP) -> DataFrame:
+    """Long form of list columns: keys, bucket (the column), position, sentence."""
+
+    def placed(name: str) -> Column:
+        return F.transform(name, lambda x, i: F.struct(F.lit(name).alias("bucket"), i.alias("position"), x.alias("sentence")))
+
+    entries = F.concat(*map(placed, names))
+    return lists.select(*keys, F.explode(entries).alias("e")).select(*keys, "e.*")
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """Long form of customer reports: analysis_id, bucket, position, sentence; the plan's phases are buckets too."""
+    phases = [c for day in (30, 60, 90) for c in (F.col(f"plan.day{day}.actions").alias(f"day{day}_actions"), F.col(f"plan.day{day}.success_metrics").alias(f"day{day}_success_metrics"))]
+    flat = report.select("analysis_id", *REPORT_SIZES, *phases)
+    return ranked(flat, flat.columns[1:], ["analysis_id"])

@@ -17,10 +17,11 @@ class Domain:
 
     @property
     def accounts(self) -> DataFrame:
-        first = F.min("s_suppkey").over(Window.partitionBy("n_regionkey"))
+        analysis = F.col("s_suppkey") % 7
+        first = F.min("s_suppkey").over(Window.partitionBy(analysis, "n_regionkey"))
         joined = self.table("supplier").join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         return joined.select(
-            F.col("s_suppkey").alias("account_id"), F.col("s_name").alias("handle"), F.col("n_regionkey").cast("string").alias("platform"),
+            F.col("s_suppkey").alias("account_id"), analysis.alias("analysis_id"), F.col("s_name").alias("handle"), F.col("n_regionkey").cast("string").alias("platform"),
             F.floor("s_acctbal").cast("bigint").alias("followers"), F.when(F.col("s_suppkey") == first, "target").otherwise("competitor").alias("role"),
         )
 
@@ -57,8 +58,8 @@ class Domain:
 
 #: The same views for DuckDB, as common table expressions.
 CTE = {
-    "accounts": """accounts as (select s_suppkey as account_id, s_name as handle, n_regionkey::varchar as platform, floor(s_acctbal)::bigint as followers,
-  case when s_suppkey = min(s_suppkey) over (partition by n_regionkey) then 'target' else 'competitor' end as role
+    "accounts": """accounts as (select s_suppkey as account_id, s_suppkey % 7 as analysis_id, s_name as handle, n_regionkey::varchar as platform, floor(s_acctbal)::bigint as followers,
+  case when s_suppkey = min(s_suppkey) over (partition by s_suppkey % 7, n_regionkey) then 'target' else 'competitor' end as role
   from supplier join nation on s_nationkey = n_nationkey)""",
     "posts": """posts as (select l_suppkey as account_id, l_orderkey || '-' || l_linenumber as post_url, floor(l_quantity)::bigint as likes, l_linenumber::bigint as comments,
   case when l_returnflag <> 'N' then floor(l_tax * 100 + 0.5)::bigint end as shares, nullif(l_returnflag, 'A') as media_type, l_shipdate as posted_at, l_partkey as category_key from lineitem)""",

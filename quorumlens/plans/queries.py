@@ -38,6 +38,11 @@ def r(x: str, digits: int = 2) -> str:
     return f"(floor(({x}) * 1e{digits} + 0.5e0) / 1e{digits})"
 
 
+def num(x: str) -> str:
+    """A number as plain text in SQL."""
+    return f"regexp_replace({x}::varchar, '\\.0$', '')"
+
+
 # ------------------------------------------------------------------ account metrics
 
 _SUMS = """sums as (select account_id, count(*) as n, sum(likes)::double as likes, sum(comments)::double as comments, sum(shares)::double as shares, count(shares) as n_shares
@@ -45,13 +50,13 @@ _SUMS = """sums as (select account_id, count(*) as n, sum(likes)::double as like
 raw as (select a.*, coalesce(s.n, 0)::bigint as post_count, coalesce(s.likes / s.n, 0e0) as l, coalesce(s.comments / s.n, 0e0) as c,
   case when s.n_shares > 0 then s.shares / s.n_shares end as sh from accounts a left join sums s using (account_id))"""
 _METRICS = f"""{_SUMS},
-rounded as (select account_id, handle, platform, role, followers, post_count, {r("l")} as avg_likes, {r("c")} as avg_comments, {r("sh")} as avg_shares,
+rounded as (select account_id, analysis_id, handle, platform, role, followers, post_count, {r("l")} as avg_likes, {r("c")} as avg_comments, {r("sh")} as avg_shares,
   {r("case when followers > 0 then (l + c + coalesce(sh, 0e0)) / followers else 0e0 end", 4)} as engagement_rate, {r("post_count / (90 / 7::double)")} as posts_per_week, {r("l + c")} as baseline_engagement,
   case when followers < 1000 or l + c < 10 then 'Reach is small (' || format('{{:,}}', followers) || ' followers, ~' || regexp_replace({r("l + c", 1)}::varchar, '\\.0$', '')
     || ' avg interactions/post) — treat the engagement rate as low-sample and directionally indicative, not a sign of outsized performance.' end as low_sample_warning from raw),
-metrics as (select *, floor(1e2 * count(*) over (partition by platform order by engagement_rate) / count(*) over (partition by platform) + 0.5e0)::bigint as engagement_rate_percentile,
-  floor(1e2 * count(*) over (partition by platform order by followers) / count(*) over (partition by platform) + 0.5e0)::bigint as followers_percentile,
-  floor(1e2 * count(*) over (partition by platform order by avg_likes) / count(*) over (partition by platform) + 0.5e0)::bigint as avg_likes_percentile from rounded)"""
+metrics as (select *, floor(1e2 * count(*) over (partition by analysis_id, platform order by engagement_rate) / count(*) over (partition by analysis_id, platform) + 0.5e0)::bigint as engagement_rate_percentile,
+  floor(1e2 * count(*) over (partition by analysis_id, platform order by followers) / count(*) over (partition by analysis_id, platform) + 0.5e0)::bigint as followers_percentile,
+  floor(1e2 * count(*) over (partition by analysis_id, platform order by avg_likes) / count(*) over (partition by analysis_id, platform) + 0.5e0)::bigint as avg_likes_percentile from rounded)"""
 
 
 @query("account_metrics", f"{having('accounts', 'posts')},\n{_METRICS}\nselect * from metrics")
@@ -59,9 +64,9 @@ def _account_metrics(d: Domain) -> DataFrame:
     return metrics.account_metrics(d.accounts, d.posts)
 
 
-@query("win2_percentiles", f"{having('accounts', 'posts')},\n{_METRICS}\nselect platform, account_id, engagement_rate_percentile, followers_percentile, avg_likes_percentile from metrics")
+@query("win2_percentiles", f"{having('accounts', 'posts')},\n{_METRICS}\nselect analysis_id, platform, account_id, engagement_rate_percentile, followers_percentile, avg_likes_percentile from metrics")
 def _percentiles(d: Domain) -> DataFrame:
-    return metrics.account_metrics(d.accounts, d.posts).select("platform", "account_id", "engagement_rate_percentile", "followers_percentile", "avg_likes_percentile")
+    return metrics.account_metrics(d.accounts, d.posts).select("analysis_id", "platform", "account_id", "engagement_rate_percentile", "followers_percentile", "avg_likes_percentile")
 
 
 @query("agg7_media_breakdown", f"{having('posts')} select account_id, coalesce(media_type, 'unknown') as media_type, count(*) as post_count, {r('sum(likes + comments)::double / count(*)')} as avg_engagement from posts group by 1, 2")
@@ -135,10 +140,10 @@ def _cumulative(d: Domain) -> DataFrame:
     return growth.cumulative_growth(d.users, growth.weekly_snapshots(d.points))
 
 
-@query("agg13_growth_lists", f"{having('points', 'weekly')}, {_GROWTH} select account_id, string_agg(week_start::varchar || ':' || followers::varchar, ',' order by week_start) as weeks from growth group by 1")
+@query("agg13_growth_lists", f"{having('points', 'weekly')}, {_GROWTH} select account_id, string_agg(week_start::varchar || ':' || followers::varchar || ':' || coalesce({num('growth_pct')}, '-'), ',' order by week_start) as weeks from growth group by 1")
 def _lists(d: Domain) -> DataFrame:
     lists = growth.growth_lists(d.points.select("account_id").distinct(), growth.weekly_snapshots(d.points))
-    return lists.select("account_id", F.array_join(F.transform("weekly_growth", lambda w: F.concat(w["week_start"].cast("string"), F.lit(":"), w["followers"].cast("string"))), ",").alias("weeks"))
+    return lists.select("account_id", F.array_join(F.transform("weekly_growth", lambda w: F.concat(w["week_start"].cast("string"), F.lit(":"), w["followers"].cast("string"), F.lit(":"), F.coalesce(S.number_text(w["growth_pct"]), F.lit("-")))), ",").alias("weeks"))
 
 
 @query("flt4_snapshots_since", f"{having('points', 'weekly')} select * from weekly where week_start >= date_trunc('week', timestamp '2024-01-30' - interval 14 days)::date")
@@ -159,13 +164,19 @@ def _streaming(d: Domain) -> DataFrame:
 # ------------------------------------------------------------------ raw sources
 
 
-def _raw(df: DataFrame, handle: str, **fields) -> DataFrame:
-    return df.select(F.col(handle).alias("handle"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("item"))
+def _raw(df: DataFrame, handle: str, *more: Column, **fields) -> DataFrame:
+    return df.select(F.col(handle).alias("handle"), *more, F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("item"))
+
+
+def _written(n: Column) -> Column:
+    """A number as sources write it: 1200, 1200.0 or 1.2e3."""
+    k = F.pmod(n, F.lit(3))
+    return F.when(k == 0, n.cast("string")).when(k == 1, F.concat(n.cast("string"), F.lit(".0"))).otherwise(F.concat((n / 10).cast("decimal(20,1)").cast("string"), F.lit("e1")))
 
 
 def _profiles_a(d: Domain) -> DataFrame:
     c = d.table("customer")
-    return _raw(c, "c_name", fullName=F.when(F.col("c_nationkey") != 3, F.col("c_name")), followersCount=F.floor("c_acctbal").cast("string"), followsCount=F.when(F.col("c_nationkey") > 9, F.col("c_nationkey")), biography=F.nullif("c_mktsegment", F.lit("BUILDING")))
+    return _raw(c, "c_name", fullName=F.when(F.col("c_nationkey") != 3, F.col("c_name")), followersCount=_written(F.floor("c_acctbal")), followsCount=F.when(F.col("c_nationkey") > 9, F.col("c_nationkey")), biography=F.nullif("c_mktsegment", F.lit("BUILDING")))
 
 
 @query("src1_profiles_a", "select c_name as handle, case when c_nationkey <> 3 then c_name end as display_name, floor(c_acctbal)::bigint as followers, case when c_nationkey > 9 then c_nationkey::bigint end as following, nullif(c_mktsegment, 'BUILDING') as bio from customer")
@@ -206,7 +217,7 @@ def _type() -> Column:
 def _posts_a(d: Domain) -> DataFrame:
     stamp = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     open_ = F.col("l_linestatus") == "O"
-    return _raw(d.table("lineitem"), "l_suppkey", url=F.when(F.col("l_linenumber") < 7, F.col("l_orderkey").cast("string")).otherwise(""), caption=F.col("l_linestatus"), type=_type(), likesCount=F.floor("l_quantity"), commentsCount=F.when(open_, F.col("l_linenumber")),
+    return _raw(d.table("lineitem"), "l_suppkey", F.col("l_shipdate").alias("day"), url=F.when(F.col("l_linenumber") < 7, F.col("l_orderkey").cast("string")).otherwise(""), caption=F.col("l_linestatus"), type=_type(), likesCount=F.floor("l_quantity"), commentsCount=F.when(open_, F.col("l_linenumber")),
                 timestamp=F.when(open_, stamp), takenAt=stamp, coauthorProducers=F.when(F.col("l_returnflag") == "R", F.array(F.struct(F.lit("partner").alias("username")))))
 
 
@@ -215,29 +226,29 @@ _MEDIA_A = "(['carousel', 'reel', 'video', 'image', 'carousel', 'reel', 'image',
 
 @query("src4_posts_a", f"select l_suppkey as handle, l_orderkey::varchar as post_url, l_linestatus as caption, {_MEDIA_A} as media_type, floor(l_quantity)::bigint as likes, case when l_linestatus = 'O' then l_linenumber else 0 end::bigint as comments, null::bigint as shares, l_shipdate as posted_at, case when l_returnflag = 'R' then 'partner' end as coauthor_handle from lineitem where l_linenumber < 7 and l_shipdate >= timestamp '2001-11-04' - interval 90 days")
 def _src4(d: Domain) -> DataFrame:
-    return raw.accepted(raw.post_a(_posts_a(d)), "2001-08-06 00:00:00", limit=None).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+    return raw.accepted(raw.post_a(raw.newer(_posts_a(d), "2001-08-06 00:00:00")), "2001-08-06 00:00:00", limit=None).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
 def _posts_b(d: Domain) -> DataFrame:
     seconds = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
     number = F.col("l_linestatus") == "O"
-    return _raw(d.table("lineitem"), "l_suppkey", createTime=F.when(number, seconds), createTimeISO=F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), webVideoUrl=F.when(number, F.col("l_orderkey").cast("string")), url=F.lit("u"), text=F.col("l_returnflag"), diggCount=F.floor("l_quantity"), commentCount=F.col("l_linenumber"), shareCount=F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")))
+    return _raw(d.table("lineitem"), "l_suppkey", F.col("l_shipdate").alias("day"), createTime=F.when(number, seconds), createTimeISO=F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"), webVideoUrl=F.when(number, F.col("l_orderkey").cast("string")), url=F.lit("u"), text=F.col("l_returnflag"), diggCount=F.floor("l_quantity"), commentCount=F.col("l_linenumber"), shareCount=F.when(F.col("l_returnflag") != "N", F.col("l_linenumber")))
 
 
 @query("src5_posts_b", "select l_suppkey as handle, case when l_linestatus = 'O' then l_orderkey::varchar else 'u' end as post_url, l_returnflag as caption, 'video' as media_type, floor(l_quantity)::bigint as likes, l_linenumber::bigint as comments, case when l_returnflag <> 'N' then l_linenumber::bigint end as shares, l_shipdate as posted_at, null::varchar as coauthor_handle from lineitem where l_shipdate >= timestamp '2001-11-04' - interval 90 days")
 def _src5(d: Domain) -> DataFrame:
-    return raw.accepted(raw.post_b(_posts_b(d)), "2001-08-06 00:00:00", limit=None).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+    return raw.accepted(raw.post_b(raw.newer(_posts_b(d), "2001-08-06 00:00:00")), "2001-08-06 00:00:00", limit=None).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
 def _posts_c(d: Domain) -> DataFrame:
     stamp, n = F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_linenumber")
     kind = F.element_at(F.array(*map(F.lit, ["NativeVideo", "photo post", "PDF", "Article", "text", "IMAGE", "poll", "document"])), (n % 8 + 1).cast("int"))
-    return _raw(d.table("lineitem"), "l_suppkey", postedAt=F.when(n == 1, stamp), publishedAt=F.when(n == 2, stamp), date=F.when(n > 2, F.when(n == 7, F.lit("no date")).otherwise(stamp)), postUrl=F.col("l_orderkey").cast("string"), content=F.col("l_linestatus"), contentType=kind, likeCount=F.when(n == 1, F.lit(5)), reactionCount=F.floor("l_quantity"), commentCount=F.lit("x"), shareCount=n)
+    return _raw(d.table("lineitem"), "l_suppkey", F.col("l_shipdate").alias("day"), postedAt=F.when(n == 1, stamp), publishedAt=F.when(n == 2, stamp), date=F.when(n > 2, F.when(n == 7, F.lit("no date")).otherwise(stamp)), postUrl=F.col("l_orderkey").cast("string"), content=F.col("l_linestatus"), contentType=kind, likeCount=F.when(n == 1, F.lit(5)), reactionCount=F.floor("l_quantity"), commentCount=F.lit("x"), shareCount=n)
 
 
 @query("src6_posts_c", "select l_suppkey as handle, l_orderkey::varchar as post_url, l_linestatus as caption, (['video', 'image', 'document', 'article', 'text', 'image', null, 'document'])[l_linenumber % 8 + 1] as media_type, case when l_linenumber = 1 then 5 else floor(l_quantity) end::bigint as likes, 0::bigint as comments, l_linenumber::bigint as shares, l_shipdate as posted_at, null::varchar as coauthor_handle from lineitem where l_linenumber <> 7 and l_shipdate >= timestamp '2001-11-04' - interval 90 days")
 def _src6(d: Domain) -> DataFrame:
-    return raw.accepted(raw.post_c(_posts_c(d)), "2001-08-06 00:00:00", limit=None).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+    return raw.accepted(raw.post_c(raw.newer(_posts_c(d), "2001-08-06 00:00:00")), "2001-08-06 00:00:00", limit=None).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
 def _history(d: Domain) -> DataFrame:
@@ -273,6 +284,33 @@ def _srt5(d: Domain) -> DataFrame:
     return raw.accepted(raw.post_a(_posts_a(d)), "1990-01-01 00:00:00", limit=5).select("handle", "post_url", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
 
 
+@query("srt6_first_item", "select c_nationkey as handle, arg_min(case when c_nationkey <> 3 then c_name end, c_custkey) as display_name, arg_min(floor(c_acctbal)::bigint, c_custkey) as followers from (select * from customer) group by 1")
+def _srt6(d: Domain) -> DataFrame:
+    c = d.table("customer")
+    items = _raw(c, "c_nationkey", F.col("c_custkey").alias("ordinal"), fullName=F.when(F.col("c_nationkey") != 3, F.col("c_name")), followersCount=F.floor("c_acctbal"))
+    profiles = items.select("handle", "ordinal", F.from_json("item", raw.PROFILE_A).alias("r"))
+    typed = profiles.select("handle", "ordinal", F.col("r.fullName").alias("display_name"), S.int_or_zero(F.col("r.followersCount")).alias("followers"))
+    return raw.first_item(typed, "ordinal").select("handle", "display_name", "followers")
+
+
+@query("src19_legacy_profiles", "select c_name as handle, case when c_nationkey % 4 <> 1 then floor(c_acctbal)::bigint end as followers, case when c_nationkey > 9 then c_nationkey::bigint end as following, nullif(c_mktsegment, 'BUILDING') as bio from customer")
+def _src19_profiles(d: Domain) -> DataFrame:
+    k = F.col("c_nationkey")
+    return raw.legacy_profile(_raw(d.table("customer"), "c_name", followersCount=F.when(k % 4 != 1, F.floor("c_acctbal")), followsCount=F.when(k > 9, k), biography=F.nullif("c_mktsegment", F.lit("BUILDING"))))
+
+
+@query("src19_legacy_posts", "select l_suppkey as handle, case when l_linenumber < 7 then l_orderkey::varchar else '' end as post_url, l_linestatus as caption, (['Sidecar', 'clips', 'GraphVideo', 'Photo', 'CAROUSEL_ALBUM', 'reel', 'Image', 'other'])[l_linenumber % 8 + 1] as media_type, floor(l_quantity)::bigint as likes, case when l_linestatus = 'O' then l_linenumber else 0 end::bigint as comments, l_shipdate as posted_at, case when l_returnflag = 'R' then 'partner' end as coauthor_handle from lineitem where l_shipdate >= timestamp '2001-11-04' - interval 30 days")
+def _src19_posts(d: Domain) -> DataFrame:
+    posts = raw.legacy_posts(raw.newer(_posts_a(d), "2001-10-05 00:00:00"), POSTS_AS_OF)
+    return posts.withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
+
+
+@query("snk15_legacy_upsert", f"{having('posts')}, old as (select account_id, post_url, max(likes) as likes from posts where posted_at < '2000-01-01' group by 1, 2), new as (select account_id, post_url, max(likes) + 7 as likes from posts where posted_at >= '1999-06-01' group by 1, 2) select account_id, post_url, coalesce(n.likes, o.likes) as likes from old o full join new n using (account_id, post_url)")
+def _snk15(d: Domain) -> DataFrame:
+    most = lambda df, more: df.groupBy("account_id", "post_url").agg((F.max("likes") + more).alias("likes"))
+    return upsert.upsert(most(d.posts.where("posted_at < '2000-01-01'"), 0), most(d.posts.where("posted_at >= '1999-06-01'"), 7), ["account_id", "post_url"])
+
+
 # ------------------------------------------------------------------ scans
 
 
@@ -358,12 +396,39 @@ def _snk2(d: Domain) -> DataFrame:
     return requests.handles(valid)
 
 
-@query("agg16_handle_checks", "select c_custkey as request_id, bool_and(f <> 0) as all_valid from (select c_custkey, floor(c_acctbal) as f from customer where c_nationkey not in (0, 1, 2)) group by 1")
+def _handle_checks(d: Domain) -> DataFrame:
+    """Four handles a request; those of some nations have no profile, some profiles are empty."""
+    c = d.table("customer")
+    wanted = c.select(F.floor(F.col("c_custkey") / 4).alias("request_id"), F.lit("instagram").alias("platform"), F.col("c_name").alias("handle"), F.when(F.col("c_custkey") % 4 == 0, "target").otherwise("competitor").alias("role"), F.concat(F.lit(" "), F.col("c_name")).alias("display_name"))
+    k = F.col("c_nationkey")
+    there = c.where(~k.isin(0, 1, 2))
+    profiles = raw.profile_a(_raw(there, "c_name", fullName=F.when(~k.isin(3, 4), F.col("c_name")), followersCount=F.when(k != 4, F.floor("c_acctbal")), biography=F.when(k != 4, F.nullif("c_mktsegment", F.lit("BUILDING")))))
+    return requests.check_handles(wanted, profiles.withColumn("platform", F.lit("instagram")))
+
+
+_CHECKS = """c as (select c_custkey // 4 as request_id, c_custkey % 4 = 0 as target, c_name as handle, case when c_nationkey not in (3, 4) then c_name end as profile_name, case when c_nationkey <> 4 then nullif(c_mktsegment, 'BUILDING') end as bio, c_nationkey not in (0, 1, 2) as there,
+  case when c_nationkey = 4 then 0 else floor(c_acctbal)::bigint end as followers from customer),
+k as (select *, there and not (followers = 0 and coalesce(profile_name, '') = '' and coalesce(bio, '') = '') as valid from c)"""
+
+
+@query("flt13_handle_found", f"with {_CHECKS} select request_id, handle, valid, case when valid then followers end as followers, case when not valid then 'Account not found or the actor returned no data for this handle.' end as error from k")
+def _flt13(d: Domain) -> DataFrame:
+    return _handle_checks(d).select("request_id", "handle", "valid", "followers", "error")
+
+
+@query("agg16_handle_checks", f"""with {_CHECKS}, t as (select *, case when target then 'Your business' else handle end || ' on instagram (@' || handle || '): Account not found or the actor returned no data for this handle.' as text from k)
+select request_id, bool_and(valid) as all_valid, 'Couldn''t verify these handles — fix them before running the analysis: ' || string_agg(text, '; ' order by text) filter (where not valid) as message from t group by 1""")
 def _agg16(d: Domain) -> DataFrame:
-    c = d.table("customer").where("c_nationkey not in (0, 1, 2)")
-    wanted = c.select(F.col("c_custkey").alias("request_id"), F.lit("instagram").alias("platform"), F.col("c_name").alias("handle"))
-    profiles = raw.profile_a(_profiles_a(d)).withColumn("platform", F.lit("instagram")).withColumn("display_name", F.lit("")).withColumn("bio", F.lit(None).cast("string"))
-    return requests.all_valid(requests.check_handles(wanted, profiles)).select("request_id", "all_valid")
+    return requests.all_valid(_handle_checks(d))
+
+
+@query("flt15_legacy_form", """with f as (select c_custkey as request_id, case when c_nationkey = 0 then '' else c_name end as company, case when c_nationkey = 1 then '' else c_mktsegment end as industry, ' ' as region, case when c_nationkey <> 2 then '@x' end as target, c_nationkey % 8 as n from customer)
+select request_id, case when n > 5 then 'Enter at most 5 competitors.' when company = '' or industry = '' or target is null or n = 0 then 'All fields are required.' end as error, n::int as n_competitors from f""")
+def _flt15(d: Domain) -> DataFrame:
+    k = F.col("c_nationkey")
+    lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < k % 8, F.concat(F.lit(" @@rival"), i.cast("string"))).otherwise(F.lit("  ")))
+    form = d.table("customer").select(F.col("c_custkey").alias("request_id"), F.when(k != 0, F.col("c_name")).otherwise("").alias("company"), F.when(k != 1, F.col("c_mktsegment")).otherwise("").alias("industry"), F.lit(" ").alias("region"), F.when(k != 2, "@x").alias("target"), F.array_join(lines, "\n").alias("competitors"))
+    return form.select("request_id", requests.legacy_problem().alias("error"), F.size(requests.legacy_competitors(F.col("competitors"))).alias("n_competitors"))
 
 
 # ------------------------------------------------------------------ upserts
@@ -429,14 +494,30 @@ def _snk10(d: Domain) -> DataFrame:
     return upsert.upsert(first, pdf, keys)
 
 
-@query("snk12_sweep_stuck", f"{having('analyses')} select case when status = 'computing' and created_at < timestamp '1998-06-01' - interval 30 minutes then 'failed' else status end as status, count(*) as n from analyses group by 1")
+@query("snk12_sweep_stuck", f"{having('analyses')}, a as (select *, status = 'computing' and created_at < timestamp '1998-06-01' - interval 30 minutes as stuck from analyses) select analysis_id, case when stuck then 'failed' else status end as status, case when stuck then 'Timed out — the worker stopped before finishing.' else status_detail end as status_detail from a")
 def _snk12(d: Domain) -> DataFrame:
-    return lifecycle.sweep_stuck(d.analyses, "1998-06-01 00:00:00").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return lifecycle.sweep_stuck(d.analyses, "1998-06-01 00:00:00").select("analysis_id", "status", "status_detail")
 
 
-@query("snk11_claim", f"{having('analyses')} select case when analysis_id in (1, 2, 3) and analysis_id = 2 and status = 'pending' then 'scraping' else status end as status, count(*) as n from analyses group by 1")
+@query("snk11_claim", f"{having('analyses')} select analysis_id, case when analysis_id = 2 and status = 'pending' then 'scraping' else status end as status, case when analysis_id = 2 then status = 'pending' end as won from analyses")
 def _snk11(d: Domain) -> DataFrame:
-    return lifecycle.claim(d.analyses, 2).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return lifecycle.claim(d.analyses, 2).select("analysis_id", "status", "won")
+
+
+_STAGES = lifecycle.RUNNING
+_NEXT = " ".join(f"when '{a}' then '{b}'" for a, b in zip(_STAGES, lifecycle.ORDER[2:], strict=True))
+_DETAIL = " ".join(f"when '{k}' then '{v}'" for k, v in lifecycle.DETAILS.items())
+
+
+@query("snk13_status_transitions", f"""with a as (select o_orderkey as analysis_id, (['pending', 'scraping', 'categorizing', 'computing', 'synthesizing', 'rendering', 'done', 'failed'])[o_orderkey % 8 + 1] as status, case when o_custkey % 5 = 0 then 'Error ' || o_custkey end as error from orders),
+b as (select *, status in ('scraping', 'categorizing', 'computing', 'synthesizing', 'rendering') as runs, case status {_NEXT} end as following from a)
+select analysis_id, case when runs and error is not null then 'failed' when runs then following else status end as status,
+  case when runs and error is not null then error when runs then case following {_DETAIL} end else '' end as status_detail from b""")
+def _snk13(d: Domain) -> DataFrame:
+    o = d.table("orders")
+    status = F.element_at(F.array(*map(F.lit, S.STATUSES)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    error = F.when(F.col("o_custkey") % 5 == 0, F.concat(F.lit("Error "), F.col("o_custkey").cast("string")))
+    return lifecycle.advanced(o.select(F.col("o_orderkey").alias("analysis_id"), status.alias("status"), F.lit("").alias("status_detail"), error.alias("error"))).drop("error")
 
 
 @query("snk17_violations", "select 'unique account_id, post_url' as rule, count(*) as n from (select 1 from lineitem group by l_suppkey, l_orderkey, l_linenumber having count(*) > 1) having count(*) > 0 union all select 'not null media_type', count(*) from lineitem where l_returnflag = 'A' having count(*) > 0 union all select 'check media_type', count(*) from lineitem where l_returnflag = 'R' having count(*) > 0")
@@ -457,9 +538,9 @@ def _cascade(d: Domain) -> DataFrame:
 # ------------------------------------------------------------------ read models
 
 
-@query("agg14_upper_median", f"{having('accounts')} select platform, followers as median from (select *, row_number() over (partition by platform order by followers) as r, count(*) over (partition by platform) as n from accounts) where r = n // 2 + 1")
+@query("agg14_upper_median", f"{having('accounts')} select analysis_id, platform, followers as median from (select *, row_number() over (partition by analysis_id, platform order by followers) as r, count(*) over (partition by analysis_id, platform) as n from accounts) where r = n // 2 + 1")
 def _median(d: Domain) -> DataFrame:
-    return readmodels.upper_median(d.accounts, "followers", ["platform"])
+    return readmodels.upper_median(d.accounts, "followers", metrics.GROUP)
 
 
 @query("agg15_distinct_media", f"{having('posts')} select distinct coalesce(media_type, 'unknown') as media_type from posts")
@@ -467,7 +548,7 @@ def _distinct(d: Domain) -> DataFrame:
     return d.posts.select(F.coalesce("media_type", F.lit("unknown")).alias("media_type")).distinct()
 
 
-@query("cht1_landscape", f"{having('accounts', 'posts')},\n{_METRICS}, m as (select platform, handle, followers, engagement_rate * 100 as rate_pct, role = 'target' as is_target, row_number() over (partition by platform order by followers, handle) as rf, row_number() over (partition by platform order by engagement_rate * 100, handle) as rr, count(*) over (partition by platform) as n from metrics) select platform, handle, followers, rate_pct, is_target, max(followers) filter (where rf = n // 2 + 1) over (partition by platform) as median_followers, max(rate_pct) filter (where rr = n // 2 + 1) over (partition by platform) as median_rate_pct from m")
+@query("cht1_landscape", f"{having('accounts', 'posts')},\n{_METRICS}, m as (select analysis_id, platform, handle, followers, engagement_rate * 100 as rate_pct, role = 'target' as is_target, row_number() over (partition by analysis_id, platform order by followers, handle) as rf, row_number() over (partition by analysis_id, platform order by engagement_rate * 100, handle) as rr, count(*) over (partition by analysis_id, platform) as n from metrics) select analysis_id, platform, handle, followers, rate_pct, is_target, max(followers) filter (where rf = n // 2 + 1) over (partition by analysis_id, platform) as median_followers, max(rate_pct) filter (where rr = n // 2 + 1) over (partition by analysis_id, platform) as median_rate_pct from m")
 def _cht1(d: Domain) -> DataFrame:
     return readmodels.landscape(metrics.account_metrics(d.accounts, d.posts))
 
@@ -482,27 +563,41 @@ def _cht3(d: Domain) -> DataFrame:
     return readmodels.media_series(metrics.media_breakdown(d.posts).withColumn("handle", F.col("account_id").cast("string")), ["1", "2"])
 
 
-@query("cht4_category_dots", f"{having('accounts', 'posts', 'categories')},\n{_METRICS}, {_CATS} select platform, handle, category, avg_engagement, baseline_engagement from breakdown join metrics using (account_id) where category <> 'other' and baseline_engagement > 0")
+@query("cht4_category_dots", f"{having('accounts', 'posts', 'categories')},\n{_METRICS}, {_CATS} select analysis_id, platform, handle, category, avg_engagement, baseline_engagement from breakdown join metrics using (account_id) where category <> 'other' and baseline_engagement > 0")
 def _cht4(d: Domain) -> DataFrame:
     return readmodels.category_dots(metrics.account_metrics(d.accounts, d.posts), metrics.category_breakdown(metrics.with_category(d.posts, d.categories)))
 
 
-@query("cht5_scoreboard", f"{having('accounts', 'posts', 'points', 'weekly', 'users')},\n{_METRICS}, {_CUMULATIVE} select platform, handle || case when role = 'target' then ' *' else '' end as account, format('{{:,}}', followers) || ' (' || followers_percentile || ')' as followers, coalesce(regexp_replace(cumulative_growth_pct::varchar, '\\.0$', '') || '%', 'data gap') as growth, round(engagement_rate * 100, 4) as rate_pct, engagement_rate_percentile, low_sample_warning is not null as low_sample, avg_likes, avg_comments, posts_per_week from metrics left join cumulative using (account_id)")
+def fixed(x: str) -> str:
+    """One decimal of a number of two, exact ties (.25 and .75) away from zero."""
+    return f"case when {x} * 4 = floor({x} * 4) and {x} * 2 <> floor({x} * 2) then format('{{:.1f}}', sign({x}) * (floor(abs({x}) * 10) + 1) / 10) else format('{{:.1f}}', {x}) end"
+
+
+_SCORES = f"""scores as (select analysis_id, platform, case when role = 'target' then '★ ' else '' end || handle as account, format('{{:,}}', followers) || ' (p' || followers_percentile || ')' as followers,
+  coalesce({fixed("cumulative_growth_pct")} || '%', 'data gap') as growth, format('{{:.2f}}', engagement_rate * 100) || '% (p' || engagement_rate_percentile || ')' as rate, low_sample_warning is not null as low_sample,
+  {num("avg_likes")} as avg_likes, {num("avg_comments")} as avg_comments, {num("posts_per_week")} as posts_per_week from metrics left join cumulative using (account_id))"""
+_NOTES = """notes as (select analysis_id, platform, coalesce(string_agg(handle, ', ' order by handle) filter (where low_sample_warning is not null), '') as low_sample_handles,
+  arg_min(growth_data_gap, handle) filter (where growth_data_gap is not null) as growth_gap from metrics left join cumulative using (account_id) group by 1, 2)"""
+_LINES = f"""lines as (select analysis_id, platform, handle, post_count || ' collaboration/paid posts' || coalesce(', ' || {num("vs_baseline_multiplier")} || 'x baseline engagement', ' (no baseline comparison available)') as line
+  from accounts join collab using (account_id))"""
+
+
+@query("cht5_scoreboard", f"{having('accounts', 'posts', 'points', 'weekly', 'users')},\n{_METRICS}, {_CUMULATIVE}, {_SCORES} select * from scores")
 def _cht5(d: Domain) -> DataFrame:
     return readmodels.scoreboard(metrics.account_metrics(d.accounts, d.posts), growth.cumulative_growth(d.users, growth.weekly_snapshots(d.points)))
 
 
-@query("agg17_footnotes", f"{having('accounts', 'posts', 'points', 'weekly', 'users')},\n{_METRICS}, {_CUMULATIVE} select platform, coalesce(string_agg(handle, ', ' order by handle) filter (where low_sample_warning is not null), '') as low_sample_handles, arg_min(growth_data_gap, handle) filter (where growth_data_gap is not null) as growth_gap from metrics left join cumulative using (account_id) group by 1")
+@query("agg17_footnotes", f"{having('accounts', 'posts', 'points', 'weekly', 'users')},\n{_METRICS}, {_CUMULATIVE}, {_NOTES} select * from notes")
 def _agg17(d: Domain) -> DataFrame:
     return readmodels.footnotes(metrics.account_metrics(d.accounts, d.posts), growth.cumulative_growth(d.users, growth.weekly_snapshots(d.points)))
 
 
-@query("cht6_cadence_lines", f"{having('accounts', 'posts', 'categories')}, {_COLLAB} select platform, handle, post_count || ' collab posts, avg engagement ' || regexp_replace(avg_engagement::varchar, '\\.0$', '') || coalesce(', ' || regexp_replace(vs_baseline_multiplier::varchar, '\\.0$', '') || 'x baseline', '') as line from accounts join collab using (account_id)")
+@query("cht6_cadence_lines", f"{having('accounts', 'posts', 'categories')}, {_COLLAB}, {_LINES} select * from lines")
 def _cht6(d: Domain) -> DataFrame:
     return readmodels.cadence_lines(d.accounts, metrics.collaboration(d.accounts, metrics.with_category(d.posts, d.categories)))
 
 
-@query("cht7_volume_quality", f"{having('accounts', 'posts')},\n{_METRICS}, m as (select *, row_number() over (partition by platform order by posts_per_week) as rp, row_number() over (partition by platform order by avg_likes) as rl, count(*) over (partition by platform) as n from metrics) select platform, handle, posts_per_week, avg_likes, max(posts_per_week) filter (where rp = n // 2 + 1) over (partition by platform) as median_posts_per_week, max(avg_likes) filter (where rl = n // 2 + 1) over (partition by platform) as median_avg_likes from m")
+@query("cht7_volume_quality", f"{having('accounts', 'posts')},\n{_METRICS}, m as (select *, row_number() over (partition by analysis_id, platform order by posts_per_week) as rp, row_number() over (partition by analysis_id, platform order by avg_likes) as rl, count(*) over (partition by analysis_id, platform) as n from metrics) select analysis_id, platform, handle, posts_per_week, avg_likes, max(posts_per_week) filter (where rp = n // 2 + 1) over (partition by analysis_id, platform) as median_posts_per_week, max(avg_likes) filter (where rl = n // 2 + 1) over (partition by analysis_id, platform) as median_avg_likes from m")
 def _cht7(d: Domain) -> DataFrame:
     return readmodels.volume_quality(metrics.account_metrics(d.accounts, d.posts))
 
@@ -536,32 +631,123 @@ def _udf1_lookup(d: Domain) -> DataFrame:
     return classify.by_lookup(d.table("documents").select(F.col("doc_id").alias("post_id")), known)
 
 
-@query("udf2_udf3_insights", f"{having('accounts', 'posts')},\n{_METRICS} select platform, 'data_observations' as bucket, 1::int as position, arg_max(handle, (followers, handle)) || ' has the largest audience: ' || format('{{:,}}', max(followers)) || ' followers.' as sentence from metrics group by 1")
+@query("set3_classification_chunks", f"{having('posts')} select account_id, chunk, count(*) as n, min(post_url) as first_post from (select account_id, post_url, ((row_number() over (partition by account_id order by post_url) - 1) // 40)::int as chunk from posts) group by 1, 2")
+def _set3(d: Domain) -> DataFrame:
+    return classify.chunked(d.posts, "account_id", "post_url").groupBy("account_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("post_url").alias("first_post"))
+
+
+def _sentences(*buckets: tuple[str, list[str]]) -> str:
+    return " union all ".join(f"select analysis_id, platform, '{b}' as bucket, {i}::int as position, {x} as sentence from s" for b, own in buckets for i, x in enumerate(own))
+
+
+_INSIGHTS = f"""s as (select analysis_id, platform, count(*) as n, arg_max(handle, (engagement_rate, handle)) as top, max(engagement_rate) as rate, arg_max(handle, (followers, handle)) as big, max(followers) as followers,
+  count(low_sample_warning) as low, arg_max(handle, (posts_per_week, handle)) as busy, max(posts_per_week) as cadence from metrics group by 1, 2),
+insights as ({_sentences(
+    ("data_observations", [f"top || ' has the highest engagement rate of ' || n || ' accounts: ' || {num('(floor(rate * 10000 + 0.5) / 100)')} || '%.'", "big || ' has the largest audience: ' || format('{:,}', followers) || ' followers.'", "low || ' accounts carry a low-sample warning.'"]),
+    ("explanations", ["'This may be because ' || top || ' reaches a smaller, closer audience.'", f"'A plausible driver is the cadence of ' || busy || ': ' || {num('cadence')} || ' posts a week.'"]),
+    ("recommendations", ["'Test the formats of ' || top || '; success is a higher engagement rate.'", "'Test the cadence of ' || busy || '; success is more posts per week at equal average likes.'", "'Test collaborations; success is a multiplier above 1 against the baseline.'"]),
+)}),
+everything as (select analysis_id, 'all' as platform, bucket, (row_number() over (partition by analysis_id, bucket order by position, platform) - 1)::int as position, platform || ': ' || sentence as sentence from insights),
+with_all as (select * from insights union all select * from everything where position < case bucket when 'explanations' then 5 else 6 end)"""
+_FROM_POSTS = f"{having('accounts', 'posts')},\n{_METRICS},\n{_INSIGHTS}"
+
+
+def _insights(d: Domain) -> DataFrame:
+    return synthesis.platform_insights(metrics.account_metrics(d.accounts, d.posts))
+
+
+@query("udf2_platform_insights", f"{_FROM_POSTS} select * from insights")
 def _udf2(d: Domain) -> DataFrame:
-    return synthesis.ranked(synthesis.platform_insights(metrics.account_metrics(d.accounts, d.posts))).where("bucket = 'data_observations' and position = 1")
+    return synthesis.ranked(_insights(d))
+
 
+@query("udf3_cross_platform_insights", f"{_FROM_POSTS} select * from with_all where platform = 'all'")
+def _udf3(d: Domain) -> DataFrame:
+    return synthesis.ranked(synthesis.with_all(_insights(d)).where("platform = 'all'"))
 
-@query("snk8_snk9_insights_with_all")
-def _snk9(d: Domain) -> DataFrame:
-    return synthesis.with_all(synthesis.platform_insights(metrics.account_metrics(d.accounts, d.posts)))
 
+@query("flt12_all_and_others", f"{_FROM_POSTS} select analysis_id, count(*) filter (where platform = 'all') as n_all, count(*) filter (where platform <> 'all') as n_platforms from (select distinct analysis_id, platform from with_all) group by 1")
+def _flt12(d: Domain) -> DataFrame:
+    rows = synthesis.with_all(_insights(d))
+    return rows.groupBy("analysis_id").agg(F.count_if(F.col("platform") == "all").alias("n_all"), F.count_if(F.col("platform") != "all").alias("n_platforms"))
 
-@query("udf4_customer_report")
+
+@query("snk8_snk9_insights", f"{_FROM_POSTS}, before as (select distinct analysis_id, platform from with_all where analysis_id < 3 union all select 99, 'all') select analysis_id, platform, bucket, position, sentence from with_all where not (analysis_id < 3 and platform = '1') union all select analysis_id, platform, 'explanations', 0, 'stale' from before where analysis_id = 99 or platform = '1'")
+def _snk8(d: Domain) -> DataFrame:
+    new = synthesis.with_all(_insights(d))
+    fresh = new.where("not (analysis_id < 3 and platform = '1')")  # an earlier run's rows stay where this one has none
+    none = F.array().cast("array<string>")
+    stale = lambda df: df.select("analysis_id", "platform", none.alias("data_observations"), F.array(F.lit("stale")).alias("explanations"), none.alias("recommendations"))
+    before = stale(new.where("analysis_id < 3")).unionByName(stale(new.limit(1).select(F.lit(99).cast(new.schema["analysis_id"].dataType).alias("analysis_id"), F.lit("all").alias("platform"))))
+    return synthesis.ranked(synthesis.stored_insights(before, fresh))
+
+
+_ALL = "select analysis_id, position, sentence from everything where bucket = '{}' and position < {}"
+
+
+@query("udf4_customer_report", f"""{_FROM_POSTS},
+o as ({_ALL.format("data_observations", 6)}), e as ({_ALL.format("explanations", 5)}), t as ({_ALL.format("recommendations", 6)})
+select analysis_id, 'key_findings' as bucket, position, sentence from o where position < 3 union all select analysis_id, 'working_content_patterns', position, sentence from e
+union all select analysis_id, 'competitive_gaps', position - 1, sentence from o where position between 1 and 3 union all select analysis_id, 'experiments', position, sentence from t where position < 5
+union all select analysis_id, 'day' || ((position + 1) * 30) || '_actions', 0, 'By day ' || ((position + 1) * 30) || ': ' || sentence from t where position < 3
+union all select analysis_id, 'day' || ((position + 1) * 30) || '_success_metrics', 0, 'The named metric has moved as hoped.' from t where position < 3""")
 def _udf4(d: Domain) -> DataFrame:
-    return synthesis.customer_report(synthesis.with_all(synthesis.platform_insights(metrics.account_metrics(d.accounts, d.posts))))
+    return synthesis.report_lines(synthesis.customer_report(synthesis.with_all(_insights(d))))
+
+
+def _either(c: str, hi: str, lo: str) -> str:
+    return f"case when {c} >= 50 then '{hi}' else '{lo}' end"
 
 
-@query("udf5_legacy_swot")
+_SWOT = [
+    ("strengths", ["'Engagement percentile ' || engagement_rate_percentile", "'Likes percentile ' || avg_likes_percentile"]),
+    ("weaknesses", ["'Audience percentile ' || followers_percentile", _either("followers_percentile", "Reach is not the limit", "Reach is below the median")]),
+    ("opportunities", ["'Test collaborations'", "'Test the leading format'"]),
+    ("threats", ["'Competitors with larger audiences'", "'Competitors with a higher cadence'"]),
+    ("keep_doing", ["'Hold the engagement rate at percentile ' || engagement_rate_percentile", f"'Hold average likes at ' || {num('avg_likes')}"]),
+    ("urgent", [_either("engagement_rate_percentile", "Protect the engagement rate", "Raise the engagement rate"), _either("avg_likes_percentile", "Protect average likes", "Raise average likes")]),
+    ("mid_term", [f"'Test a cadence above ' || {num('posts_per_week')} || ' posts per week'", "'Test collaborations against the baseline engagement'"]),
+    ("long_term", ["'Grow followers beyond percentile ' || followers_percentile", "'Measure follower growth, which is a data gap in a single run'"]),
+]
+
+
+@query("udf5_legacy_swot", f"{having('accounts', 'posts')},\n{_METRICS}, s as (select * from metrics where role = 'target') {_sentences(*_SWOT)}")
 def _udf5(d: Domain) -> DataFrame:
-    return synthesis.swot(metrics.account_metrics(d.accounts, d.posts))
+    return synthesis.ranked(synthesis.swot(metrics.account_metrics(d.accounts, d.posts)), (*synthesis.SWOT, *synthesis.ADVICE))
+
+
+@query("cht9_detailed_page", f"""{having('accounts', 'posts', 'categories', 'points', 'weekly', 'users')},\n{_METRICS}, {_CUMULATIVE}, {_COLLAB},\n{_SCORES},\n{_NOTES},\n{_LINES},\n{_INSIGHTS},
+boards as (select analysis_id, platform, string_agg(account || ' | ' || followers || ' | ' || growth || ' | ' || rate, chr(10) order by account) as scoreboard from scores group by 1, 2),
+cadences as (select analysis_id, platform, string_agg(handle || ': ' || line, chr(10) order by handle) as cadence from lines group by 1, 2),
+texts as (select analysis_id, platform, string_agg(sentence, chr(10) order by position) filter (where bucket = 'data_observations') as data_observations,
+  string_agg(sentence, chr(10) order by position) filter (where bucket = 'explanations') as explanations, string_agg(sentence, chr(10) order by position) filter (where bucket = 'recommendations') as recommendations from with_all group by 1, 2)
+select analysis_id, platform, scoreboard, low_sample_handles, growth_gap, cadence, data_observations, explanations, recommendations
+from texts left join boards using (analysis_id, platform) left join notes using (analysis_id, platform) left join cadences using (analysis_id, platform)""")
+def _cht9(d: Domain) -> DataFrame:
+    rows = metrics.account_metrics(d.accounts, d.posts)
+    cumulative = growth.cumulative_growth(d.users, growth.weekly_snapshots(d.points))
+    lines = readmodels.cadence_lines(d.accounts, metrics.collaboration(d.accounts, metrics.with_category(d.posts, d.categories)))
+    page = readmodels.detailed_page(readmodels.scoreboard(rows, cumulative), readmodels.footnotes(rows, cumulative), lines, synthesis.with_all(synthesis.platform_insights(rows)))
+    board = F.transform("scoreboard", lambda x: F.concat_ws(" | ", x["account"], x["followers"], x["growth"], x["rate"]))
+    joined = {c: F.array_join(x, "\n").alias(c) for c, x in (("scoreboard", board), *((c, F.col(c)) for c in ("cadence", "data_observations", "explanations", "recommendations")))}
+    return page.select("analysis_id", "platform", joined["scoreboard"], "low_sample_handles", "growth_gap", *[joined[c] for c in ("cadence", "data_observations", "explanations", "recommendations")])
 
 
 # ------------------------------------------------------------------ earlier prototype
 
+def py(x: str, digits: int) -> str:
+    """The nearest decimal by exact binary value: what printing does."""
+    return f"format('{{:.{digits}f}}', {x})::double"
+
+
 _LEGACY = f"""{_SUMS},
-legacy as (select account_id, handle, role, followers, post_count as post_count_30d, round_even(l, 2) as avg_likes, round_even(c, 2) as avg_comments,
-  round_even(case when followers <> 0 then (l + c) / followers else 0e0 end, 4) as engagement_rate, round_even(case when followers <> 0 then l / followers else 0e0 end, 4) as likes_rate,
-  round_even(case when followers <> 0 then c / followers else 0e0 end, 4) as comments_rate, round_even(post_count / (30 / 7::double), 2) as posts_per_week from raw)"""
+legacy as (select account_id, analysis_id, handle, role, followers, post_count as post_count_30d, {py("l", 2)} as avg_likes, {py("c", 2)} as avg_comments,
+  {py("case when followers <> 0 then (l + c) / followers else 0e0 end", 4)} as engagement_rate, {py("case when followers <> 0 then l / followers else 0e0 end", 4)} as likes_rate,
+  {py("case when followers <> 0 then c / followers else 0e0 end", 4)} as comments_rate, {py("post_count / (30 / 7::double)", 2)} as posts_per_week from raw)"""
+
+
+def _rank(c: str) -> str:
+    return f"{py(f'1e2 * count(*) over (partition by analysis_id order by {c}) / count(*) over (partition by analysis_id)', 0)}::bigint as {c}_percentile"
 
 
 @query("agg18_agg19_legacy_metrics", f"{having('accounts', 'posts')},\n{_LEGACY} select account_id, post_count_30d, avg_likes, avg_comments, engagement_rate, likes_rate, comments_rate, posts_per_week from legacy")
@@ -569,22 +755,22 @@ def _legacy(d: Domain) -> DataFrame:
     return legacy.legacy_metrics(d.accounts, d.posts).select("account_id", "post_count_30d", "avg_likes", "avg_comments", "engagement_rate", "likes_rate", "comments_rate", "posts_per_week")
 
 
-@query("win6_legacy_percentiles", f"{having('accounts', 'posts')},\n{_LEGACY} select account_id, " + ", ".join(f"round_even(1e2 * count(*) over (order by {c}) / count(*) over (), 0)::bigint as {c}_percentile" for c in legacy.RANKED) + " from legacy")
+@query("win6_legacy_percentiles", f"{having('accounts', 'posts')},\n{_LEGACY} select account_id, {', '.join(map(_rank, legacy.RANKED))} from legacy")
 def _win6(d: Domain) -> DataFrame:
     return legacy.legacy_metrics(d.accounts, d.posts).select("account_id", *[f"{c}_percentile" for c in legacy.RANKED])
 
 
-@query("agg20_legacy_categories", f"{having('posts', 'categories')}, cp as (select p.*, coalesce(c.category, 'other') as category from posts p left join categories c using (category_key)), base as (select account_id, sum(likes + comments)::double / count(*) as baseline from cp group by 1) select account_id, category, count(*) as post_count, round_even(sum(likes + comments)::double / count(*), 2) as avg_engagement, round_even(any_value(baseline), 2) as baseline_engagement, case when any_value(baseline) > 0 then round_even(sum(likes + comments)::double / count(*) / any_value(baseline), 2) end as vs_baseline_multiplier from cp join base using (account_id) group by 1, 2")
+@query("agg20_legacy_categories", f"{having('posts', 'categories')}, cp as (select p.*, coalesce(c.category, 'other') as category from posts p left join categories c using (category_key)), base as (select account_id, sum(likes + comments)::double / count(*) as baseline from cp group by 1) select account_id, category, count(*) as post_count, {py('sum(likes + comments)::double / count(*)', 2)} as avg_engagement, {py('any_value(baseline)', 2)} as baseline_engagement, case when any_value(baseline) > 0 then {py('sum(likes + comments)::double / count(*) / any_value(baseline)', 2)} end as vs_baseline_multiplier from cp join base using (account_id) group by 1, 2")
 def _agg20(d: Domain) -> DataFrame:
     return legacy.legacy_categories(metrics.with_category(d.posts, d.categories))
 
 
-@query("cht12_agg21_legacy_scoreboard", f"{having('accounts', 'posts')},\n{_LEGACY} select handle, role, followers, round_even(1e2 * count(*) over (order by followers) / count(*) over (), 0)::bigint as followers_percentile, engagement_rate, round_even(1e2 * count(*) over (order by engagement_rate) / count(*) over (), 0)::bigint as engagement_rate_percentile, avg_likes, avg_comments, posts_per_week, count(*) over () - 1 as n_competitors from legacy")
+@query("cht12_agg21_legacy_scoreboard", f"{having('accounts', 'posts')},\n{_LEGACY} select analysis_id, handle, role, followers, {_rank('followers')}, engagement_rate, {_rank('engagement_rate')}, avg_likes, avg_comments, posts_per_week, count(*) over (partition by analysis_id) - 1 as n_competitors from legacy")
 def _cht12(d: Domain) -> DataFrame:
     return legacy.legacy_scoreboard(legacy.legacy_metrics(d.accounts, d.posts))
 
 
-@query("cht8_followers_engagement", f"{having('accounts', 'posts')},\n{_LEGACY} select handle, case when followers = 0 then 1 else followers end::bigint as followers, engagement_rate * 100 as rate_pct from legacy")
+@query("cht8_followers_engagement", f"{having('accounts', 'posts')},\n{_LEGACY} select analysis_id, handle, case when followers = 0 then 1 else followers end::bigint as followers, engagement_rate * 100 as rate_pct from legacy")
 def _cht8(d: Domain) -> DataFrame:
     return legacy.followers_engagement(legacy.legacy_metrics(d.accounts, d.posts))
 

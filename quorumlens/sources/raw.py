@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import HISTORY_DAYS, POST_LIMIT, int_or_zero, media_type_a, media_type_c
+from ..functions.scalar import HISTORY_DAYS, LEGACY_DAYS, POST_LIMIT, int_or_zero, media_type_a, media_type_c
 
 PROFILE_A = "fullName string, followersCount string, followsCount string, biography string"
 META_B = "nickName string, name string, fans string, followerCount string, following string, signature string"
@@ -23,7 +23,7 @@ HISTORY = "history array<struct<date:string, day:string, timestamp:string, follo
 
 
 def parsed(raw: DataFrame, schema: str) -> DataFrame:
-    return raw.select("handle", F.from_json("item", schema).alias("r"))
+    return raw.select(*[c for c in raw.columns if c not in ("item", "day")], F.from_json("item", schema).alias("r"))
 
 
 def moment(text: Column) -> Column:
@@ -85,10 +85,34 @@ def accepted(posts: DataFrame, since, limit: int | None = POST_LIMIT) -> DataFra
     return inside.withColumn("__n", number).where(F.col("__n") <= limit).drop("__n")
 
 
+def newer(raw: DataFrame, since) -> DataFrame:
+    """Raw rows whose `day` isn't before the day of `since`: what sources are asked for, tested before a record is parsed."""
+    return raw.where(F.col("day") >= F.date_trunc("day", F.lit(since).cast("timestamp_ntz")))
+
+
 def first_item(profiles: DataFrame, order: str) -> DataFrame:
-    """One record per handle."""
-    number = F.row_number().over(Window.partitionBy("handle").orderBy(order))
-    return profiles.withColumn("__n", number).where(F.col("__n") == 1).drop("__n")
+    """One record per handle: the first in order; an adapter reads no second one."""
+    return profiles.groupBy("handle").agg(F.min_by(F.struct(*[c for c in profiles.columns if c != "handle"]), order).alias("__x")).select("handle", "__x.*")
+
+
+def legacy_profile(raw: DataFrame) -> DataFrame:
+    """The earlier prototype's profile: fields as they are, no number where there is none."""
+    r = parsed(raw, PROFILE_A)
+    return r.select("handle", F.col("r.followersCount").try_cast("double").try_cast("bigint").alias("followers"), F.col("r.followsCount").try_cast("double").try_cast("bigint").alias("following"), F.col("r.biography").alias("bio"))
+
+
+def legacy_posts(raw: DataFrame, as_of, days: int = LEGACY_DAYS) -> DataFrame:
+    """The earlier prototype's posts of the last `days`: the media type as the source names it, absent counts 0, a time that
+    can't be read raises, as it does there."""
+    r = parsed(raw, POST_A)
+    at = F.coalesce(F.nullif("r.timestamp", F.lit("")), "r.takenAt")
+    posts = r.select(
+        "handle", F.col("r.url").alias("post_url"), F.col("r.caption").alias("caption"), F.col("r.type").alias("media_type"),
+        F.coalesce(F.col("r.likesCount").try_cast("bigint"), F.lit(0)).alias("likes"), F.coalesce(F.col("r.commentsCount").try_cast("bigint"), F.lit(0)).alias("comments"),
+        F.coalesce(F.to_timestamp(at), F.raise_error(F.concat(F.lit("no time: "), F.coalesce(at, F.lit("null")))).cast("timestamp")).alias("posted_at"),
+        F.get("r.coauthorProducers", F.lit(0))["username"].alias("coauthor_handle"),
+    )
+    return posts.where(F.col("posted_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days"))
 
 
 def history_points(raw: DataFrame, since=None) -> DataFrame:

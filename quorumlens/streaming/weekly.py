@@ -24,13 +24,16 @@ def weekly_stream(points: DataFrame, delay: str = "7 days") -> DataFrame:
 
 def into_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], available_now: bool = True) -> StreamingQuery:
     """Upserts each micro-batch into versions path/v=N; a batch that is run again writes its version again, so the last
-    version is the same however often a batch is retried."""
+    version is the same however often a batch is retried.  Versions before the last but one are removed.  A batch that
+    holds a key twice is reduced to the greatest of the other columns."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        new = last_per_key(batch, keys, [F.lit(0)])
+        new = last_per_key(batch, keys, [F.col(c) for c in batch.columns if c not in keys])
         out = new if number == 0 else upsert(spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}"), new, keys)
         out.write.mode("overwrite").parquet(f"{path}/v={number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()

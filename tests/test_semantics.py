@@ -1,6 +1,7 @@
 """One small case for each rule of the domain, with the expected rows written out."""
 
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from quorumlens.functions import scalar as S
 from quorumlens.operators import classify, growth, legacy, lifecycle, metrics, readmodels, requests, synthesis, upsert
 from quorumlens.sources import raw
 
-ACCOUNTS = "account_id string, handle string, platform string, role string, followers int"
+ACCOUNTS = "account_id string, analysis_id int, handle string, platform string, role string, followers int"
 POSTS = "account_id string, likes int, comments int, shares int, media_type string, category_key int"
 
 
@@ -19,7 +20,7 @@ def one(spark, column, **values):
 
 
 def account(spark, followers=500, posts=(), **more):
-    accounts = spark.createDataFrame([("a", "h", "p", "target", followers)], ACCOUNTS)
+    accounts = spark.createDataFrame([("a", 1, "h", "p", "target", followers)], ACCOUNTS)
     rows = [("a", *(p + (None,) * (5 - len(p)))) for p in posts]
     return metrics.account_metrics(accounts, spark.createDataFrame(rows, POSTS), **more).first()
 
@@ -205,7 +206,7 @@ def test_requested_accounts_and_handle_checks(spark):
     checks = requests.check_handles(rows.where("role = 'target'"), profiles)
     assert {(r["platform"], r["valid"]) for r in checks.collect()} == {("instagram", False), ("tiktok", True)}
     result = requests.all_valid(checks).first()
-    assert result["all_valid"] is False and result["invalid"] == "instagram @co"
+    assert result["all_valid"] is False and result["message"].endswith("analysis: Your business on instagram (@co): Account not found or the actor returned no data for this handle.")
     assert requests.analyses(parsed, "2026-01-01 00:00:00").first()["company_name"] == "Co"
 
 
@@ -214,7 +215,11 @@ def test_lifecycle(spark):
     df = spark.createDataFrame([(2, "pending", "", dt.datetime(2026, 1, 1)), (1, "pending", "", dt.datetime(2026, 1, 1)), (3, "scraping", "", dt.datetime(2026, 1, 1)), (4, "done", "", dt.datetime(2026, 1, 1))], at)
     assert lifecycle.next_pending(df).first()["analysis_id"] == 1
     won = lifecycle.claim(df, 1)
-    assert won.where("analysis_id = 1").first()["status"] == "scraping"
+    assert {r["analysis_id"]: (r["status"], r["won"]) for r in won.collect()} == {1: ("scraping", True), 2: ("pending", None), 3: ("scraping", None), 4: ("done", None)}
+    assert lifecycle.claim(df, 4).where("analysis_id = 4").first()["won"] is False
+    moved = {r["analysis_id"]: (r["status"], r["status_detail"]) for r in lifecycle.advanced(df.withColumn("error", F.lit(None).cast("string"))).collect()}
+    assert moved[3] == ("categorizing", "Classifying post content...") and moved[1][0] == "pending" and moved[4][0] == "done"
+    assert lifecycle.advanced(df.withColumn("error", F.lit("no"))).where("analysis_id = 3").first()["status_detail"] == "no"
     assert lifecycle.claim(df, 4).where("analysis_id = 4").first()["status"] == "done"
     swept = {r["analysis_id"]: r["status"] for r in lifecycle.sweep_stuck(df, "2026-01-01 00:31:00").collect()}
     assert swept == {1: "pending", 2: "pending", 3: "failed", 4: "done"}
@@ -237,7 +242,7 @@ def test_classifiers(spark):
 
 
 def test_reports_have_the_sizes_asked_for(spark):
-    accounts = spark.createDataFrame([(str(i), f"h{i}", p, "target" if i == 0 else "competitor", 2000 + i) for p in ("x", "y") for i in range(4)], ACCOUNTS).withColumn("account_id", F.concat("platform", "account_id"))
+    accounts = spark.createDataFrame([(str(i), 1, f"h{i}", p, "target" if i == 0 else "competitor", 2000 + i) for p in ("x", "y") for i in range(4)], ACCOUNTS).withColumn("account_id", F.concat("platform", "account_id"))
     posts = spark.createDataFrame([("x1", 50, 1, None, None, 1)], POSTS)
     insights = synthesis.with_all(synthesis.platform_insights(metrics.account_metrics(accounts, posts)))
     assert {r["platform"] for r in insights.collect()} == {"x", "y", "all"}
@@ -246,3 +251,87 @@ def test_reports_have_the_sizes_asked_for(spark):
     assert all(r["ok"] for r in synthesis.sizes_hold(report, synthesis.REPORT_SIZES).collect())
     assert report.select("plan.day30.actions").first()[0][0].startswith("By day 30: ")
     assert "null" in report.select(F.to_json(F.struct(F.lit(None).cast("string").alias("a")), {"ignoreNullFields": "false"})).first()[0]
+
+
+@pytest.mark.parametrize("text, want", [("1200", 1200), ("1200.0", 1200), ("1e3", 1000), ("1.2e3", 1200), ("12.9", 12), ("many", 0), ("NaN", 0), ("Infinity", 0), ("", 0), (None, 0), ("1e30", 0)])
+def test_permissive_numbers(spark, text, want):
+    assert one(spark, S.int_or_zero(F.col("v")), v=text) == want
+
+
+@pytest.mark.parametrize("x, want", [(12345678.9, "12345678.9"), (1e7, "10000000"), (0.0, "0"), (100.0, "100"), (0.0001, "0.0001"), (-2.5, "-2.5"), (1234567890123.25, "1234567890123.25")])
+def test_plain_number_texts(spark, x, want):
+    assert one(spark, S.number_text(F.col("v")), v=x) == want
+
+
+def exact(x, digits, mode):
+    """The nearest decimal to the exact binary value."""
+    return decimal.Decimal(x).quantize(decimal.Decimal(1).scaleb(-digits), rounding=mode)
+
+
+def test_rounding_goes_by_the_exact_value(spark):
+    values = [n / 40 for n in range(4000)] + [n / 1000 for n in range(0, 9000, 5)] + [-0.125, -2.675, 107 / 40, 1e9 + 0.125, 12345.675, 0.045, 3.0, 1e-9]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", S.py_round(F.col("v"), 2).alias("r"), S.py_round(F.col("v")).alias("w"), S.to_fixed(F.col("v"), 1).alias("a"), S.to_fixed(F.col("v"), 2).alias("b")).collect()
+    for r in got:
+        assert r["r"] == round(r["v"], 2) and r["w"] == round(r["v"])
+        for digits, text in ((1, r["a"]), (2, r["b"])):
+            assert decimal.Decimal(text) == exact(r["v"], digits, decimal.ROUND_HALF_UP) and len(text.split(".")[1]) == digits
+
+
+def test_legacy_form(spark):
+    rows = [("c", "i", "r", "t", " @@a \r\n\n b"), ("c", "i", "r", "t", "\n".join("abcdef")), ("", "i", "r", "t", "a"), ("c", "i", "r", "t", " \n "), ("c", "i", " ", "t", None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, company string, industry string, region string, target string, competitors string")
+    got = df.select("k", requests.legacy_problem().alias("e"), requests.legacy_competitors(F.col("competitors")).alias("c")).orderBy("k").collect()
+    assert got[0]["c"] == ["a", "b"] and got[0]["e"] is None and got[1]["e"] == "Enter at most 5 competitors."
+    assert [r["e"] for r in got[2:]] == ["All fields are required."] * 3
+
+
+def test_legacy_sources(spark):
+    assert [tuple(r)[1:] for r in raw.legacy_profile(raws(spark, '{"followersCount":5,"biography":"b"}', "{}")).collect()] == [(5, None, "b"), (None, None, None)]
+    posts = raw.legacy_posts(raws(spark, '{"url":"u","type":"Sidecar","timestamp":"2026-01-02T00:00:00Z","likesCount":3}', '{"takenAt":"2025-01-02T00:00:00Z"}'), "2026-01-10 00:00:00")
+    assert [(r["post_url"], r["media_type"], r["likes"], r["comments"]) for r in posts.collect()] == [("u", "Sidecar", 3, 0)]
+    with pytest.raises(Exception, match="no time|CANNOT_PARSE|could not be parsed"):
+        raw.legacy_posts(raws(spark, '{"url":"u"}'), "2026-01-10 00:00:00").collect()
+
+
+def test_first_item(spark):
+    df = spark.createDataFrame([("h", 2, "b"), ("h", 1, "a"), ("g", 3, None)], "handle string, ordinal int, name string")
+    assert {(r["handle"], r["name"]) for r in raw.first_item(df, "ordinal").collect()} == {("h", "a"), ("g", None)}
+
+
+def test_chunks_hold_forty(spark):
+    posts = spark.range(95).select(F.lit("a").alias("account_id"), F.format_string("%03d", "id").alias("post_id"))
+    assert sorted(r["count"] for r in classify.chunked(posts).groupBy("chunk").count().collect()) == [15, 40, 40]
+
+
+def test_insights_are_replaced_by_key(spark):
+    at = "analysis_id int, platform string, data_observations array<string>, explanations array<string>, recommendations array<string>"
+    old = spark.createDataFrame([(1, "x", ["old"], [], []), (2, "x", ["kept"], [], [])], at)
+    new = spark.createDataFrame([(1, "x", ["new"], [], []), (1, "all", ["new"], [], [])], at)
+    once = synthesis.stored_insights(old, new)
+    want = {(1, "x", "new"), (1, "all", "new"), (2, "x", "kept")}
+    assert {(r["analysis_id"], r["platform"], r["data_observations"][0]) for r in once.collect()} == want
+    assert {(r["analysis_id"], r["platform"], r["data_observations"][0]) for r in synthesis.stored_insights(once, new).collect()} == want
+
+
+def test_percentiles_stay_within_an_analysis(spark):
+    accounts = spark.createDataFrame([("a", 1, "a", "p", "target", 10), ("b", 1, "b", "p", "competitor", 20), ("c", 2, "c", "p", "target", 5)], ACCOUNTS)
+    got = {r["account_id"]: r["followers_percentile"] for r in metrics.account_metrics(accounts, spark.createDataFrame([], POSTS)).collect()}
+    assert got == {"a": 50, "b": 100, "c": 100}
+
+
+def test_nested_metrics_equal_their_parts(spark):
+    accounts = spark.createDataFrame([("a", 1, "a", "p", "target", 100), ("b", 1, "b", "p", "competitor", 200), ("c", 1, "c", "p", "competitor", 300)], ACCOUNTS)
+    posts = spark.createDataFrame([("a", 10, 1, None, None, 1), ("a", 30, 2, 4, "video", 2), ("a", 7, 0, 1, "video", 3), ("b", 5, 5, None, "image", 2), ("b", 9, 1, None, None, 9)], POSTS)
+    cats = spark.createDataFrame([(1, "campaign"), (2, "collaboration"), (3, "paid_promotion")], "category_key int, category string")
+    gaps = growth.growth_lists(accounts.select("account_id"), weeks(spark, (0, 10), (1, 20)))
+    nested = metrics.nested_metrics(accounts, posts, cats, gaps)
+    flat = metrics.account_metrics(accounts, posts)
+    assert sorted(map(str, nested.select(*flat.columns).collect())) == sorted(map(str, flat.collect()))
+    rows = {r["account_id"]: r for r in nested.collect()}
+    for name, part in (("media_type", metrics.media_breakdown(posts)), ("category", metrics.category_breakdown(metrics.with_category(posts, cats)))):
+        want = {(r["account_id"], r[name]): tuple(r)[2:] for r in part.collect()}
+        assert {(i, k): tuple(v) for i, r in rows.items() for k, v in (r[f"{name if name == 'category' else 'media_type'}_breakdown"] or {}).items()} == want
+    for r in metrics.collaboration(accounts, metrics.with_category(posts, cats)).collect():
+        assert tuple(rows[r["account_id"]]["collaboration_cadence"]) == tuple(r)[1:]
+    assert len(rows["a"]["weekly_growth"]) == 2 and rows["b"]["growth_data_gap"]
