@@ -125,7 +125,7 @@ def first_texts(rows: DataFrame, most_bytes: int) -> list:
     return out
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def broadcast_few(df: DataFrame) -> DataFrame:
