@@ -128,10 +128,10 @@ def first_texts(rows: DataFrame, most_bytes: int) -> list:
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_few(df: DataFrame) -> DataFrame:
+def broadcast_few(df: DataFrame, n: int | None = None) -> DataFrame:
     """df, a narrow table that is kept() or stored(), to be broadcast if it has BROADCAST_ROWS rows at most; a larger one
-    is joined as Spark sees fit."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    is joined as Spark sees fit.  n: its number of rows or an upper bound, if that is known."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= BROADCAST_ROWS else df
 
 
 def drop_stored(df: DataFrame) -> None:

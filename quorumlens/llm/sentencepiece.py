@@ -40,7 +40,7 @@ from .common import with_python
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Segments and their characters that an encoder keeps.
-CACHE, CACHED_CHARS = 500_000, 20_000_000
+CACHE, CACHED_CHARS = 200_000, 10_000_000
 #: Lengths from which a segment is merged by a heap, and from which it passes through the lattice in blocks.
 LONG, WHOLE = 256, 65_536
 STARTS = 20
