@@ -80,14 +80,17 @@ def fit(texts: list[str], labels: list[str], alpha: float = 0.3, beta: float = 1
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0))
-    features = []
-    df = np.zeros(1 << BITS)
-    for text in texts:
+
+    def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Made again each time: those of the whole sample would be the driver's largest share."""
         parts = [np.unique(h, return_counts=True) + (len(h),) for h in ngram_hashes(text)]
         at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint32)
         tf = np.concatenate([p[1] / p[2] for p in parts]) if parts else np.zeros(0)
-        features.append((at.astype(np.int64), tf))
-        df[np.unique(at)] += 1
+        return at.astype(np.int64), tf
+
+    df = np.zeros(1 << BITS)
+    for text in texts:
+        df[np.unique(np.concatenate([np.zeros(0, np.uint32), *ngram_hashes(text)]))] += 1
     idf = np.log((1 + len(texts)) / (1 + df)) + 1
     kinds = len(languages)
     y = np.eye(kinds)[[languages.index(x) for x in labels]]
@@ -101,7 +104,7 @@ def fit(texts: list[str], labels: list[str], alpha: float = 0.3, beta: float = 1
     learn = [i for i in range(len(texts)) if i % 10 or len(texts) < 20]
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(learn):
-            at, tf = features[i]
+            at, tf = features(texts[i])
             x, w = tf * idf[at] * SCALE, weights(at)
             error = softmax(x @ w + bias) - y[i]
             g = np.outer(x, error)
