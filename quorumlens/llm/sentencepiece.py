@@ -350,8 +350,8 @@ class Encoder:
             self.paths = self.exact
         self.fixed = np.concatenate(fixed)
 
-    def encode(self, texts: list[str | None]) -> tuple[list, list, list[int]]:
-        """Of each text the ids, those of its best path, and the number of corrected segments."""
+    def encode(self, texts: list[str | None], paths: bool = True) -> tuple[list, list, list[int]]:
+        """Of each text the ids, those of its best path (or the ids again), and the number of corrected segments."""
         cut = [self.segment.findall((SPACE * self.vocabulary.dummy_prefix + t).replace(" ", SPACE)) if t else [] for t in texts]
         met = set(chain.from_iterable(cut))
         new = list(met.difference(self.index))
@@ -362,15 +362,18 @@ class Encoder:
             self.chars = sum(map(len, new))
         if new:
             self._learn(new)
-        out, paths, fixed = [], [], []
-        for text, segments in zip(texts, cut, strict=True):
-            at = np.fromiter(map(self.index.__getitem__, segments), np.int64, len(segments))
-            n = int(self.fixed[at].sum())
-            ids = None if text is None else self.exact.joined(at)
-            out.append(ids)
-            paths.append(self.paths.joined(at) if n else ids)
-            fixed.append(n)
-        return out, paths, fixed
+        # all segments of the batch at once; texts are slices of what they give
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        ends = np.cumsum([0, *map(len, cut)])
+        fixed = np.diff(np.concatenate([[0], np.cumsum(self.fixed[at])])[ends]).tolist()
+
+        def sliced(lists: _Ids) -> list:
+            bounds = np.concatenate([[0], np.cumsum(lists.counts[at])])[ends].tolist()
+            ids = lists.joined(at)
+            return [None if t is None else ids[i:j] for t, i, j in zip(texts, bounds, bounds[1:], strict=False)]
+
+        out = sliced(self.exact)
+        return out, sliced(self.paths) if paths and any(fixed) else out, fixed
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids, joined in Arrow; bytes that are no UTF-8 become U+FFFD."""
@@ -425,7 +428,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", merge_orde
     encoder = _shared(df, vocabulary, merge_order)
 
     def run(texts: list) -> list[pa.Array]:
-        ids, best, corrected = encoder().encode(texts)
+        ids, best, corrected = encoder().encode(texts, paths)
         return [_lists(ids), *([_lists(best)] if paths else []), pa.array(corrected, pa.int64())]
 
     lists = T.ArrayType(T.IntegerType())
