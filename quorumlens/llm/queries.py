@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
+from . import ann, divergence, langid, licenses, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 40
@@ -74,6 +74,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.layout(table(spark, sf_dir, "documents"), weights=[1.0] * SHARDS, grown_weight=1.0)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
+    "op11_divergence": op11_divergence,
 }
 
 _CTRL = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -142,4 +147,29 @@ p as (select b.doc_id, b.size, g.source_size, g.target, g.epochs, g.budget,
              coalesce(sum(b.size) over (partition by b.source order by b.bucket, b.key, b.doc_id, b.size rows between unbounded preceding and 1 preceding), 0)::bigint as prior
       from b join g on b.source is not distinct from g.source)
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - prior)))::bigint as taken from p""",
+    "op11_divergence": rf"""
+with w as (
+  select rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select *, row_number() over () as rid from documents)),
+k as (select lang, term from w group by lang, term having count(distinct rid) >= 30),
+v as (select lang, count(*)::hugeint as v from k group by lang),
+c as (select lang, source, term, count(*)::hugeint as n from w join k using (lang, term) group by all),
+g as (select distinct coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+n as (select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as total from g left join c using (lang, source) group by all),
+p as (select n.lang, n.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (n.total + 5 * v.v) as p
+      from n join k using (lang) join v using (lang) left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+l as (select k.lang, k.term, 1 + (1000000000::hugeint * (m.n + 5)) // (t.total + 5 * v.v) as q
+      from k join v using (lang) join (select lang, term, sum(n)::hugeint as n from c group by all) m using (lang, term)
+      join (select lang, sum(n)::hugeint as total from c group by all) t using (lang)),
+pair as (select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value
+         from g a join g b on a.lang = b.lang and a.source <> b.source
+         left join (select x.lang, x.source as sa, y.source as sb, sum(abs(x.p - y.p)) as value
+                    from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+           on s.lang = a.lang and s.sa = a.source and s.sb = b.source),
+term as (select p.lang, p.source, p.term as item, (p.p - l.q)::bigint as value from p join l using (lang, term) where p.n > 0 and p.p > l.q),
+r as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pair
+      union all
+      select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item)::int from term)
+select * from r where part = 'pair' or rank <= 50""",
 }
