@@ -8,12 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, divergence, langid, licenses, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
+from . import alignment, ann, divergence, langid, licenses, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 40
 #: A .model file; on the driver, or in any store that Spark reads.
 PIECES = os.environ.get("QUORUMLENS_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: A tokenizer .json of a byte-level BPE, likewise.
+BYTES = os.environ.get("QUORUMLENS_BYTES", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,14 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str, a: str = BYTES, b: str = PIECES) -> DataFrame:
+    vocabularies = alignment.load(spark, a, b)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = alignment.aligned(docs, vocabularies, alignment.pair_counts(docs, vocabularies))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
@@ -90,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
     "op11_divergence": op11_divergence,
+    "op13_alignment": op13_alignment,
 }
 
 _CTRL = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
