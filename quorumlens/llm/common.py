@@ -125,6 +125,25 @@ def first_texts(rows: DataFrame, most_bytes: int) -> list:
     return out
 
 
+def sample_texts(documents: DataFrame, sample: DataFrame, rows: int, most_chars: int, most_bytes: int) -> list:
+    """The driver's rows (h, text, and what else sample has but doc_id) of the documents that sample (doc_id, h, ...; at most
+    `rows` rows but for equal hashes) names, in order of h: those of at most most_chars characters, as many as most_bytes
+    hold.  Lengths are fetched first, then only the texts that fit."""
+    few = F.broadcast(stored_few(sample, rows))
+    texts = documents.where(F.col("text").isNotNull() & (F.char_length("text") <= most_chars)).select("doc_id", "text")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("n")).join(few, "doc_id").groupBy("h").agg(F.sum("n").alias("n"))
+    last, total = None, 0
+    for row in sizes.orderBy("h").limit(rows).collect():
+        total += row["n"]
+        if total > most_bytes:
+            break
+        last = row["h"]
+    if last is None:
+        return []
+    names = ["h", "text", *[c for c in sample.columns if c not in ("doc_id", "h")]]
+    return sorted(texts.join(few.where(F.col("h") <= last), "doc_id").select(*names).collect(), key=lambda r: (r["h"], r["text"]))
+
+
 BROADCAST_ROWS = 200_000
 
 

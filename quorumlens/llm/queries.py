@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, divergence, langid, licenses, line_dedup, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity
+from . import alignment, ann, divergence, langid, licenses, line_dedup, mixing, quality_crf, quality_rules, sentencepiece, sharding, simhash, toxicity
 from .common import table
 
 SHARDS = 40
@@ -80,6 +80,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op12_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    return quality_crf.score(docs, field).select("doc_id", quality_crf.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str, a: str = BYTES, b: str = PIECES) -> DataFrame:
     vocabularies = alignment.load(spark, a, b)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_sharding": op10_sharding,
     "op11_divergence": op11_divergence,
+    "op12_quality_crf": op12_quality_crf,
     "op13_alignment": op13_alignment,
 }
 
