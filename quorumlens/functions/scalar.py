@@ -55,8 +55,8 @@ def monday(ts: Column) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A number of four decimals at most as plain text, without an exponent or zeros at its end."""
-    return F.regexp_replace(x.cast("decimal(38,4)").cast("string"), r"\.?0+$", "")
+    """A number of four decimals at most as plain text, without an exponent or zeros at its end; null from 1e34 on."""
+    return F.regexp_replace(x.try_cast("decimal(38,4)").cast("string"), r"\.?0+$", "")
 
 
 def _tie(x: Column, digits: int) -> tuple[Column, Column, Column]:
@@ -112,9 +112,35 @@ def media_type_c(raw: Column) -> Column:
     return first_rule([(t.contains("video"), "video"), (t.contains("image") | t.contains("photo"), "image"), (t.contains("document") | t.contains("pdf"), "document"), (t.contains("article"), "article"), (t.contains("text"), "text")])
 
 
+#: What counts as a number in text: digits with a point and an exponent, nothing behind them; blanks around are no matter.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def number(text: Column) -> Column:
+    """The finite number that a text is, as double, else null: 1200, 1200.0 and 1.2e3 are one and the same; 12d, 5f, NaN
+    and Infinity are none; an empty text is 0."""
+    found = F.when(js_trim(text) == "", F.lit(0.0)).when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(found) <= F.lit(1.7976931348623157e308), found)
+
+
+def whole(x: Column) -> Column:
+    """A double as bigint, cut towards zero; null beyond its range."""
+    return x.try_cast("bigint")
+
+
 def int_or_zero(x: Column) -> Column:
-    """Permissive number: 1200, 1200.0 and 1.2e3 are one and the same, what isn't a finite number counts as 0."""
-    return F.coalesce(F.nanvl(x.try_cast("double"), F.lit(0.0)).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """Permissive number as bigint; what isn't one, or isn't in its range, counts as 0."""
+    return F.coalesce(whole(number(x)), F.lit(0).cast("bigint"))
+
+
+def epoch_time(seconds: Column) -> Column:
+    """The time so many seconds after 1970, null beyond 8.64e12 on either side, where dates end in the application."""
+    return F.when(F.abs(seconds) <= F.lit(8.64e12), F.timestamp_seconds(seconds))
+
+
+def evaluated(x: Column) -> Column:
+    """x, worked out where it stands: a filter above isn't moved below it with x in place of the column's name."""
+    return F.when(F.spark_partition_id() >= 0, x)
 
 
 def low_sample(followers: Column, interactions: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import classify, growth, legacy, lifecycle, metrics, readmodels, requests, synthesis, upsert
-from ..sources import raw
+from ..sources import raw, records
 from ..streaming import weekly
 from .binding import Domain, having
 from .storage import scratch
@@ -221,6 +221,13 @@ def _posts_a(d: Domain) -> DataFrame:
                 timestamp=F.when(open_, stamp), takenAt=stamp, coauthorProducers=F.when(F.col("l_returnflag") == "R", F.array(F.struct(F.lit("partner").alias("username")))))
 
 
+def _posts_written(d: Domain) -> DataFrame:
+    """Records of _posts_a whose numbers are written in three ways."""
+    stamp, open_ = F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col("l_linestatus") == "O"
+    return _raw(d.table("lineitem"), "l_suppkey", F.col("l_shipdate").alias("day"), url=F.when(F.col("l_linenumber") < 7, F.col("l_orderkey").cast("string")).otherwise(""), caption=F.col("l_linestatus"), type=_type(), likesCount=_written(F.floor("l_quantity")), commentsCount=F.when(open_, _written(F.col("l_linenumber"))),
+                timestamp=F.when(open_, stamp), takenAt=stamp, coauthorProducers=F.when(F.col("l_returnflag") == "R", F.array(F.struct(F.lit("partner").alias("username")))))
+
+
 _MEDIA_A = "(['carousel', 'reel', 'video', 'image', 'carousel', 'reel', 'image', null])[l_linenumber % 8 + 1]"
 
 
@@ -240,10 +247,10 @@ def _src5(d: Domain) -> DataFrame:
     return raw.accepted(raw.post_b(raw.newer(_posts_b(d), "2001-08-06 00:00:00")), "2001-08-06 00:00:00", limit=None).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
-def _posts_c(d: Domain) -> DataFrame:
+def _posts_c(d: Domain, **more: Column) -> DataFrame:
     stamp, n = F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_linenumber")
     kind = F.element_at(F.array(*map(F.lit, ["NativeVideo", "photo post", "PDF", "Article", "text", "IMAGE", "poll", "document"])), (n % 8 + 1).cast("int"))
-    return _raw(d.table("lineitem"), "l_suppkey", F.col("l_shipdate").alias("day"), postedAt=F.when(n == 1, stamp), publishedAt=F.when(n == 2, stamp), date=F.when(n > 2, F.when(n == 7, F.lit("no date")).otherwise(stamp)), postUrl=F.col("l_orderkey").cast("string"), content=F.col("l_linestatus"), contentType=kind, likeCount=F.when(n == 1, F.lit(5)), reactionCount=F.floor("l_quantity"), commentCount=F.lit("x"), shareCount=n)
+    return _raw(d.table("lineitem"), "l_suppkey", F.col("l_shipdate").alias("day"), postedAt=F.when(n == 1, stamp), publishedAt=F.when(n == 2, stamp), date=F.when(n > 2, F.when(n == 7, F.lit("no date")).otherwise(stamp)), postUrl=F.col("l_orderkey").cast("string"), content=F.col("l_linestatus"), contentType=kind, likeCount=F.when(n == 1, F.lit(5)), reactionCount=F.floor("l_quantity"), commentCount=F.lit("x"), shareCount=n, **more)
 
 
 @query("src6_posts_c", "select l_suppkey as handle, l_orderkey::varchar as post_url, l_linestatus as caption, (['video', 'image', 'document', 'article', 'text', 'image', null, 'document'])[l_linenumber % 8 + 1] as media_type, case when l_linenumber = 1 then 5 else floor(l_quantity) end::bigint as likes, 0::bigint as comments, l_linenumber::bigint as shares, l_shipdate as posted_at, null::varchar as coauthor_handle from lineitem where l_linenumber <> 7 and l_shipdate >= timestamp '2001-11-04' - interval 90 days")
@@ -279,6 +286,43 @@ def _src9(d: Domain) -> DataFrame:
     return every.groupBy("platform").agg(F.count(F.lit(1)).alias("n"), F.count("display_name").alias("named"), F.sum("followers").alias("followers"))
 
 
+def _damaged(df: DataFrame) -> DataFrame:
+    """Records of handles ending in 1 cut off, in 2 within a list, in 3 not there."""
+    last = F.substring(F.col("handle").cast("string"), -1, 1)
+    return df.withColumn("item", F.when(last == "1", F.substring("item", 1, 9)).when(last == "2", F.concat(F.lit("["), "item", F.lit("]"))).when(last != "3", F.col("item")))
+
+
+@query("src1_rejects", "select c_name as handle, case right(c_name, 1) when '1' then 'not JSON' else 'not an object' end as reason from customer where right(c_name, 1) in ('1', '2')")
+def _src1_rejects(d: Domain) -> DataFrame:
+    return raw.rejects(_damaged(_profiles_a(d))).select("handle", "reason")
+
+
+_OUTCOME = "case right({0}, 1) when '1' then 'not JSON' when '2' then 'not an object' else 'read' end"
+
+
+@query("src1_src6_outcomes", "select kind, outcome, count(*) as n from (" + " union all ".join(
+    [f"select 'profile {x}' as kind, {_OUTCOME.format('c_name')} as outcome from customer" for x in "abc"] + [f"select 'post {x}', {_OUTCOME.format('l_suppkey::varchar')} from lineitem" for x in "abc"]
+) + ") group by 1, 2")
+def _outcomes(d: Domain) -> DataFrame:
+    kinds = {"profile a": _profiles_a, "profile b": _profiles_b, "profile c": _profiles_c, "post a": _posts_a, "post b": _posts_b, "post c": _posts_c}
+    frames = [raw.parsed(_damaged(make(d))).groupBy(F.lit(kind).alias("kind"), F.coalesce("reason", F.lit("read")).alias("outcome")).agg(F.count(F.lit(1)).alias("n")) for kind, make in kinds.items()]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
+@query("flt1_flt2_dropped_posts", "select case when l_linenumber = 7 then 'undated' when l_shipdate < timestamp '2001-11-04' - interval 90 days then 'before the window' when l_linenumber % 2 = 0 then 'without url' else 'kept' end as rule, count(*) as n from lineitem group by 1")
+def _dropped_posts(d: Domain) -> DataFrame:
+    posts = raw.post_c(_posts_c(d, url=F.when(F.col("l_linenumber") % 2 == 0, F.lit(""))))
+    return posts.groupBy(F.coalesce(S.first_rule(raw.dropped_posts("2001-08-06 00:00:00")), F.lit("kept")).alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("flt6_dropped_points", "select case when event_type = 'error' then 'not a number' when ts < timestamp '2024-01-09' then 'before the window' else 'kept' end as rule, count(*) as n from events group by 1")
+def _dropped_points(d: Domain) -> DataFrame:
+    return raw.history_entries(_history(d)).groupBy(F.coalesce(S.first_rule(raw.dropped_points("2024-01-09 00:00:00")), F.lit("kept")).alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("srt5_newest_per_handle", "select handle, post_url, posted_at from (select l_suppkey as handle, l_orderkey::varchar as post_url, l_shipdate as posted_at, row_number() over (partition by l_suppkey order by l_shipdate desc, l_orderkey::varchar, l_linenumber) as r from lineitem where l_linenumber < 7) where r <= 5")
 def _srt5(d: Domain) -> DataFrame:
     return raw.accepted(raw.post_a(_posts_a(d)), "1990-01-01 00:00:00", limit=5).select("handle", "post_url", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
@@ -288,11 +332,39 @@ def _srt5(d: Domain) -> DataFrame:
 def _srt6(d: Domain) -> DataFrame:
     c = d.table("customer")
     items = _raw(c, "c_nationkey", F.col("c_custkey").alias("ordinal"), fullName=F.when(F.col("c_nationkey") != 3, F.col("c_name")), followersCount=F.floor("c_acctbal"))
-    profiles = items.select("handle", "ordinal", F.from_json("item", raw.PROFILE_A).alias("r"))
-    typed = profiles.select("handle", "ordinal", F.col("r.fullName").alias("display_name"), S.int_or_zero(F.col("r.followersCount")).alias("followers"))
+    typed = raw.records(items).select("handle", "ordinal", raw.field("fullName").alias("display_name"), S.int_or_zero(raw.field("followersCount")).alias("followers"))
     return raw.first_item(typed, "ordinal").select("handle", "display_name", "followers")
 
 
+_RECORDS = """select p as platform, l_suppkey::varchar as handle, url as post_url, likes, l_shipdate as posted_at from (
+  select 'instagram' as p, l_suppkey, case when l_linenumber < 7 then l_orderkey::varchar else '' end as url, floor(l_quantity)::bigint as likes, l_shipdate from lineitem
+  union all select 'linkedin', l_suppkey, case when l_linenumber <> 7 then l_orderkey::varchar else '' end, case when l_linenumber = 1 then 5 else floor(l_quantity) end::bigint, l_shipdate from lineitem
+  union all select 'tiktok', l_suppkey, case when l_linestatus = 'O' then l_orderkey::varchar else 'u' end, floor(l_quantity)::bigint, l_shipdate from lineitem)
+where url <> '' and l_shipdate >= timestamp '2001-08-06'"""
+
+
+def _record_folder(d: Domain, since: str) -> str:
+    """A folder of the posts of all platforms from that day on, as scrapers leave them."""
+    folder = scratch(d.spark)
+    for platform, make in (("instagram", _posts_a), ("linkedin", _posts_c), ("tiktok", _posts_b)):
+        records.write(raw.newer(make(d), since).select(F.lit(platform).alias("platform"), "handle", F.to_date("day").alias("day"), "item"), folder, "posts")
+    return folder
+
+
+def _normalised(rows: DataFrame) -> DataFrame:
+    parts = {p: rows.where(F.col("platform") == p).drop("platform") for p in ("instagram", "linkedin", "tiktok")}
+    posts = raw.accepted(raw.normalise(parts, "posts"), "2001-08-06 00:00:00", limit=None)
+    return posts.select("platform", "handle", "post_url", "likes", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
+
+
+@query("udf6_record_source", _RECORDS)
+def _record_source(d: Domain) -> DataFrame:
+    """Written from a month before the window, so that the date which reaches the source drops lines."""
+    records.register(d.spark)
+    rows = d.spark.read.format("records").option("path", _record_folder(d, "2001-07-06 00:00:00")).option("kind", "posts").option("handles", "16").load()
+    return _normalised(rows.where("day >= date '2001-08-06'"))
+
+
 @query("src19_legacy_profiles", "select c_name as handle, case when c_nationkey % 4 <> 1 then floor(c_acctbal)::bigint end as followers, case when c_nationkey > 9 then c_nationkey::bigint end as following, nullif(c_mktsegment, 'BUILDING') as bio from customer")
 def _src19_profiles(d: Domain) -> DataFrame:
     k = F.col("c_nationkey")
@@ -301,7 +373,7 @@ def _src19_profiles(d: Domain) -> DataFrame:
 
 @query("src19_legacy_posts", "select l_suppkey as handle, case when l_linenumber < 7 then l_orderkey::varchar else '' end as post_url, l_linestatus as caption, (['Sidecar', 'clips', 'GraphVideo', 'Photo', 'CAROUSEL_ALBUM', 'reel', 'Image', 'other'])[l_linenumber % 8 + 1] as media_type, floor(l_quantity)::bigint as likes, case when l_linestatus = 'O' then l_linenumber else 0 end::bigint as comments, l_shipdate as posted_at, case when l_returnflag = 'R' then 'partner' end as coauthor_handle from lineitem where l_shipdate >= timestamp '2001-11-04' - interval 30 days")
 def _src19_posts(d: Domain) -> DataFrame:
-    posts = raw.legacy_posts(raw.newer(_posts_a(d), "2001-10-05 00:00:00"), POSTS_AS_OF)
+    posts = raw.legacy_posts(raw.newer(_posts_written(d), "2001-10-05 00:00:00"), POSTS_AS_OF)
     return posts.withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz"))
 
 
@@ -329,9 +401,9 @@ def _src12(d: Domain) -> DataFrame:
     return d.table("documents").where("source = 'src1'").select(F.col("doc_id").alias("post_id"), F.col("text").alias("caption"))
 
 
-@query("src13_accounts_of_analysis", f"{having('accounts')} select * from accounts where platform = '2'")
+@query("src13_accounts_of_analysis", f"{having('accounts')} select * from accounts where analysis_id = 2 and platform = '2'")
 def _src13(d: Domain) -> DataFrame:
-    return d.accounts.where("platform = '2'")
+    return d.accounts.where("analysis_id = 2 and platform = '2'")
 
 
 @query("srt2_next_pending", f"{having('analyses')} select analysis_id, created_at from analyses where status = 'pending' order by created_at, analysis_id limit 1")

@@ -1,29 +1,46 @@
-"""Raw scraper records to typed tables: an explicit superset schema per record, never inference.
+"""Raw scraper records to typed tables.
 
-Every normaliser takes a frame with `handle` and `item` (the JSON text of one record) and returns typed columns.
-Numbers are read as text and cast permissively (what isn't a number is 0 or null); fallback chains are coalesce."""
+Every normaliser takes a frame with `handle` and `item` (the JSON text of one record) and returns typed columns.  A record
+is parsed once, to a VARIANT, and fields are read from that by path; fallback chains are coalesce, and numbers are read as
+text and cast permissively (what isn't a number is 0 or null).  A record that can't be read goes to rejects(), with the
+reason, and to no table; one that isn't there (null) is an empty record, as in the application."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import HISTORY_DAYS, LEGACY_DAYS, POST_LIMIT, int_or_zero, media_type_a, media_type_c
+from ..functions.scalar import HISTORY_DAYS, LEGACY_DAYS, POST_LIMIT, epoch_time, evaluated, first_rule, int_or_zero, media_type_a, media_type_c, number, whole
 
-PROFILE_A = "fullName string, followersCount string, followsCount string, biography string"
-META_B = "nickName string, name string, fans string, followerCount string, following string, signature string"
-PROFILE_B = f"authorMeta struct<{META_B.replace(' string', ':string')}>, {META_B}"
-PROFILE_C = "name string, companyName string, followerCount string, followers string, description string, about string"
-POST_A = "url string, caption string, type string, likesCount string, commentsCount string, timestamp string, takenAt string, coauthorProducers array<struct<username:string>>"
-POST_B = "createTime string, createTimeISO string, webVideoUrl string, url string, text string, diggCount string, commentCount string, shareCount string"
-POST_C = "postedAt string, publishedAt string, date string, url string, postUrl string, text string, content string, type string, contentType string, likeCount string, reactionCount string, commentCount string, shareCount string"
-HISTORY = "history array<struct<date:string, day:string, timestamp:string, followers:string, followerCount:string, subscribers:string, value:string>>"
+#: Reasons for which a record isn't read.
+NO_JSON, NO_OBJECT = "not JSON", "not an object"
 
 
-def parsed(raw: DataFrame, schema: str) -> DataFrame:
-    return raw.select(*[c for c in raw.columns if c not in ("item", "day")], F.from_json("item", schema).alias("r"))
+def parsed(raw: DataFrame) -> DataFrame:
+    """raw with v, the record as a VARIANT (null where it can't be read), instead of item, and with the reason why not."""
+    others = [c for c in raw.columns if c not in ("item", "day")]
+    item = F.coalesce("item", F.lit("{}"))
+    once = raw.select(*others, item.alias("item"), evaluated(F.try_parse_json(item)).alias("v"))
+    is_object = F.ltrim("item").startswith("{")
+    reason = first_rule([(F.col("v").isNull(), NO_JSON), (~is_object, NO_OBJECT)])
+    return once.withColumn("reason", reason)
+
+
+def records(raw: DataFrame) -> DataFrame:
+    """The records that can be read."""
+    return parsed(raw).where(F.col("reason").isNull()).drop("reason", "item")
+
+
+def rejects(raw: DataFrame) -> DataFrame:
+    """handle, item, reason of the records that can't be read; with records() these are all."""
+    return parsed(raw).where(F.col("reason").isNotNull()).drop("v")
+
+
+def field(*paths: str) -> Column:
+    """The first of these fields that is there and not null, as text."""
+    return F.coalesce(*[F.try_variant_get("v", f"$.{path}", "string") for path in paths])
 
 
 def moment(text: Column) -> Column:
@@ -37,45 +54,62 @@ def _number(text: Column) -> Column:
 
 
 def profile_a(raw: DataFrame) -> DataFrame:
-    return parsed(raw, PROFILE_A).select("handle", F.col("r.fullName").alias("display_name"), int_or_zero(F.col("r.followersCount")).alias("followers"), _number(F.col("r.followsCount")).alias("following"), F.col("r.biography").alias("bio"))
+    return records(raw).select("handle", field("fullName").alias("display_name"), int_or_zero(field("followersCount")).alias("followers"), _number(field("followsCount")).alias("following"), field("biography").alias("bio"))
 
 
 def profile_b(raw: DataFrame) -> DataFrame:
-    wrapped = F.col("r.authorMeta").isNotNull()
-    pick = lambda name: F.when(wrapped, F.col(f"r.authorMeta.{name}")).otherwise(F.col(f"r.{name}"))
-    return parsed(raw, PROFILE_B).select("handle", F.coalesce(pick("nickName"), pick("name")).alias("display_name"), int_or_zero(F.coalesce(pick("fans"), pick("followerCount"))).alias("followers"), _number(pick("following")).alias("following"), pick("signature").alias("bio"))
+    """Fields are in authorMeta if that is there, else at the top, never in both."""
+    meta = F.try_variant_get("v", "$.authorMeta", "variant")
+    rows = records(raw).select("handle", F.when(meta.isNotNull() & ~F.is_variant_null(meta), meta).otherwise(F.col("v")).alias("v"))
+    return rows.select("handle", field("nickName", "name").alias("display_name"), int_or_zero(field("fans", "followerCount")).alias("followers"), _number(field("following")).alias("following"), field("signature").alias("bio"))
 
 
 def profile_c(raw: DataFrame) -> DataFrame:
-    return parsed(raw, PROFILE_C).select("handle", F.coalesce("r.name", "r.companyName").alias("display_name"), int_or_zero(F.coalesce("r.followerCount", "r.followers")).alias("followers"), F.lit(None).cast("bigint").alias("following"), F.coalesce("r.description", "r.about").alias("bio"))
+    return records(raw).select("handle", field("name", "companyName").alias("display_name"), int_or_zero(field("followerCount", "followers")).alias("followers"), F.lit(None).cast("bigint").alias("following"), field("description", "about").alias("bio"))
 
 
 def post_a(raw: DataFrame) -> DataFrame:
-    return parsed(raw, POST_A).select(
-        "handle", F.coalesce("r.url", F.lit("")).alias("post_url"), F.col("r.caption").alias("caption"), media_type_a(F.col("r.type")).alias("media_type"),
-        int_or_zero(F.col("r.likesCount")).alias("likes"), int_or_zero(F.col("r.commentsCount")).alias("comments"), F.lit(None).cast("bigint").alias("shares"),
-        moment(F.coalesce("r.timestamp", "r.takenAt")).alias("posted_at"), F.get("r.coauthorProducers", F.lit(0))["username"].alias("coauthor_handle"),
+    return records(raw).select(
+        "handle", F.coalesce(field("url"), F.lit("")).alias("post_url"), field("caption").alias("caption"), media_type_a(field("type")).alias("media_type"),
+        int_or_zero(field("likesCount")).alias("likes"), int_or_zero(field("commentsCount")).alias("comments"), F.lit(None).cast("bigint").alias("shares"),
+        moment(field("timestamp", "takenAt")).alias("posted_at"), field("coauthorProducers[0].username").alias("coauthor_handle"),
     )
 
 
 def post_b(raw: DataFrame) -> DataFrame:
-    seconds = F.col("r.createTime").try_cast("double")
-    at = F.when(seconds.isNotNull(), F.timestamp_seconds(seconds)).otherwise(moment(F.coalesce("r.createTime", "r.createTimeISO")))
-    return parsed(raw, POST_B).select(
-        "handle", F.coalesce("r.webVideoUrl", "r.url", F.lit("")).alias("post_url"), F.col("r.text").alias("caption"), F.lit("video").alias("media_type"),
-        int_or_zero(F.col("r.diggCount")).alias("likes"), int_or_zero(F.col("r.commentCount")).alias("comments"), _number(F.col("r.shareCount")).alias("shares"),
+    """createTime is in seconds if it is a number; written as text it is read as a date, as is createTimeISO."""
+    created = F.try_variant_get("v", "$.createTime", "variant")
+    seconds = F.when(F.schema_of_variant(created).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), number(field("createTime")))
+    at = F.when(seconds.isNotNull(), epoch_time(seconds)).otherwise(moment(field("createTime", "createTimeISO")))
+    return records(raw).select(
+        "handle", F.coalesce(field("webVideoUrl", "url"), F.lit("")).alias("post_url"), field("text").alias("caption"), F.lit("video").alias("media_type"),
+        int_or_zero(field("diggCount")).alias("likes"), int_or_zero(field("commentCount")).alias("comments"), _number(field("shareCount")).alias("shares"),
         at.alias("posted_at"), F.lit(None).cast("string").alias("coauthor_handle"),
     )
 
 
 def post_c(raw: DataFrame) -> DataFrame:
-    return parsed(raw, POST_C).select(
-        "handle", F.coalesce("r.url", "r.postUrl", F.lit("")).alias("post_url"), F.coalesce("r.text", "r.content").alias("caption"), media_type_c(F.coalesce("r.type", "r.contentType")).alias("media_type"),
-        int_or_zero(F.coalesce("r.likeCount", "r.reactionCount")).alias("likes"), int_or_zero(F.col("r.commentCount")).alias("comments"), _number(F.col("r.shareCount")).alias("shares"),
-        moment(F.coalesce("r.postedAt", "r.publishedAt", "r.date")).alias("posted_at"), F.lit(None).cast("string").alias("coauthor_handle"),
+    return records(raw).select(
+        "handle", F.coalesce(field("url", "postUrl"), F.lit("")).alias("post_url"), field("text", "content").alias("caption"), media_type_c(field("type", "contentType")).alias("media_type"),
+        int_or_zero(field("likeCount", "reactionCount")).alias("likes"), int_or_zero(field("commentCount")).alias("comments"), _number(field("shareCount")).alias("shares"),
+        moment(field("postedAt", "publishedAt", "date")).alias("posted_at"), F.lit(None).cast("string").alias("coauthor_handle"),
     )
 
 
+#: What accepted() and history_points() drop, as conditions on their input in the order in which they are asked.
+def dropped_posts(since) -> list[tuple[Column, str]]:
+    old = F.col("posted_at") < F.lit(since).cast("timestamp")
+    return [(F.col("posted_at").isNull(), "undated"), (old, "before the window"), (F.col("post_url") == "", "without url")]
+
+
+def counted(rows: DataFrame, rules: list[tuple[Column, str]], name: str) -> tuple[DataFrame, Observation]:
+    """rows, and an observation of how many there are and how many each rule, asked in order, drops: it is filled by the
+    action that reads rows, on the same pass."""
+    reason, observed = first_rule(rules), Observation(name)
+    counts = [F.count_if(reason.eqNullSafe(F.lit(rule))).alias(rule) for _, rule in rules]
+    return rows.observe(observed, F.count(F.lit(1)).alias("rows"), *counts), observed
+
+
 def accepted(posts: DataFrame, since, limit: int | None = POST_LIMIT) -> DataFrame:
     """Posts in the window with a url; undated ones go.  limit is per handle, newest first (a global one would mix handles)."""
     inside = posts.where((F.col("posted_at") >= F.lit(since).cast("timestamp")) & (F.col("post_url") != ""))
@@ -97,30 +131,37 @@ def first_item(profiles: DataFrame, order: str) -> DataFrame:
 
 def legacy_profile(raw: DataFrame) -> DataFrame:
     """The earlier prototype's profile: fields as they are, no number where there is none."""
-    r = parsed(raw, PROFILE_A)
-    return r.select("handle", F.col("r.followersCount").try_cast("double").try_cast("bigint").alias("followers"), F.col("r.followsCount").try_cast("double").try_cast("bigint").alias("following"), F.col("r.biography").alias("bio"))
+    return records(raw).select("handle", whole(number(field("followersCount"))).alias("followers"), whole(number(field("followsCount"))).alias("following"), field("biography").alias("bio"))
 
 
 def legacy_posts(raw: DataFrame, as_of, days: int = LEGACY_DAYS) -> DataFrame:
     """The earlier prototype's posts of the last `days`: the media type as the source names it, absent counts 0, a time that
     can't be read raises, as it does there."""
-    r = parsed(raw, POST_A)
-    at = F.coalesce(F.nullif("r.timestamp", F.lit("")), "r.takenAt")
-    posts = r.select(
-        "handle", F.col("r.url").alias("post_url"), F.col("r.caption").alias("caption"), F.col("r.type").alias("media_type"),
-        F.coalesce(F.col("r.likesCount").try_cast("bigint"), F.lit(0)).alias("likes"), F.coalesce(F.col("r.commentsCount").try_cast("bigint"), F.lit(0)).alias("comments"),
-        F.coalesce(F.to_timestamp(at), F.raise_error(F.concat(F.lit("no time: "), F.coalesce(at, F.lit("null")))).cast("timestamp")).alias("posted_at"),
-        F.get("r.coauthorProducers", F.lit(0))["username"].alias("coauthor_handle"),
+    at = F.coalesce(F.nullif(field("timestamp"), F.lit("")), field("takenAt"))
+    posts = records(raw).select(
+        "handle", field("url").alias("post_url"), field("caption").alias("caption"), field("type").alias("media_type"),
+        int_or_zero(field("likesCount")).alias("likes"), int_or_zero(field("commentsCount")).alias("comments"),
+        evaluated(F.coalesce(F.to_timestamp(at), F.raise_error(F.concat(F.lit("no time: "), F.coalesce(at, F.lit("null")))).cast("timestamp"))).alias("posted_at"),
+        field("coauthorProducers[0].username").alias("coauthor_handle"),
     )
     return posts.where(F.col("posted_at") >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days"))
 
 
+def history_entries(raw: DataFrame) -> DataFrame:
+    """handle, ordinal, ts, followers of every entry of history arrays; what can't be read in an entry is null."""
+    entries = records(raw).select("handle", F.posexplode(F.try_variant_get("v", "$.history", "array<variant>")).alias("ordinal", "v"))
+    followers = whole(number(field("followers", "followerCount", "subscribers", "value")))
+    return entries.select("handle", evaluated(moment(field("date", "day", "timestamp"))).alias("ts"), evaluated(followers).alias("followers"), "ordinal")
+
+
+def dropped_points(since=None) -> list[tuple[Column, str]]:
+    rules = [(F.col("ts").isNull(), "undated"), (F.col("followers").isNull(), "not a number")]
+    return rules if since is None else [*rules, (F.col("ts") < F.lit(since).cast("timestamp"), "before the window")]
+
+
 def history_points(raw: DataFrame, since=None) -> DataFrame:
     """handle, ts, followers, ordinal of every valid entry of history arrays."""
-    entries = parsed(raw, HISTORY).select("handle", F.posexplode("r.history").alias("ordinal", "e"))
-    followers = F.coalesce("e.followers", "e.followerCount", "e.subscribers", "e.value").try_cast("double")
-    points = entries.select("handle", moment(F.coalesce("e.date", "e.day", "e.timestamp")).alias("ts"), followers.alias("f"), "ordinal")
-    points = points.where("ts is not null and f is not null and not isnan(f)").select("handle", "ts", F.col("f").cast("bigint").alias("followers"), "ordinal")
+    points = history_entries(raw).where("ts is not null and followers is not null")
     return points if since is None else points.where(F.col("ts") >= F.lit(since).cast("timestamp"))
 
 
