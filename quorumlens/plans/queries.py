@@ -351,18 +351,13 @@ def _record_folder(d: Domain, since: str) -> str:
     return folder
 
 
-def _normalised(rows: DataFrame) -> DataFrame:
-    parts = {p: rows.where(F.col("platform") == p).drop("platform") for p in ("instagram", "linkedin", "tiktok")}
-    posts = raw.accepted(raw.normalise(parts, "posts"), "2001-08-06 00:00:00", limit=None)
-    return posts.select("platform", "handle", "post_url", "likes", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
-
-
 @query("udf6_record_source", _RECORDS)
 def _record_source(d: Domain) -> DataFrame:
     """Written from a month before the window, so that the date which reaches the source drops lines."""
-    records.register(d.spark)
-    rows = d.spark.read.format("records").option("path", _record_folder(d, "2001-07-06 00:00:00")).option("kind", "posts").option("handles", "16").load()
-    return _normalised(rows.where("day >= date '2001-08-06'"))
+    folder = _record_folder(d, "2001-07-06 00:00:00")
+    parts = {p: records.read(d.spark, folder, since="2001-08-06", platform=p, per_partition=16).drop("platform") for p in ("instagram", "linkedin", "tiktok")}
+    posts = raw.accepted(raw.normalise(parts, "posts"), "2001-08-06 00:00:00", limit=None)
+    return posts.select("platform", "handle", "post_url", "likes", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
 
 
 @query("src19_legacy_profiles", "select c_name as handle, case when c_nationkey % 4 <> 1 then floor(c_acctbal)::bigint end as followers, case when c_nationkey > 9 then c_nationkey::bigint end as following, nullif(c_mktsegment, 'BUILDING') as bio from customer")

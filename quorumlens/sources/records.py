@@ -5,6 +5,10 @@ of one JSON object a line: {"day": ..., "item": ...}, the day only for posts.  W
 date is so answered by listing and by reading lines: filters on platform and handle choose folders, a filter on day skips a
 line before anything else is done with it.  The record itself stays text; sources.raw gives it types.
 
+Spark 4.1 keeps one set of pushed filters for each load(): a frame of this format that one query filters in two ways gets
+the second way's rows for both.  read() is the safe entry: its conditions reach the source, those put on its result don't,
+and each call is a load of its own.
+
 Options: path, kind; handles, the number of (platform, handle) folders that one partition reads (1 if not set); for
 streams settle, the seconds for which a file must not have changed before it is read (1).
 
@@ -27,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition
 
+from ..functions.scalar import evaluated
+
 SCHEMAS = {
     "profiles": "platform string, handle string, item string",
     "posts": "platform string, handle string, day date, item string",
@@ -181,6 +187,19 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Records)
 
 
+def read(spark: SparkSession, path: str, kind: str = "posts", since=None, platform: str | None = None, handles: Sequence[str] = (), per_partition: int = 1) -> DataFrame:
+    """Rows of a folder of records, from the day `since` on, of one platform and of these handles, where given."""
+    register(spark)
+    rows = spark.read.format("records").options(path=path, kind=kind, handles=per_partition).load()
+    if since is not None:
+        rows = rows.where(F.col("day") >= F.lit(since).cast("date"))
+    if platform is not None:
+        rows = rows.where(F.col("platform") == platform)
+    if handles:
+        rows = rows.where(F.col("handle").isin(*handles))
+    return rows.withColumn("item", evaluated(F.col("item")))
+
+
 def write(rows: DataFrame, path: str, kind: str) -> None:
     """Append rows (platform, handle, item, for posts day) to a folder of records, one file a handle and task."""
     line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in ("day", "item") if c in rows.columns]), {"ignoreNullFields": "false"})

@@ -107,3 +107,11 @@ def test_files_that_may_still_change_are_left(tmp_path):
 def test_types_after_normalising(spark, folder):
     rows = load(spark, folder).where("platform = 'instagram' and day >= date '2026-01-02'")
     assert [(r["handle"], r["post_url"], r["caption"], r["posted_at"]) for r in raw.post_a(rows).select("handle", "post_url", "caption", F.col("posted_at")).collect()] == [("a b", "2", "two\nlines", dt.datetime(2026, 1, 5))]
+
+
+def test_reads_of_one_folder_keep_their_own_conditions(spark, folder):
+    parts = [records.read(spark, folder, platform=p) for p in ("instagram", "tiktok")]
+    assert as_rows(parts[0].unionByName(parts[1])) == sorted(ROWS, key=str)
+    whole = records.read(spark, folder)
+    assert as_rows(whole.where("platform = 'instagram'").unionByName(whole.where("platform = 'tiktok'"))) == sorted(ROWS, key=str)
+    assert as_rows(records.read(spark, folder, since="2026-01-05", handles=["a b"])) == [ROWS[1]]
