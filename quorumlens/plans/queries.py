@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import classify, growth, legacy, lifecycle, metrics, readmodels, requests, synthesis, upsert
+from ..operators.buckets import Buckets
 from ..sources import raw, records
 from ..streaming import weekly
 from .binding import Domain, having
@@ -157,8 +158,9 @@ def _streaming(d: Domain) -> DataFrame:
     source = d.spark.readStream.schema(d.table("events").schema).parquet(f"{d.folder}/events.parque[t]")
     points = source.select(F.col("user_id").alias("account_id"), F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("bigint").alias("followers"), F.col("event_id").alias("ordinal"))
     stream = weekly.weekly_stream(points)
-    weekly.into_table(stream, f"{folder}/table", f"{folder}/state", ["account_id", "week_start"]).awaitTermination()
-    return weekly.latest(d.spark, f"{folder}/table", stream.schema)
+    table = Buckets(d.spark, f"{folder}/table", stream.schema, ["account_id", "week_start"], 16)
+    weekly.into_table(stream, table, f"{folder}/state").awaitTermination()
+    return table.read()
 
 
 # ------------------------------------------------------------------ raw sources
@@ -516,12 +518,27 @@ stored as (select * from (select *, row_number() over (partition by account_id,
 fresh as (select * from (select *, row_number() over (partition by account_id, post_url order by posted_at desc, likes desc, category_key desc, shares desc nulls last) as r from ranked where f) where r = 1)"""
 
 
-@query("snk6_upsert_posts", f"{having('posts')}, {_BATCHES} select account_id, post_url, case when f.account_id is not null then f.likes + 1000 else s.likes end as likes, case when f.account_id is not null then f.shares else s.shares end as shares, case when s.account_id is not null then 'first' else 'second' end as scraped_at from stored s full join fresh f using (account_id, post_url)")
+_SNK6 = f"{having('posts')}, {_BATCHES} select account_id, post_url, case when f.account_id is not null then f.likes + 1000 else s.likes end as likes, case when f.account_id is not null then f.shares else s.shares end as shares, case when s.account_id is not null then 'first' else 'second' end as scraped_at from stored s full join fresh f using (account_id, post_url)"
+
+
+@query("snk6_upsert_posts", _SNK6)
 def _snk6(d: Domain) -> DataFrame:
     stored, fresh = _batches(d)
     return upsert.upsert(stored, fresh, ["account_id", "post_url"], keep=["scraped_at"]).select("account_id", "post_url", "likes", "shares", "scraped_at")
 
 
+@query("snk6_merge_by_bucket", _SNK6)
+def _snk6_buckets(d: Domain) -> DataFrame:
+    """The same by buckets: a first batch makes the table, a second one is merged, twice."""
+    stored, fresh = _batches(d)
+    columns, keys = ["account_id", "post_url", "likes", "shares", "scraped_at"], ["account_id", "post_url"]
+    table = Buckets(d.spark, scratch(d.spark), stored.select(*columns).schema, keys, 8)
+    table.merge(stored.select(*columns))
+    for _ in range(2):
+        table.merge(fresh.select(*columns), lambda have, new: upsert.upsert(have, new, keys, keep=["scraped_at"]))
+    return table.read()
+
+
 @query("snk5_insert_missing", f"{having('posts')}, {_BATCHES} select account_id, post_url, likes from stored union all select account_id, post_url, likes + 1000 from fresh f where not exists (select 1 from stored s where s.account_id = f.account_id and s.post_url = f.post_url)")
 def _snk5(d: Domain) -> DataFrame:
     stored, fresh = _batches(d)

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.upsert import last_per_key, upsert
+from ..operators.buckets import Buckets
+from ..operators.upsert import last_per_key
 
 
 def weekly_stream(points: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -22,31 +23,18 @@ def weekly_stream(points: DataFrame, delay: str = "7 days") -> DataFrame:
     return grouped.select("account_id", F.to_date("w.start").alias("week_start"), "followers")
 
 
-def into_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], available_now: bool = True) -> StreamingQuery:
-    """Upserts each micro-batch into versions path/v=N; a batch that is run again writes its version again, so the last
-    version is the same however often a batch is retried.  Versions before the last but one are removed.  A batch that
-    holds a key twice is reduced to the greatest of the other columns."""
-    spark = stream.sparkSession
+def into_table(stream: DataFrame, table: Buckets, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Merges each micro-batch into the table, so that only the buckets of its keys are read and written; a batch that is
+    run again changes nothing.  A batch that holds a key twice is reduced to the greatest of the other columns."""
 
     def write(batch: DataFrame, number: int) -> None:
-        new = last_per_key(batch, keys, [F.col(c) for c in batch.columns if c not in keys])
-        out = new if number == 0 else upsert(spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}"), new, keys)
-        out.write.mode("overwrite").parquet(f"{path}/v={number}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={number - 2}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        own = Buckets(batch.sparkSession, table.path, table.schema, table.keys, table.number)
+        own.merge(last_per_key(batch, table.keys, [F.col(c) for c in batch.columns if c not in table.keys]))
 
     writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
-def latest(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The newest version of the table that into_table writes."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
-    newest = max(int(f.getPath().getName()[2:]) for f in files if f.getPath().getName().startswith("v="))
-    return spark.read.schema(schema).parquet(f"{path}/v={newest}")
-
-
 def serve(requests: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
     """The worker loop: every five seconds, or once for schedulers, what is new in the request folder goes to handle."""
     writer = requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

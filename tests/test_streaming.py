@@ -2,8 +2,8 @@
 
 import datetime as dt
 
-
 from quorumlens.operators import growth
+from quorumlens.operators.buckets import Buckets
 from quorumlens.streaming import weekly
 
 SCHEMA = "account_id long, ts timestamp, followers long, ordinal long"
@@ -20,8 +20,9 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     for at in (0, 45):  # two runs of the same query over what is new
         spark.createDataFrame(every[at : at + 45], SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = weekly.weekly_stream(spark.readStream.schema(SCHEMA).parquet(source))
-        weekly.into_table(stream, table, state, ["account_id", "week_start"]).awaitTermination()
-    got = weekly.latest(spark, table, stream.schema)
+        rows = Buckets(spark, table, stream.schema, ["account_id", "week_start"], 4)
+        weekly.into_table(stream, rows, state).awaitTermination()
+    got = rows.read()
     want = growth.weekly_snapshots(spark.createDataFrame(every, SCHEMA))
     order = ["account_id", "week_start", "followers"]
     assert sorted(map(tuple, got.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
@@ -33,8 +34,9 @@ def test_points_behind_the_watermark_are_dropped(spark, tmp_path):
     for batch in batches:
         spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = weekly.weekly_stream(spark.readStream.schema(SCHEMA).parquet(source))
-        weekly.into_table(stream, table, state, ["account_id", "week_start"]).awaitTermination()
-    assert weekly.latest(spark, table, stream.schema).where("followers = 999999").count() == 0
+        rows = Buckets(spark, table, stream.schema, ["account_id", "week_start"], 4)
+        weekly.into_table(stream, rows, state).awaitTermination()
+    assert rows.read().where("followers = 999999").count() == 0
 
 
 def test_served_requests_arrive_once(spark, tmp_path):
