@@ -12,8 +12,9 @@ k * (k - 1) / 2 rows before they are tallied, whatever the number of its occurre
 
 Terms: those more frequent in a group than in its language, by the same difference, up to a rank.
 
-Texts are read twice: for document counts (each row's distinct terms, summed before they are shuffled), then for
-occurrences of the kept terms only.  Rows meet by term, never by source, so a source with a third of the rows is no hot key.
+Texts are read once.  Each partition counts a group's occurrences and documents by term, as bytes, and hands on what it has
+when that is too much; these sums meet by (language, term), never by source, so that a source with a third of the rows is
+no hot key, and both the occurrences of a group and the documents of the language follow without another shuffle.
 
 Defined results: each row is a document, repeated rows too; null text, lang and source count as ''; a group without terms
 still has its pairs, with value 0 if its language keeps no term; a language with one source has no pairs; ties go to the
@@ -22,20 +23,51 @@ smaller item in UTF-8 order; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_few, kept, lower_ascii, once, stored, text_of
+from .common import broadcast_few, kept, small_batches, stored, text_of
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Of UTF-8 bytes: A-Z to a-z, those of a term as they are, all others to a space.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Terms that a partition counts before it hands them on.
+HELD = 400_000
 UNIT, SMOOTH = 1_000_000_000, 5
 
 
-def _words(docs: DataFrame, distinct: bool) -> DataFrame:
-    """lang, source and term of every occurrence, or of each row's distinct terms."""
-    found = F.regexp_extract_all(lower_ascii(text_of()), F.lit(TERM), F.lit(0))
-    words = docs.select("lang", "source", once(F.array_distinct(found) if distinct else found).alias("words"))
-    return words.select("lang", "source", F.explode("words").alias("term"))
+def _partial_counts(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences and rows, summed within a partition as far as they fit."""
+    schema = "lang string, source string, term string, n long, docs long"
+
+    def rows(found: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (occurrences, documents) in found.items():
+            terms = pa.array(occurrences.keys(), pa.binary()).cast(pa.string())
+            counts = [pa.array(c.values(), pa.int64()) for c in (occurrences, documents)]
+            names = [pa.repeat(pa.scalar(x, pa.string()), len(terms)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, terms, *counts], ["lang", "source", "term", "n", "docs"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = {}, 0
+        for batch in batches:
+            for lang, source, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                words = text.translate(TERM_BYTES).split()
+                occurrences, documents = found.setdefault((lang, source), (Counter(), Counter()))
+                held -= len(occurrences)
+                occurrences.update(words)
+                # in the order of the first counter: both meet a term first in the same text
+                documents.update(iter(dict.fromkeys(words)))
+                held += len(occurrences)
+                if held > HELD:
+                    yield from rows(found)
+                    found, held = {}, 0
+        yield from rows(found)
+
+    small_batches(docs.sparkSession)
+    return docs.select("lang", "source", text_of().cast("binary")).mapInArrow(count, schema)
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -54,22 +86,14 @@ def _ranked(df: DataFrame, most: int | None = None) -> DataFrame:
 def term_counts(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) of kept terms, and (lang, source, total, terms, own) of every group: occurrences of kept terms,
     the language's number of them, the group's number of them."""
-    frequent = _words(docs, distinct=True).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
-    frequent = kept(frequent.select("lang", "term"))
-    few = broadcast_few(frequent)
-    words = _words(docs, distinct=False)
-    if few is not frequent:  # small: what isn't kept goes before anything is counted
-        words = words.join(few, ["lang", "term"])
-    counts = words.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"))
-    if few is frequent:
-        counts = counts.join(frequent, ["lang", "term"])
-    counts = kept(counts.select("lang", "source", "term", "n"))
+    parts = _partial_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # a term has a row per source, so this window is as small as the number of sources
+    known = parts.withColumn("docs", F.sum("docs").over(Window.partitionBy("lang", "term"))).where(F.col("docs") >= min_docs)
+    counts = kept(known.select("lang", "source", "term", "n"))
     own = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own"))
-    terms = frequent.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
+    terms = counts.groupBy("lang").agg(F.countDistinct("term").alias("terms"))
     groups = docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(terms, "lang", "left")
-    groups = stored(groups.na.fill(0, ["total", "own", "terms"]))
-    frequent.unpersist()
-    return counts, groups
+    return counts, stored(groups.na.fill(0, ["total", "own", "terms"]))
 
 
 def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -100,7 +124,6 @@ def pair_values(counts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def term_values(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     """(lang, source, item, value, rank): the `top` terms of each group that it has more often than its language."""
-    # a term has a row per source, so this window is as small as the number of sources
     in_lang = counts.withColumn("all", F.sum("n").over(Window.partitionBy("lang", "term")))
     whole = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     sized = stored(groups.join(whole, "lang").drop("own"))
