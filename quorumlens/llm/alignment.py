@@ -7,11 +7,15 @@ link, so a text has as many links as it has different ends.
 
 No token of either vocabulary reaches over the place between a character that isn't white space and a space, nor does
 either encoding depend on what lies behind it, so both token ends meet there.  Texts are cut at these places, and all that
-a distinct segment contributes is worked out once by numpy, for a batch's new segments together.
-
-Counts are made in three steps.  Each partition packs a link's ids into an int64, reduces every document to its distinct
-keys and sums these by np.unique, handing on what it has when it holds too much.  The partial counts are written, dealt
-out by ranges of keys and sorted, and equal keys, which lie side by side, are summed as runs.  The shards so written
+a distinct segment contributes is worked out once by numpy, for a batch's new segments together: they are encoded as one
+text and told apart by their lengths in bytes.  A merges by rank, which is the order of its merges, as is checked, together
+with that every token alone encodes to itself, without which ranks and merges could differ; characters beyond the Latin
+ones, whose classes libraries may see differently, and segments that end in white space are encoded one by one from the
+.json itself.
+
+Counts are made in three steps.  Each document's distinct links, ids packed in an int64, are kept with their numbers;
+each partition sums them by np.unique, handing on what it has when it holds too much.  The partial counts are written,
+dealt out by ranges of keys and sorted, and equal keys, which lie side by side, are summed as runs.  The shards so written
 are sorted one behind the other; a Python worker copies them to an unlinked local file of 16 bytes a pair, maps that into
 memory and looks keys up by searchsorted.  The driver gets the highest count of each A id, at most one number an entry of
 that vocabulary.
@@ -42,12 +46,16 @@ from pyspark.sql import types as T
 from . import sentencepiece
 from .common import small_batches, stored, tasks, with_python
 
-#: Segments, their characters and their links that a worker keeps.
-CACHE, CACHED_CHARS, CACHED_LINKS = 200_000, 10_000_000, 4_000_000
+#: Segments, their characters and their links that a worker keeps, and characters that are encoded at once.
+CACHE, CACHED_CHARS, CACHED_LINKS, TOGETHER = 300_000, 10_000_000, 4_000_000, 50_000
 #: Keys that a partition gathers before it sums them, and sums before it hands them on.
 GATHERED, SUMMED = 2_000_000, 1_000_000
 SEGMENT = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]*)*| +")
 COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+#: Fixed value: how byte-level vocabularies split text.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The last letter of Latin Extended-B.
+LATIN = "\u024f"
 
 
 def byte_of_char() -> dict[str, int]:
@@ -70,7 +78,19 @@ class Vocabularies:
         if any(not t["special"] for t in spec.get("added_tokens", [])):
             raise ValueError("added tokens of A other than special ones aren't supported")
         sentencepiece.Vocabulary(b)  # raises where B normalises or has pieces over words
-        self.n_a = 1 + max(spec["model"]["vocab"].values())
+        vocab = spec["model"]["vocab"]
+        self.n_a = 1 + max(vocab.values())
+        self.special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.by_rank = self._by_rank(spec["model"]["merges"], vocab)
+
+    def _by_rank(self, merges: list, vocab: dict[str, int]) -> bool:
+        """Whether merging by id is merging by the list: ids rise along it, and each token alone becomes itself."""
+        from tokenizers import Tokenizer
+
+        ids = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        model = Tokenizer.from_str(self.a.decode()).model
+        alone = all(len(model.tokenize(t)) == 1 for t in vocab if t not in self.special)
+        return ids == sorted(ids) and alone and len(ids) + len(byte_of_char()) == len(vocab.keys() - self.special)
 
     def bytes_of_a(self) -> list[bytes]:
         chars = byte_of_char()
@@ -137,7 +157,9 @@ class Shards:
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, few), len(self.keys) - 1)
             counts = np.where(self.keys[at] == few, self.counts[at], 0)
-        return counts[back], counts[back] == self.best[keys >> 32]
+        a = few >> 32
+        best = (counts > 0) & (counts == self.best[np.minimum(a, len(self.best) - 1)])
+        return counts[back], best[back]
 
 
 class _Flat:
@@ -159,71 +181,115 @@ class _Flat:
 class Aligner:
     """What segments contribute; those it has met are kept until they are too many."""
 
-    def __init__(self, vocabularies: Vocabularies, shards: Shards | None = None):
+    def __init__(self, vocabularies: Vocabularies):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece as library
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(vocabularies.a.decode())
         self.a.encode_special_tokens = True
         self.b = library.SentencePieceProcessor(model_proto=vocabularies.b)
         self.raw_a, self.raw_b = vocabularies.bytes_of_a(), sentencepiece.Vocabulary(vocabularies.b).raw
+        ranks = {raw: i for i, raw in enumerate(self.raw_a) if raw and raw.decode("latin-1") not in vocabularies.special}
+        self.ranked = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if vocabularies.by_rank else None
         self.len_a, self.len_b = (np.array(list(map(len, raw)), np.int64) for raw in (self.raw_a, self.raw_b))
-        # a token's text with what follows it: another of its list, or the end of its side of the group
-        texts = [[f"{i}{end}" for i in range(len(raw))] for raw, ends in ((self.raw_a, ",|"), (self.raw_b, ",;")) for end in ends]
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(raw), np.uint8) for raw in (self.raw_a, self.raw_b))
+        # a token's text with what follows it: another of its list, the end of its side of the group, the end of the segment
+        texts = [[f"{i}{end}" for i in range(len(raw))] for raw, ends in ((self.raw_a, ",|"), (self.raw_b, ",;\n")) for end in ends]
         self.written = np.array(list(chain.from_iterable(texts)), object)
-        self.shards = shards
         self._reset()
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.groups: list[str] = []
-        self.links, self.sums, self.chars = _Flat(), np.zeros((0, 7), np.int64), 0
-
-    def _learn(self, new: list[str]) -> None:
-        """n_a, n_b, n_groups, n_links, links that are best, sum of counts, and whether its bytes aren't its own, by segment."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        self.links, self.sums, self.chars = _Flat(), np.zeros((0, 5), np.int64), 0
+
+    def _together(self, part: list[str], own: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides of these segments, encoded as one text, if their tokens' bytes are theirs."""
+        text = "".join(part)
+        whole = np.frombuffer(b"".join(own), np.uint8)
+        try:
+            ids_a, ids_b = np.array(self.ranked.encode_ordinary(text), np.int64), np.array(self.b.encode(text[1:]), np.int64)
+        except BaseException as error:  # the library's own stack may be too small for one word of a million letters
+            if isinstance(error, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
+                raise
+            return None
+        bounds = np.cumsum(list(map(len, own)))
+        for ids, lengths, flat in ((ids_a, self.len_a, self.flat_a), (ids_b, self.len_b, self.flat_b)):
+            size = lengths[ids]
+            ends = np.cumsum(size)
+            if ends[-1] != len(whole) or not np.isin(bounds, ends, assume_unique=True).all():
+                return None
+            start = (np.cumsum(lengths) - lengths)[ids]
+            if not np.array_equal(flat[np.repeat(start - (ends - size), size) + np.arange(len(whole))], whole):
+                return None
+        return ids_a, ids_b
+
+    def _alone(self, part: list[str], own: list[bytes]) -> tuple[list, list, np.ndarray]:
+        """Ids of both sides of each segment, and whether its tokens' bytes aren't its own."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
         # B puts a space in front of what it is given, but for nothing
-        ids_b = [ids or [self.b.piece_to_id(sentencepiece.SPACE)] for ids in self.b.encode([s[1:] for s in new], num_threads=1)]
-        own = [s.encode() for s in new]
+        ids_b = [ids or [self.b.piece_to_id(sentencepiece.SPACE)] for ids in self.b.encode([s[1:] for s in part], num_threads=1)]
         join = lambda ids, raw: b"".join(map(raw.__getitem__, ids))
-        bad = np.array([join(x, self.raw_a) != s or join(y, self.raw_b) != s for x, y, s in zip(ids_a, ids_b, own, strict=True)], bool)
-        good = np.flatnonzero(~bad)
-        size_a, size_b = (np.array([len(ids[i]) for i in good], np.int64) for ids in (ids_a, ids_b))
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids[i] for i in good), np.int64) for ids in (ids_a, ids_b))
+        bad = [join(x, self.raw_a) != s or join(y, self.raw_b) != s for x, y, s in zip(ids_a, ids_b, own, strict=True)]
+        return ids_a, ids_b, np.array(bad, bool)
+
+    def _learn(self, new: list[str]) -> None:
+        """n_a, n_b, n_groups, n_links, and whether its bytes aren't its own, of each segment, its links and its groups."""
+        plain = [s for s in new if (s.isascii() or max(s) <= LATIN) and not s[-1].isspace()] if self.ranked else []
+        others = list(set(new).difference(plain)) if len(plain) < len(new) else []
+        order, flat_a, flat_b, at = [], [], [], 0
+        while at < len(plain):
+            chars, stop = 0, at
+            while stop < len(plain) and chars < TOGETHER:
+                chars += len(plain[stop])
+                stop += 1
+            part = plain[at:stop]
+            found = self._together(part, [s.encode() for s in part])
+            if found is None:
+                others += part
+            else:
+                order += part
+                flat_a.append(found[0])
+                flat_b.append(found[1])
+            at = stop
+        bad_ones: list[str] = []
+        if others:
+            ids_a, ids_b, bad = self._alone(others, [s.encode() for s in others])
+            keep = np.flatnonzero(~bad).tolist()
+            bad_ones = [others[i] for i in np.flatnonzero(bad).tolist()]
+            order += [others[i] for i in keep]
+            flat_a += [np.array(ids_a[i], np.int64) for i in keep]
+            flat_b += [np.array(ids_b[i], np.int64) for i in keep]
+        none = [np.zeros(0, np.int64)]
+        flat_a, flat_b = np.concatenate(none + flat_a), np.concatenate(none + flat_b)
         ends_a, ends_b = np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
-        bounds = np.cumsum([len(own[i]) for i in good])
+        bounds = np.cumsum([len(s.encode()) for s in order]).astype(np.int64)
         ends, at_a, at_b, common = align(ends_a, ends_b)
         keys = flat_a[at_a] << 32 | flat_b[at_b]
 
-        sums = np.zeros((len(new), 7), np.int64)
-        sums[:, 6] = bad
-        per_segment = lambda e, weights=None: np.bincount(np.searchsorted(bounds, e), weights, len(good)).astype(np.int64)
-        n_links = per_segment(ends)
-        sums[good, :4] = np.stack([size_a, size_b, per_segment(common), n_links], 1)
-        if self.shards is not None and len(keys):
-            counts, best = self.shards.of(keys)
-            starts = np.cumsum(n_links) - n_links
-            sums[good, 4], sums[good, 5] = np.add.reduceat(best.astype(np.int64), starts), np.add.reduceat(counts, starts)
+        size = lambda e: np.diff(np.searchsorted(e, bounds, "right"), prepend=0)
+        sums = np.zeros((len(order) + len(bad_ones), 5), np.int64)
+        n_links = size(ends)
+        sums[: len(order), :4] = np.stack([size(ends_a), size(ends_b), size(common), n_links], 1)
+        sums[len(order) :, 4] = 1
 
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
         last_a, last_b = common[group_a] == ends_a, common[group_b] == ends_b
-        text = np.concatenate([flat_a + last_a * len(self.raw_a), 2 * len(self.raw_a) + flat_b + last_b * len(self.raw_b)])
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-        texts = self.written[text[order]].tolist()
-        stops = np.cumsum(size_a + size_b).tolist()
-        spelled = [""] * len(new)
-        for i, start, stop in zip(good.tolist(), [0, *stops], stops, strict=False):
-            spelled[i] = "".join(texts[start:stop])[:-1]
-
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-        self.groups += spelled
-        sizes = np.zeros(len(new), np.int64)
-        sizes[good] = n_links
-        self.links.extend(keys, sizes)
+        over = np.zeros(len(ends_b), np.int64)
+        over[np.searchsorted(ends_b, bounds)] = 1
+        text = np.concatenate([flat_a + last_a * len(self.raw_a), 2 * len(self.raw_a) + flat_b + (last_b + over) * len(self.raw_b)])
+        by_group = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        spelled = "".join(self.written[text[by_group]].tolist()).split("\n")[:-1]
+
+        order += bad_ones
+        self.index.update(zip(order, range(len(self.index), len(self.index) + len(order)), strict=True))
+        self.groups += spelled + [""] * len(bad_ones)
+        self.links.extend(keys, np.append(n_links, np.zeros(len(bad_ones), np.int64)))
         self.sums = np.concatenate([self.sums, sums])
 
-    def numbers(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
         """The numbers of all segments of these texts, and where each text's begin and end."""
         cut = [SEGMENT.findall(" " + t) if t else [] for t in texts]
         met = set(chain.from_iterable(cut))
@@ -239,34 +305,40 @@ class Aligner:
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
         return at, np.cumsum([0, *map(len, cut)]).tolist()
 
-    def distinct_keys(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """The distinct links of each text."""
-        at, ends = self.numbers(texts)
-        for start, end in zip(ends, ends[1:], strict=False):
-            own = np.unique(at[start:end])
-            if len(own) and not self.sums[own, 6].any():
-                yield np.unique(self.links.joined(own))
-
-    def totals(self, texts: list[str | None]) -> tuple[np.ndarray, list[str]]:
-        """The columns of each text's sums, and its groups."""
-        at, ends = self.numbers(texts)
-        table = np.diff(np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(self.sums[at], axis=0)])[ends], axis=0)
-        table[table[:, 6] > 0] = 0
-        name = self.groups.__getitem__
-        groups = [";".join(map(name, at[i:j].tolist())) if n else "" for i, j, n in zip(ends, ends[1:], table[:, 0].tolist(), strict=False)]
-        return table, groups
-
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
+        """Of each text: the numbers that COUNTS names, its groups, its distinct links and how often each is there."""
+        at, ends = self._numbers(texts)
+        table = np.diff(np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(self.sums[at], axis=0)])[ends], axis=0)
+        table[table[:, 4] > 0] = 0
+        name, groups, links, times = self.groups.__getitem__, [], [], []
+        for i, j, n in zip(ends, ends[1:], table[:, 0].tolist(), strict=False):
+            own = at[i:j] if n else at[:0]
+            groups.append(";".join(map(name, own.tolist())))
+            found = self.links.joined(own)
+            found.sort()
+            starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+            links.append(found[starts])
+            times.append(np.diff(starts, append=len(found)))
+        return table[:, :4], groups, links, times
+
+
+#: The last aligner and the last shards of this Python worker: what one task has met the next one knows.
+_ALIGNERS: dict[str, Aligner] = {}
+_SHARDS: dict[tuple[str, ...], Shards] = {}
+
+
+def _aligner(vocabularies: Vocabularies) -> Aligner:
+    if vocabularies.key not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[vocabularies.key] = Aligner(vocabularies)
+    return _ALIGNERS[vocabularies.key]
 
-#: The last aligner of this Python worker: what one task has met the next one knows.
-_ALIGNERS: dict[tuple, Aligner] = {}
 
-
-def _aligner(vocabularies: Vocabularies, uris: tuple[str, ...] | None = None, best: np.ndarray | None = None) -> Aligner:
-    key = (vocabularies.key, uris)
-    if key not in _ALIGNERS:
-        _ALIGNERS.clear()
-        _ALIGNERS[key] = Aligner(vocabularies, None if uris is None else Shards(list(uris), best))
-    return _ALIGNERS[key]
+def _shards(uris: tuple[str, ...], best: np.ndarray) -> Shards:
+    if uris not in _SHARDS:
+        _SHARDS.clear()
+        _SHARDS[uris] = Shards(list(uris), best)
+    return _SHARDS[uris]
 
 
 _PAIRS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
@@ -276,24 +348,40 @@ def _batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
 
 
-def pair_counts(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -> DataFrame:
-    """(key, n), written: in how many rows each pair of ids, a << 32 | b, is linked; sorted shards of rising keys."""
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    flat = pa.array(np.concatenate([np.zeros(0, np.int64), *values]), pa.int64()).cast(kind)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), flat)
+
+
+def encode(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -> DataFrame:
+    """df with n_a, n_b, n_groups, n_links (long), groups (a1,a2|b1;a3|b2), links (array of a << 32 | b, distinct) and times
+    (array of how often each is there)."""
     shared = df.sparkSession.sparkContext.broadcast(vocabularies)  # two files
 
+    def run(texts: list) -> list[pa.Array]:
+        table, groups, links, times = _aligner(shared.value).encode(texts)
+        return [*[pa.array(table[:, i]) for i in range(4)], pa.array(groups, pa.string()), _lists(links, pa.int64()), _lists(times, pa.int32())]
+
+    fields = [T.StructField(c, T.LongType()) for c in COUNTS]
+    fields += [T.StructField("groups", T.StringType()), T.StructField("links", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.IntegerType()))]
+    return with_python(df, text, run, fields, drop=tuple(f.name for f in fields))
+
+
+def pair_counts(encoded: DataFrame) -> DataFrame:
+    """(key, n), written: in how many rows of a frame with links each of them is there; sorted shards of rising keys."""
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(shared.value)
         keys, counts, gathered, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for batch in batches:
-            for own in aligner.distinct_keys(batch.column(0).to_pylist()):
-                gathered.append(own)
-                held += len(own)
-                if held > GATHERED:
-                    found = np.unique(np.concatenate(gathered), return_counts=True)
-                    keys, counts = summed(np.concatenate([keys, found[0]]), np.concatenate([counts, found[1]]))
-                    gathered, held = [], 0
-                    if len(keys) > SUMMED:
-                        yield _batch(keys, counts)
-                        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            gathered.append(batch.column(0).flatten().to_numpy())
+            held += len(gathered[-1])
+            if held > GATHERED:
+                found = np.unique(np.concatenate(gathered), return_counts=True)
+                keys, counts = summed(np.concatenate([keys, found[0]]), np.concatenate([counts, found[1]]))
+                gathered, held = [], 0
+                if len(keys) > SUMMED:
+                    yield _batch(keys, counts)
+                    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         found = np.unique(np.concatenate([np.zeros(0, np.int64), *gathered]), return_counts=True)
         yield _batch(*summed(np.concatenate([keys, found[0]]), np.concatenate([counts, found[1]])))
 
@@ -307,27 +395,34 @@ def pair_counts(df: DataFrame, vocabularies: Vocabularies, text: str = "text") -
                 last, total = keys[-1:], counts[-1:]
         yield _batch(last, total)
 
-    small_batches(df.sparkSession)
-    # written, so that sampling the ranges doesn't encode the texts once more
-    parts = stored(df.select(F.col(text).cast("string")).mapInArrow(partial, _PAIRS), "partial")
-    ranged = parts.repartitionByRange(tasks(df.sparkSession), "key").sortWithinPartitions("key")
+    small_batches(encoded.sparkSession)
+    # written, so that sampling the ranges doesn't sum up once more
+    parts = stored(encoded.select("links").mapInArrow(partial, _PAIRS), "partial")
+    ranged = parts.repartitionByRange(tasks(encoded.sparkSession), "key").sortWithinPartitions("key")
     return stored(ranged.mapInArrow(runs, _PAIRS), "counts")
 
 
-def aligned(df: DataFrame, vocabularies: Vocabularies, counts: DataFrame, text: str = "text") -> DataFrame:
-    """df with n_a, n_b, n_groups, n_links, n_best, count_sum (long) and groups (a1,a2|b1;a3|b2); counts: of pair_counts()
-    over these texts or others; a link that isn't among them counts 0."""
-    spark = df.sparkSession
-    highest = counts.groupBy(F.shiftright("key", 32).alias("a")).agg(F.max("n").alias("n"))
-    best = np.zeros(vocabularies.n_a, np.int64)
-    for row in highest.toLocalIterator():  # at most n_a rows
-        best[row["a"]] = row["n"]
-    uris, shared = tuple(counts.inputFiles()), spark.sparkContext.broadcast((vocabularies, best))
+def with_counts(encoded: DataFrame, counts: DataFrame) -> DataFrame:
+    """encoded, without links and times, with n_best and count_sum (long).  counts: of pair_counts() over these rows or
+    others; a link that isn't among them counts 0."""
+    spark = encoded.sparkSession
+    highest = counts.groupBy(F.shiftright("key", 32).cast("int").alias("a")).agg(F.max("n").alias("n"))
+    found = {row["a"]: row["n"] for row in highest.toLocalIterator()}  # at most one of each A id
+    best = np.zeros(max(found, default=0) + 1, np.int64)
+    best[list(found)] = list(found.values())
+    uris, shared = tuple(counts.inputFiles()), spark.sparkContext.broadcast(best)
+    kept = [c for c in encoded.columns if c not in ("links", "times", "n_best", "count_sum")]
+    schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in ("n_best", "count_sum")])
 
-    def run(texts: list) -> list[pa.Array]:
-        table, groups = _aligner(shared.value[0], uris, shared.value[1]).totals(texts)
-        return [*[pa.array(table[:, i]) for i in range(6)], pa.array(groups, pa.string())]
-
-    names = (*COUNTS, "n_best", "count_sum")
-    fields = [*[T.StructField(c, T.LongType()) for c in names], T.StructField("groups", T.StringType())]
-    return with_python(df, text, run, fields, drop=(*names, "groups"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links, times = (batch.column(batch.schema.names.index(c)) for c in ("links", "times"))
+            number = np.asarray(times.flatten().to_numpy(), np.int64)
+            counted, highest = _shards(uris, shared.value).of(links.flatten().to_numpy())
+            ends = np.cumsum(np.append(0, links.value_lengths().fill_null(0).to_numpy()))
+            total = lambda x: np.diff(np.append(0, np.cumsum(x))[ends])  # noqa: B023, E731
+            new = [pa.array(total(x), pa.int64()) for x in (highest * number, counted * number)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in kept] + new, [*kept, "n_best", "count_sum"])
+
+    small_batches(spark)
+    return encoded.mapInArrow(run, schema)

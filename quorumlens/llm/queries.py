@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, ann, divergence, langid, licenses, line_dedup, mixing, quality_crf, quality_rules, sentencepiece, sharding, simhash, toxicity
-from .common import table
+from .common import stored, table
 
 SHARDS = 40
 #: A .model file; on the driver, or in any store that Spark reads.
@@ -87,11 +87,12 @@ def op12_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str, a: str = BYTES, b: str = PIECES) -> DataFrame:
-    vocabularies = alignment.load(spark, a, b)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = alignment.aligned(docs, vocabularies, alignment.pair_counts(docs, vocabularies))
+    encoded = alignment.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), alignment.load(spark, a, b))
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    # texts are encoded once; what later steps read of them is written
+    encoded = stored(encoded.select("doc_id", *alignment.COUNTS, digest.alias("groups_sha256"), "links", "times"), "encoded")
+    out = alignment.with_counts(encoded, alignment.pair_counts(encoded))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from quorumlens.llm import alignment
+from quorumlens.llm import alignment, common
 from quorumlens.llm.queries import BYTES, PIECES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -70,33 +70,60 @@ def odd_texts():
 
 
 @pytest.mark.parametrize("small", [False, True])
-def test_aligned(spark, monkeypatch, libraries, small):
+def test_encoded(spark, monkeypatch, libraries, small):
     texts = odd_texts()
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_a string").repartition(5)
     vocabularies = alignment.load(spark, BYTES, PIECES)
-    if small:  # bounds so low that workers start anew and partitions hand on parts
-        run = alignment._aligner
+    assert vocabularies.by_rank
+    if small:  # bounds so low that workers start anew, and nothing is encoded by rank
+        vocabularies.by_rank, run = False, alignment._aligner
 
         def bounded(*args):
-            alignment.CACHE, alignment.GATHERED, alignment.SUMMED = 40, 100, 50
+            alignment.CACHE = 40
             return run(*args)
 
         monkeypatch.setattr(alignment, "_aligner", bounded)
-    counts = alignment.pair_counts(df, vocabularies)
-    got = {r["doc_id"]: r for r in alignment.aligned(df, vocabularies, counts).collect()}
+    encoded = common.stored(alignment.encode(df, vocabularies))
+    counts = alignment.pair_counts(encoded)
+    got = {r["doc_id"]: r for r in alignment.with_counts(encoded, counts).collect()}
     corpus, want = by_hand(texts, libraries)
     names = (*alignment.COUNTS, "n_best", "count_sum", "groups")
     for i, row in enumerate(want):
         assert tuple(got[i][c] for c in names) == row, repr(texts[i])
     assert {(r["key"] >> 32, r["key"] & 0xFFFFFFFF): r["n"] for r in counts.collect()} == corpus
+    keys = alignment.Shards(counts.inputFiles(), None).keys.tolist()
+    assert keys == sorted(keys) and len(keys) == len(corpus)  # shards follow one another
+
+
+def test_partitions_hand_on_parts(spark):
+    rows = [(list(range(k % 7, k % 7 + 50)), [1] * 50) for k in range(400)]
+    df = spark.createDataFrame(rows, "links array<long>, times array<int>").repartition(3)
+
+    def bounded(batches):
+        alignment.GATHERED, alignment.SUMMED = 60, 20
+        yield from batches
+
+    found = alignment.pair_counts(df.mapInArrow(bounded, df.schema)).collect()
+    want = Counter(x for links, _ in rows for x in links)
+    assert {r["key"]: r["n"] for r in found} == want and len(found) == len(want)
 
 
 def test_empty(spark):
     vocabularies = alignment.load(spark, BYTES, PIECES)
     for rows in ([], [(1, None)]):
-        df = spark.createDataFrame(rows, "doc_id long, text string")
-        got = alignment.aligned(df, vocabularies, alignment.pair_counts(df, vocabularies)).collect()
-        assert [tuple(r) for r in got] == [(1, None, 0, 0, 0, 0, 0, 0, "")] * len(rows)
+        encoded = alignment.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabularies)
+        got = alignment.with_counts(encoded, alignment.pair_counts(encoded)).drop("groups").collect()
+        assert [tuple(r) for r in got] == [(1, None, 0, 0, 0, 0, 0, 0)] * len(rows)
+
+
+def test_ranks_need_tokens_that_become_themselves():
+    import json
+
+    spec = json.load(open(BYTES))
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    merges[3], merges[4] = merges[4], merges[3]
+    changed = alignment.Vocabularies(json.dumps(spec).encode(), Path(PIECES).read_bytes())
+    assert not changed.by_rank and len(vocab) == changed.n_a
 
 
 def test_links_of_ends():
