@@ -9,6 +9,8 @@ from ..functions.scalar import STATUSES, STUCK_MINUTES
 
 ORDER = STATUSES[:-1]
 RUNNING = ORDER[1:-1]
+# Fixed value: the application's text.
+TIMED_OUT = "Timed out — the worker stopped before finishing."
 
 
 def next_pending(analyses: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def sweep_stuck(analyses: DataFrame, now) -> DataFrame:
     """Running analyses created over STUCK_MINUTES ago have failed.  As in the application this goes by creation, so one
     that queued long and has just begun fails too."""
     stuck = F.col("status").isin(*RUNNING) & (F.col("created_at") < F.lit(now).cast("timestamp") - F.expr(f"interval {STUCK_MINUTES} minutes"))
-    detail = F.when(stuck, F.lit("Timed out — the worker stopped before finishing.")).otherwise(F.col("status_detail"))
+    detail = F.when(stuck, F.lit(TIMED_OUT)).otherwise(F.col("status_detail"))
     return analyses.withColumn("status_detail", detail).withColumn("status", F.when(stuck, F.lit("failed")).otherwise(F.col("status")))
 
 

@@ -14,7 +14,7 @@ from ..functions import scalar as S
 from ..operators import classify, growth, legacy, lifecycle, metrics, readmodels, requests, synthesis, upsert
 from ..operators.buckets import Buckets
 from ..sources import raw, records
-from ..streaming import weekly
+from ..streaming import states, weekly
 from .binding import Domain, having
 from .storage import scratch
 
@@ -163,6 +163,29 @@ def _streaming(d: Domain) -> DataFrame:
     return table.read()
 
 
+def _fed(d: Domain, batches: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream makes of these batches, one after the other."""
+    folder = scratch(d.spark)
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    states.use(d.spark)
+    out = make(d.spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("str6_weekly_state", f"""{having('points')}, seen as (select max(ts) - interval 7 days as mark from points where ts >= timestamp '2024-01-15'),
+p as (select account_id, date_trunc('week', ts)::date as week_start, followers, ts, ordinal, ts < timestamp '2024-01-15' and date_trunc('week', ts) + interval 7 days <= mark as late from points, seen)
+select 'late' as kind, account_id, week_start, followers from p where late
+union all select 'week', account_id, week_start, arg_max(followers, (ts, ordinal)) from p where not late group by account_id, week_start""")
+def _weekly_state(d: Domain) -> DataFrame:
+    """The later half of the points comes first; a point far ahead closes all weeks."""
+    later = F.col("ts") >= F.lit("2024-01-15").cast("timestamp")
+    ahead = d.spark.sql("select timestamp '2100-01-01' as ts").select(F.lit(-1).cast(d.points.schema["account_id"].dataType).alias("account_id"), "ts", F.lit(0).cast("long").alias("followers"), F.lit(0).cast(d.points.schema["ordinal"].dataType).alias("ordinal"))
+    return _fed(d, [d.points.where(later), d.points.where(~later), ahead], states.weekly_state).select("kind", "account_id", "week_start", "followers")
+
+
 # ------------------------------------------------------------------ raw sources
 
 
@@ -604,6 +627,20 @@ def _snk13(d: Domain) -> DataFrame:
     return lifecycle.advanced(o.select(F.col("o_orderkey").alias("analysis_id"), status.alias("status"), F.lit("").alias("status_detail"), error.alias("error"))).drop("error")
 
 
+@query("snk12_snk13_job_states", f"""select o_orderkey as analysis_id, case when o_orderkey % 8 = 0 then 'pending' when o_orderkey % 8 = 6 then 'done' else 'failed' end as status,
+  case when o_orderkey % 8 = 0 then '' when o_orderkey % 8 = 6 then '{lifecycle.DETAILS['done']}' when o_orderkey % 8 = 7 then 'Error 7' else '{lifecycle.TIMED_OUT}' end as status_detail from orders""")
+def _job_states(d: Domain) -> DataFrame:
+    """Jobs of 0 to 7 events after their request; those left running are over when half an hour has passed."""
+    kind = F.col("o_orderkey") % 8
+    rows = d.table("orders").select(F.col("o_orderkey").alias("analysis_id"), F.col("o_orderdate").cast("timestamp").alias("at"), kind.cast("int").alias("kind"))
+    rows = rows.select("analysis_id", "at", "kind", F.explode(F.sequence(F.lit(0), F.col("kind"))).alias("k"))
+    event = F.when(F.col("k") == 0, "request").when(F.col("k") == 1, "claim").when((F.col("k") == 4) & (F.col("kind") == 7), "error").otherwise("finished")
+    events = rows.select("analysis_id", (F.col("at") + F.make_dt_interval(mins=F.col("k"))).alias("at"), event.alias("event"), F.when(event == "error", "Error 7").alias("detail"), F.col("k").cast("long").alias("ordinal"))
+    ahead = events.where("false").unionByName(d.spark.sql("select timestamp '2100-01-01' as at, 'tick' as event, cast(null as string) as detail, 0L as ordinal").withColumn("analysis_id", F.lit(-1).cast(events.schema["analysis_id"].dataType)))
+    changes = _fed(d, [events, ahead], lambda df: states.job_states(df, "EventTime", "3650 days"))
+    return states.current(changes)
+
+
 @query("snk17_violations", "select 'unique account_id, post_url' as rule, count(*) as n from (select 1 from lineitem group by l_suppkey, l_orderkey, l_linenumber having count(*) > 1) having count(*) > 0 union all select 'not null media_type', count(*) from lineitem where l_returnflag = 'A' having count(*) > 0 union all select 'check media_type', count(*) from lineitem where l_returnflag = 'R' having count(*) > 0")
 def _snk17(d: Domain) -> DataFrame:
     return upsert.violations(d.posts, unique=[["account_id", "post_url"]], required=["account_id", "media_type"], allowed={"media_type": ["N"]})
