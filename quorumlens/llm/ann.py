@@ -73,7 +73,7 @@ def _cells(vectors: list, tables: int, probes: int, seed: int) -> list[np.ndarra
     sizes = np.array([len(v) for v in vectors])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        found = axes(np.array([vectors[i] for i in at], np.float64), tables, probes, seed)
+        found = axes(_matrix([vectors[i] for i in at]), tables, probes, seed)
         found = (found + (np.arange(tables, dtype=np.int32) * AXES)[None, :, None]).reshape(len(at), -1)
         for i, row in zip(at, found, strict=True):
             out[i] = row
@@ -122,11 +122,13 @@ def _none() -> pd.DataFrame:
 
 
 def _matrix(vectors) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in vectors])
+    """The vectors as rows, each times the power of two that brings its largest component below one: no cosine changes by
+    that, not in its last bit, and no square overflows or vanishes beside others."""
+    x = np.array([np.asarray(v, np.float64) for v in vectors])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
 def _units(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1)[:, None]  # so that squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 

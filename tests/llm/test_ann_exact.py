@@ -64,3 +64,13 @@ def test_a_common_vector_is_split(spark, monkeypatch):
     rows = [(i, common if i % 3 == 0 else rng.normal(size=8).tolist()) for i in range(600)]
     got = nearest(spark, rows, tables=2, probes=16)
     assert got == by_hand(rows, 5)
+
+
+def test_magnitudes_are_no_matter(spark):
+    """Scores are those of the same directions, however long the vectors, and equal to the last bit for powers of two."""
+    rows = [(50, [1.0, 2.0]), (1, [1e200, 2e200]), (2, [1e-200, -2e-200]), (3, [1e-320, 3e-320]), (4, [1.7e308, -1.7e308]), (5, [1e300, 1e-300]), (6, [3.0, 1.0]), (7, [3.0 * 2.0**900, 2.0**900]), (8, [3.0 * 2.0**-900, 2.0**-900])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["score"] for r in ann.nearest(df, F.col("vec_id") == 50, 8).collect()}
+    want = {1: 1.0, 2: -0.6, 3: 7 / 50**0.5, 4: -1 / 10**0.5, 5: 1 / 5**0.5, 6: 5 / 50**0.5, 7: 5 / 50**0.5, 8: 5 / 50**0.5}
+    assert got.keys() == want.keys() and got[6] == got[7] == got[8]
+    assert all(abs(got[i] - x) < (1e-3 if i == 3 else 1e-12) for i, x in want.items())
