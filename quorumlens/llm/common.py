@@ -161,11 +161,13 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole texts stay small, so that a Python worker's memory doesn't depend on text lengths."""
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 64 << 20) -> None:
+    """Arrow batches of whole texts stay small, in rows and in bytes, so that a Python worker's memory depends on the longest
+    text, not on how many long ones are side by side.  Plans read these settings when they run, so they stay set."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+    if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -152,11 +152,13 @@ def survivors(documents: DataFrame, placed: DataFrame) -> DataFrame:
 
     That is a row of the smallest doc_id (null last) and, among texts of that doc_id, of the smallest hash.  Documents meet
     only the rows that go, where they stand if these are few."""
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "version")
-    rows = placed.groupBy("root", "doc_id", "version").agg(F.count(F.lit(1)).alias("rows"))
-    rows = kept(rows.withColumn("stays", place == F.min(place).over(Window.partitionBy("root"))))
-    repeated = rows.where("stays and rows > 1").limit(1).count()
-    gone = kept(rows.where("not stays").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    rows = kept(placed.groupBy("root", "doc_id", "version").agg(F.count(F.lit(1)).alias("rows")))
+    # a component's first row is found by combining, and met by its own key: a component's size is no task's
+    first = rows.groupBy("root").agg(F.min(place).alias("first")).select("root", F.col("first.doc_id").alias("__id"), F.col("first.version").alias("__version"))
+    same = [rows["root"] == first["root"], rows["doc_id"].eqNullSafe(first["__id"]), rows["version"] == first["__version"]]
+    repeated = rows.where("rows > 1").join(first, same, "left_semi").limit(1).count()
+    gone = kept(rows.join(first, same, "left_anti").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")))
     rows.unpersist()
     version = F.xxhash64(text_of())
     chosen = documents.join(broadcast_few(gone), F.col("doc_id").eqNullSafe(F.col("__id")) & (version == F.col("__version")), "left_anti")

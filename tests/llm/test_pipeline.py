@@ -77,5 +77,5 @@ def test_odd_and_empty_documents(spark, rows):
 
 
 def test_registered_queries():
-    assert [f"op{n}_" for n in range(1, 11)] == sorted({re.match(r"op\d+_", k)[0] for k in QUERIES}, key=lambda x: int(x[2:-1]))
+    assert [f"op{n}_" for n in range(1, 14)] == sorted({re.match(r"op\d+_", k)[0] for k in QUERIES}, key=lambda x: int(x[2:-1]))
     assert set(SQL) <= set(QUERIES) and [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "dedup_lines", "near_dedup", "mix_sources", "encode_pieces"]
