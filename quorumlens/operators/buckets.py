@@ -44,7 +44,7 @@ class Buckets:
     def _read(self, path: str) -> DataFrame:
         return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
+    def dealt(self, rows: DataFrame) -> DataFrame:
         """rows with their bucket; keys are hashed as text, so that their types may differ from the table's."""
         own = F.pmod(F.xxhash64(*[F.col(k).cast(self.schema[k].dataType).cast("string") for k in self.keys]), F.lit(self.number))
         return rows.withColumn(BUCKET, own.cast("int"))
@@ -58,7 +58,7 @@ class Buckets:
         """Merge a batch that is unique on the keys; the buckets written.  combine(existing, new): the next rows, by default
         an upsert; it may change and add rows of the keys it is given, and leave none out."""
         self.recover()
-        batch = self._dealt(batch).persist()
+        batch = self.dealt(batch).persist()
         try:
             touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
             if not touched:
@@ -66,7 +66,7 @@ class Buckets:
             new = batch.drop(BUCKET)
             have = self.existing(touched).drop(BUCKET) if self._exists() else self.spark.createDataFrame([], self.schema)
             out = combine(have, new) if combine else upsert(have, new, self.keys)
-            out = self._dealt(out.select(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]))
+            out = self.dealt(out.select(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]))
             out.repartition(len(touched), BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{MERGE}")
         finally:
             batch.unpersist()

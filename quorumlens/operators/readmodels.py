@@ -29,14 +29,27 @@ def landscape(metrics: DataFrame) -> DataFrame:
     return rows
 
 
-def weekly_series(snapshots: DataFrame, handles: Sequence[str]) -> DataFrame:
-    """week_start by handle, missing cells absent (null)."""
-    return snapshots.groupBy("week_start").pivot("handle", list(handles)).agg(F.first("followers"))
-
-
-def media_series(breakdown: DataFrame, handles: Sequence[str]) -> DataFrame:
-    """media_type by handle, missing cells 0."""
-    return breakdown.groupBy("media_type").pivot("handle", list(handles)).agg(F.first("avg_engagement")).fillna(0.0, list(handles))
+def _placed(rows: DataFrame, by: str) -> DataFrame:
+    """rows with their position within analysis and platform, in order of `by`."""
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*GROUP).orderBy(by)))
+
+
+def weekly_series(accounts: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """analysis_id, platform, position, week_start, followers: a row for each week that any account of the group has, in
+    order; followers is a map by handle, in which an account without that week isn't."""
+    rows = snapshots.join(accounts.select("account_id", *GROUP, "handle"), "account_id")
+    series = rows.groupBy(*GROUP, "week_start").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("handle", "followers")))).alias("followers"))
+    return _placed(series, "week_start").select(*GROUP, "position", "week_start", "followers")
+
+
+def media_series(accounts: DataFrame, breakdown: DataFrame) -> DataFrame:
+    """analysis_id, platform, position, media_type, avg_engagement: a row for each type that any account of the group has,
+    in order; avg_engagement is a map by handle, 0 for an account without that type."""
+    handles = accounts.groupBy(*GROUP).agg(F.array_sort(F.collect_set("handle")).alias("handles"))
+    rows = breakdown.join(accounts.select("account_id", *GROUP, "handle"), "account_id")
+    have = rows.groupBy(*GROUP, "media_type").agg(F.map_from_entries(F.collect_list(F.struct("handle", "avg_engagement"))).alias("have"))
+    dense = F.map_from_arrays("handles", F.transform("handles", lambda h: F.coalesce(F.try_element_at("have", h), F.lit(0.0))))
+    return _placed(have.join(handles, list(GROUP)), "media_type").select(*GROUP, "position", "media_type", dense.alias("avg_engagement"))
 
 
 def category_dots(metrics: DataFrame, breakdown: DataFrame) -> DataFrame:

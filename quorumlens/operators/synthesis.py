@@ -1,13 +1,18 @@
-"""Insights and reports from metrics: deterministic sentences where the application asks a model; a model can be plugged in.
+"""Insights and reports from metrics: deterministic sentences where the application asks a model, or any model's.
 
-Sizes of the lists are those that the application asks for (it doesn't check them; `sizes_hold` does)."""
+documents() makes a JSON document of each group's metrics, produced() hands these to a callable and checks what comes back:
+its kinds, and the sizes of its lists that the application asks for (it doesn't check them itself); what doesn't pass is a
+row with the reason.  The sentences by rule are there twice, as columns and as such a callable, with equal results."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import number_text
 from .metrics import GROUP
@@ -123,3 +128,101 @@ def report_lines(report: DataFrame) -> DataFrame:
     phases = [c for day in (30, 60, 90) for c in (F.col(f"plan.day{day}.actions").alias(f"day{day}_actions"), F.col(f"plan.day{day}.success_metrics").alias(f"day{day}_success_metrics"))]
     flat = report.select("analysis_id", *REPORT_SIZES, *phases)
     return ranked(flat, flat.columns[1:], ["analysis_id"])
+
+
+PLAN = tuple(f"plan.day{day}.{part}" for day in (30, 60, 90) for part in ("actions", "success_metrics"))
+#: Sizes of all lists of a customer report, where a dot leads into an object, and of the earlier prototype's lists.
+FULL_REPORT = {**REPORT_SIZES, **dict.fromkeys(PLAN, (1, 5))}
+FULL_SWOT = dict.fromkeys((*SWOT, *ADVICE), (1, 5))
+
+
+def documents(metrics: DataFrame, by: Sequence[str] = GROUP, context: Sequence[str] = ()) -> DataFrame:
+    """by, document: a JSON object of the group's keys, the context columns (one value a group) and its accounts, in order of
+    handle, with every metric, nulls too.  A group holds a target and its few competitors."""
+    own = [c for c in metrics.columns if c not in (*by, *context)]
+    entry = F.struct("handle", *[c for c in own if c != "handle"])
+    groups = metrics.groupBy(*by).agg(*[F.first(c).alias(c) for c in context], F.array_sort(F.collect_list(entry)).alias("accounts"))
+    return groups.select(*by, F.to_json(F.struct(*by, *context, "accounts"), {"ignoreNullFields": "false"}).alias("document"))
+
+
+def _found(answer, path: str):
+    for name in path.split("."):
+        answer = answer.get(name) if isinstance(answer, dict) else None
+    return answer
+
+
+def problem_of(answer, sizes: dict[str, tuple[int, int]]) -> str | None:
+    """What is wrong with a model's answer, if anything: each list is there, holds texts that aren't blank, in the numbers
+    asked for."""
+    if not isinstance(answer, dict):
+        return "not an object"
+    for name, (low, high) in sizes.items():
+        own = _found(answer, name)
+        if not isinstance(own, list):
+            return f"{name}: not a list"
+        if not all(isinstance(x, str) and x.strip() for x in own):
+            return f"{name}: not all texts"
+        if not low <= len(own) <= high:
+            return f"{name}: {len(own)} entries, {low} to {high} asked for"
+    return None
+
+
+def produced(docs: DataFrame, model: Callable[[dict], dict], sizes: dict[str, tuple[int, int]], attempts: int = 2) -> DataFrame:
+    """docs without document, with a list column for each entry of sizes (dots become underscores) and with problem: null for
+    an answer as agreed, else what was wrong with the last of `attempts` calls, and no lists.  Calls are made wherever the
+    documents are, one at a time in each task."""
+    keys = [c for c in docs.columns if c != "document"]
+    names = {path: path.replace(".", "_") for path in sizes}
+    lists = [T.StructField(n, T.ArrayType(T.StringType())) for n in names.values()]
+    schema = T.StructType([docs.schema[c] for c in keys] + lists + [T.StructField("problem", T.StringType())])
+
+    def ask(document: str) -> tuple[dict | None, str | None]:
+        problem = None
+        for _ in range(attempts):
+            try:
+                answer = model(json.loads(document))
+                problem = problem_of(answer, sizes)
+            except Exception as error:  # the row says so; other rows go on
+                problem = f"{type(error).__name__}: {error}"
+            if problem is None:
+                return answer, None
+        return None, problem
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            answers = [ask(x) for x in frame["document"]]
+            out = frame[keys].copy()
+            for path, name in names.items():
+                out[name] = pd.Series([a and _found(a, path) for a, _ in answers], index=out.index, dtype=object)
+            out["problem"] = pd.Series([p for _, p in answers], index=out.index, dtype=object)
+            yield out
+
+    return docs.mapInPandas(run, schema)
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """Answers as agreed."""
+    return rows.where(F.col("problem").isNull()).drop("problem")
+
+
+def rejected(rows: DataFrame, keys: Sequence[str] = GROUP) -> DataFrame:
+    """keys and problem of what couldn't be produced."""
+    return rows.where(F.col("problem").isNotNull()).select(*keys, "problem")
+
+
+def _plain(x: float) -> str:
+    return f"{x:.4f}".rstrip("0").rstrip(".")
+
+
+def insights_by_rule(document: dict) -> dict:
+    """platform_insights() as a callable."""
+    accounts = document["accounts"]
+    most = lambda name: max(accounts, key=lambda a: (a[name], a["handle"]))
+    top, big, busy = most("engagement_rate"), most("followers"), most("posts_per_week")
+    low = sum(a.get("low_sample_warning") is not None for a in accounts)
+    percent = _plain((top["engagement_rate"] * 10000 + 0.5) // 1 / 100)
+    return {
+        "data_observations": [f"{top['handle']} has the highest engagement rate of {len(accounts)} accounts: {percent}%.", f"{big['handle']} has the largest audience: {big['followers']:,} followers.", f"{low} accounts carry a low-sample warning."],
+        "explanations": [f"This may be because {top['handle']} reaches a smaller, closer audience.", f"A plausible driver is the cadence of {busy['handle']}: {_plain(busy['posts_per_week'])} posts a week."],
+        "recommendations": [f"Test the formats of {top['handle']}; success is a higher engagement rate.", f"Test the cadence of {busy['handle']}; success is more posts per week at equal average likes.", "Test collaborations; success is a multiplier above 1 against the baseline."],
+    }

@@ -9,9 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
-from ..operators import classify, growth, legacy, lifecycle, metrics, readmodels, requests, synthesis, upsert
+from ..operators import classify, constraints, growth, legacy, lifecycle, metrics, readmodels, requests, synthesis, upsert
 from ..operators.buckets import Buckets
 from ..sources import raw, records
 from ..streaming import states, weekly
@@ -656,6 +657,29 @@ def _cascade(d: Domain) -> DataFrame:
     return upsert.cascade(d.posts, d.accounts.where("platform = '1'"), "account_id", "account_id").groupBy("account_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk17_cascade_levels", f"""{having('accounts', 'posts', 'categories', 'points', 'weekly')}, gone as (select account_id from accounts where analysis_id in (1, 4)),
+s as (select w.* from weekly w join accounts using (account_id)), pc as (select post_url from posts join categories using (category_key))
+select 'accounts' as child, 'analysis_id' as \"column\", (select count(*) from accounts where analysis_id not in (1, 4)) as rows_left, 0::bigint as n
+union all select 'account_snapshots', 'account_id', (select count(*) from s where account_id not in (select account_id from gone)), 0
+union all select 'posts', 'account_id', (select count(*) from posts where account_id not in (select account_id from gone)), (select count(*) from posts where account_id not in (select account_id from accounts))
+union all select 'post_categories', 'post_id', (select count(*) from pc where post_url not in (select post_url from posts where account_id in (select account_id from gone))), 0""".replace('\\"', '"'))
+def _cascade_levels(d: Domain) -> DataFrame:
+    """Two analyses go, with accounts, snapshots and posts, and the categories of these posts."""
+    posts = d.posts.withColumnRenamed("post_url", "post_id")
+    tables = {
+        "analyses": d.accounts.select("analysis_id").distinct(), "accounts": d.accounts, "posts": posts.select("post_id", "account_id"),
+        "account_snapshots": growth.weekly_snapshots(d.points).join(d.accounts.select("account_id"), "account_id"),
+        "post_categories": posts.join(d.categories, "category_key").select("post_id", "category"),
+    }
+    left = constraints.delete(tables, "analyses", "analysis_id in (1, 4)")
+    alone = constraints.orphans(left)
+    sizes = [frame.agg(F.count(F.lit(1)).alias("rows_left")).withColumn("child", F.lit(name)) for name, frame in left.items() if name != "analyses"]
+    counts = sizes[0]
+    for part in sizes[1:]:
+        counts = counts.unionByName(part)
+    return alone.join(counts, "child").select("child", "column", "rows_left", "n")
+
+
 # ------------------------------------------------------------------ read models
 
 
@@ -674,14 +698,24 @@ def _cht1(d: Domain) -> DataFrame:
     return readmodels.landscape(metrics.account_metrics(d.accounts, d.posts))
 
 
-@query("cht2_weekly_series", f"{having('points', 'weekly')} select week_start, max(followers) filter (where account_id = 1) as \"1\", max(followers) filter (where account_id = 2) as \"2\", max(followers) filter (where account_id = 3) as \"3\" from weekly group by 1")
+def _listed(column: str, text: Callable[[Column], Column]) -> Column:
+    """A map by handle as text, in order of handle."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat(e["key"], F.lit("="), text(e["value"]))), ",").alias(column)
+
+
+@query("cht2_weekly_series", f"""{having('accounts', 'points', 'weekly')} select analysis_id, platform, (row_number() over (partition by analysis_id, platform order by week_start))::int as position, week_start, followers
+from (select analysis_id, platform, week_start, string_agg(handle || '=' || w.followers, ',' order by handle) as followers from weekly w join accounts a using (account_id) group by 1, 2, 3)""")
 def _cht2(d: Domain) -> DataFrame:
-    return readmodels.weekly_series(growth.weekly_snapshots(d.points).withColumn("handle", F.col("account_id").cast("string")), ["1", "2", "3"])
+    return readmodels.weekly_series(d.accounts, growth.weekly_snapshots(d.points)).withColumn("followers", _listed("followers", lambda x: x.cast("string")))
 
 
-@query("cht3_media_series", f"{having('posts')}, b as (select account_id, coalesce(media_type, 'unknown') as media_type, {r('sum(likes + comments)::double / count(*)')} as e from posts group by 1, 2) select media_type, coalesce(max(e) filter (where account_id = 1), 0e0) as \"1\", coalesce(max(e) filter (where account_id = 2), 0e0) as \"2\" from b group by 1")
+@query("cht3_media_series", f"""{having('accounts', 'posts')}, b as (select account_id, coalesce(media_type, 'unknown') as media_type, {r('sum(likes + comments)::double / count(*)')} as e from posts group by 1, 2),
+t as (select distinct analysis_id, platform, media_type from b join accounts using (account_id))
+select analysis_id, platform, (row_number() over (partition by analysis_id, platform order by media_type))::int as position, media_type, avg_engagement
+from (select t.analysis_id, t.platform, t.media_type, string_agg(handle || '=' || {num('coalesce(e, 0e0)')}, ',' order by handle) as avg_engagement
+  from t join accounts a on a.analysis_id = t.analysis_id and a.platform = t.platform left join b on b.account_id = a.account_id and b.media_type = t.media_type group by 1, 2, 3)""")
 def _cht3(d: Domain) -> DataFrame:
-    return readmodels.media_series(metrics.media_breakdown(d.posts).withColumn("handle", F.col("account_id").cast("string")), ["1", "2"])
+    return readmodels.media_series(d.accounts, metrics.media_breakdown(d.posts)).withColumn("avg_engagement", _listed("avg_engagement", S.number_text))
 
 
 @query("cht4_category_dots", f"{having('accounts', 'posts', 'categories')},\n{_METRICS}, {_CATS} select analysis_id, platform, handle, category, avg_engagement, baseline_engagement from breakdown join metrics using (account_id) where category <> 'other' and baseline_engagement > 0")
@@ -752,6 +786,31 @@ def _udf1_lookup(d: Domain) -> DataFrame:
     return classify.by_lookup(d.table("documents").select(F.col("doc_id").alias("post_id")), known)
 
 
+_ANSWERED = f"select doc_id::varchar as post_id, category, case when category = 'other' then 0.5e0 else 0.9e0 end as confidence, 1::bigint as answers from (select doc_id, case {_RULES} when lang = 'fr' then 'collaboration' else 'other' end as category from (select doc_id, lang, lower(coalesce(text, '')) as t from documents))"
+
+
+@query("udf1_classify_resumable", _ANSWERED)
+def _resumable(d: Domain) -> DataFrame:
+    """A model that fails for a third of its calls, and passes over a fifth of a chunk's posts: each is answered once."""
+    posts = d.table("documents").select(F.col("source").alias("account_id"), F.col("doc_id").alias("post_id"), F.col("text").alias("caption"), F.when(F.col("lang") == "fr", F.lit("partner")).alias("coauthor_handle"))
+    signals = classify.SIGNALS
+
+    def model(sent: list[dict]) -> list[dict]:
+        if len(sent) > 3 and sum(int(x["id"]) for x in sent) % 3 == 0:
+            raise TimeoutError("no answer")
+        out = []
+        for k, x in enumerate(sent):
+            low = x["caption"].lower() if x["caption"] != "(no caption)" else ""
+            category = next((name for name, words in signals.items() if any(w in low for w in words)), "collaboration" if x["coauthor"] != "none" else "other")
+            if k % 5 != 4:
+                out.append({"post_id": x["id"], "category": category, "confidence": 0.5 if category == "other" else 0.9, "rationale": "signals"})
+        return out[::-1]
+
+    table = Buckets(d.spark, scratch(d.spark), T.StructType.fromDDL(classify.ANSWER), ["post_id"], 8)
+    classify.answer_all(posts, model, table, rounds=12)
+    return table.read().groupBy("post_id").agg(F.first("category").alias("category"), F.first("confidence").alias("confidence"), F.count(F.lit(1)).alias("answers"))
+
+
 @query("set3_classification_chunks", f"{having('posts')} select account_id, chunk, count(*) as n, min(post_url) as first_post from (select account_id, post_url, ((row_number() over (partition by account_id order by post_url) - 1) // 40)::int as chunk from posts) group by 1, 2")
 def _set3(d: Domain) -> DataFrame:
     return classify.chunked(d.posts, "account_id", "post_url").groupBy("account_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("post_url").alias("first_post"))
@@ -782,6 +841,30 @@ def _udf2(d: Domain) -> DataFrame:
     return synthesis.ranked(_insights(d))
 
 
+@query("udf2_synthesised", f"{_FROM_POSTS} select *, true as ok from insights")
+def _synthesised(d: Domain) -> DataFrame:
+    """The same through the stage that a model plugs into: metrics as JSON documents, answers checked."""
+    docs = synthesis.documents(metrics.account_metrics(d.accounts, d.posts))
+    found = synthesis.accepted(synthesis.produced(docs, synthesis.insights_by_rule, synthesis.SIZES))
+    checked = synthesis.sizes_hold(found, synthesis.SIZES)
+    return synthesis.ranked(checked, keys=["analysis_id", "platform", "ok"])
+
+
+@query("udf2_rejected", f"{_FROM_POSTS} select analysis_id, platform, 'explanations: 0 entries, 2 to 5 asked for' as problem from s where n % 2 = 0 union all select analysis_id, platform, 'ValueError: no answer' from s where n % 2 = 1 and n % 3 = 0")
+def _rejected(d: Domain) -> DataFrame:
+    def model(document: dict) -> dict:
+        """Leaves something out of some answers, and fails on others."""
+        n, answer = len(document["accounts"]), synthesis.insights_by_rule(document)
+        if n % 2 == 0:
+            return {**answer, "explanations": []}
+        if n % 3 == 0:
+            raise ValueError("no answer")
+        return answer
+
+    docs = synthesis.documents(metrics.account_metrics(d.accounts, d.posts))
+    return synthesis.rejected(synthesis.produced(docs, model, synthesis.SIZES))
+
+
 @query("udf3_cross_platform_insights", f"{_FROM_POSTS} select * from with_all where platform = 'all'")
 def _udf3(d: Domain) -> DataFrame:
     return synthesis.ranked(synthesis.with_all(_insights(d)).where("platform = 'all'"))

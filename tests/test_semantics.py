@@ -231,14 +231,6 @@ def test_lifecycle(spark):
 def test_classifiers(spark):
     posts = spark.createDataFrame([("1", "Paid partnership with x", None), ("2", "hello", "friend"), ("3", None, None)], "post_id string, caption string, coauthor_handle string")
     assert {r["post_id"]: r["category"] for r in classify.by_rules(posts).collect()} == {"1": "paid_promotion", "2": "collaboration", "3": "other"}
-    sizes = []
-
-    def model(batch):
-        sizes.append(len(batch))
-        return [{"post_id": x["id"], "category": "product" if x["id"] != "3" else "bad", "confidence": 0.5, "rationale": x["caption"]} for x in batch]
-
-    got = classify.by_model(posts, model).collect()
-    assert {r["post_id"]: r["rationale"] for r in got} == {"1": "Paid partnership with x", "2": "hello"}
 
 
 def test_reports_have_the_sizes_asked_for(spark):
