@@ -22,6 +22,7 @@ def problem(allowed: tuple[str, ...] = PLATFORMS, competitors: int = COMPETITORS
     known = F.forall("platforms", lambda p: p.isin(*allowed))
     no_target = F.exists("platforms", lambda p: blank(F.try_element_at("targetHandles", p)))
     incomplete = F.exists("platforms", lambda p: F.exists("competitors", lambda c: blank(c["name"]) | blank(F.try_element_at(c["handles"], p))))
+    # fixed values: the application's messages
     return first_rule([
         (blank(F.col("companyName")) | blank(F.col("industry")) | blank(F.col("region")), "Company name, industry, and region are required."),
         (none, "Select at least one platform."),
@@ -43,6 +44,7 @@ def legacy_problem() -> Column:
     compared as they are: white space isn't empty."""
     competitors = legacy_competitors(F.col("competitors"))
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    # fixed values: the prototype's messages
     return first_rule([
         (F.size(competitors) > LEGACY_COMPETITORS, f"Enter at most {LEGACY_COMPETITORS} competitors."),
         (empty("company") | empty("industry") | empty("region") | empty("target") | (F.size(competitors) == 0), "All fields are required."),
@@ -81,6 +83,7 @@ def check_handles(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
     known = profiles.select("platform", "handle", "followers", F.col("display_name").alias("profile_name"), "bio", F.lit(True).alias("__there"))
     valid = F.col("__there").isNotNull() & ~empty
     joined = wanted.join(known, ["platform", "handle"], "left").withColumn("valid", valid)
+    # fixed value: the application's message
     error = F.when(~F.col("valid"), F.lit("Account not found or the actor returned no data for this handle."))
     return joined.select(*wanted.columns, "valid", F.when(F.col("valid"), F.col("followers")).alias("followers"), error.alias("error"))
 

@@ -478,9 +478,9 @@ def _flt14(d: Domain) -> DataFrame:
     return requests.validate(_requests(d))
 
 
-@query("snk1_new_analyses", "select c_custkey as analysis_id, c_name as company_name, c_mktsegment as industry, 'EU' as region, 90 as window_days, 'pending' as status, 'Queued.' as status_detail from customer where c_nationkey not in (0, 1, 2, 4, 5, 6)")
+@query("snk1_new_analyses", "select c_custkey as analysis_id, c_name as company_name, c_mktsegment as industry, 'EU' as region, 90 as window_days, 'pending' as status, 'Queued.' as status_detail, case when c_nationkey % 2 = 0 then 'instagram' else 'instagram,tiktok' end as platforms from customer where c_nationkey not in (0, 1, 2, 4, 5, 6)")
 def _snk1(d: Domain) -> DataFrame:
-    return requests.analyses(_requests(d), POSTS_AS_OF).drop("platforms", "created_at")
+    return requests.analyses(_requests(d), POSTS_AS_OF).drop("created_at").withColumn("platforms", F.concat_ws(",", "platforms"))
 
 
 @query("snk2_new_accounts", "select c_custkey as request_id, platform, role, case when i = 0 then c_name else 'rival' || i || ' ' || c_name end as display_name, case when platform = 'tiktok' then case when i = 0 then 'tt' else 't' || i end when i = 0 then c_name else 'r' || i end as handle from customer, (values ('instagram'), ('tiktok')) p(platform), (values (0, 'target'), (1, 'competitor'), (2, 'competitor'), (3, 'competitor')) a(i, role) where c_nationkey not in (0, 1, 2, 4, 5, 6) and (platform = 'instagram' or c_nationkey % 2 = 1)")
@@ -921,7 +921,7 @@ def _udf5(d: Domain) -> DataFrame:
 
 
 @query("cht9_detailed_page", f"""{having('accounts', 'posts', 'categories', 'points', 'weekly', 'users')},\n{_METRICS}, {_CUMULATIVE}, {_COLLAB},\n{_SCORES},\n{_NOTES},\n{_LINES},\n{_INSIGHTS},
-boards as (select analysis_id, platform, string_agg(account || ' | ' || followers || ' | ' || growth || ' | ' || rate, chr(10) order by account) as scoreboard from scores group by 1, 2),
+boards as (select analysis_id, platform, string_agg(account || ' | ' || followers || ' | ' || growth || ' | ' || rate || case when low_sample then ' (low sample)' else '' end || ' | ' || avg_likes || ' | ' || avg_comments || ' | ' || posts_per_week, chr(10) order by account) as scoreboard from scores group by 1, 2),
 cadences as (select analysis_id, platform, string_agg(handle || ': ' || line, chr(10) order by handle) as cadence from lines group by 1, 2),
 texts as (select analysis_id, platform, string_agg(sentence, chr(10) order by position) filter (where bucket = 'data_observations') as data_observations,
   string_agg(sentence, chr(10) order by position) filter (where bucket = 'explanations') as explanations, string_agg(sentence, chr(10) order by position) filter (where bucket = 'recommendations') as recommendations from with_all group by 1, 2)
@@ -932,7 +932,8 @@ def _cht9(d: Domain) -> DataFrame:
     cumulative = growth.cumulative_growth(d.users, growth.weekly_snapshots(d.points))
     lines = readmodels.cadence_lines(d.accounts, metrics.collaboration(d.accounts, metrics.with_category(d.posts, d.categories)))
     page = readmodels.detailed_page(readmodels.scoreboard(rows, cumulative), readmodels.footnotes(rows, cumulative), lines, synthesis.with_all(synthesis.platform_insights(rows)))
-    board = F.transform("scoreboard", lambda x: F.concat_ws(" | ", x["account"], x["followers"], x["growth"], x["rate"]))
+    rate = lambda x: F.concat(x["rate"], F.when(x["low_sample"], " (low sample)").otherwise(""))
+    board = F.transform("scoreboard", lambda x: F.concat_ws(" | ", x["account"], x["followers"], x["growth"], rate(x), x["avg_likes"], x["avg_comments"], x["posts_per_week"]))
     joined = {c: F.array_join(x, "\n").alias(c) for c, x in (("scoreboard", board), *((c, F.col(c)) for c in ("cadence", "data_observations", "explanations", "recommendations")))}
     return page.select("analysis_id", "platform", joined["scoreboard"], "low_sample_handles", "growth_gap", *[joined[c] for c in ("cadence", "data_observations", "explanations", "recommendations")])
 
