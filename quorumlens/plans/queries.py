@@ -187,6 +187,32 @@ def _weekly_state(d: Domain) -> DataFrame:
     return _fed(d, [d.points.where(later), d.points.where(~later), ahead], states.weekly_state).select("kind", "account_id", "week_start", "followers")
 
 
+@query("nested_metrics_text", f"""{having('accounts', 'posts', 'categories', 'users', 'points', 'weekly')},\n{_METRICS}, {_CATS}, {_COLLAB}, {_GROWTH}, {_CUMULATIVE},
+media as (select account_id, string_agg(media_type || ':' || post_count || ':' || {num('avg_engagement')}, ',' order by media_type) as media_types
+  from (select account_id, coalesce(media_type, 'unknown') as media_type, count(*) as post_count, {r('sum(likes + comments)::double / count(*)')} as avg_engagement from posts group by 1, 2) group by 1),
+cats as (select account_id, string_agg(category || ':' || post_count || ':' || {num('avg_engagement')} || ':' || coalesce({num('vs_baseline_multiplier')}, '-'), ',' order by category) as categories from breakdown group by 1),
+weeks as (select account_id, string_agg(week_start::varchar || ':' || followers::varchar || ':' || coalesce({num('growth_pct')}, '-'), ',' order by week_start) as weeks from growth group by 1)
+select m.account_id, m.post_count, avg_likes, avg_comments, avg_shares, engagement_rate, m.posts_per_week, m.baseline_engagement, engagement_rate_percentile, media_types, categories,
+  c.post_count || ':' || {num('c.avg_engagement')} || ':' || coalesce({num('c.vs_baseline_multiplier')}, '-') as cadence, weeks, cumulative_growth_pct,
+  case when weeks is null then '{S.GROWTH_GAP}' else growth_data_gap end as growth_data_gap
+from metrics m left join media using (account_id) left join cats using (account_id) left join collab c using (account_id) left join weeks using (account_id) left join cumulative using (account_id)""")
+def _nested_text(d: Domain) -> DataFrame:
+    """nested_metrics with its maps and lists as text, in order of their keys."""
+    rows = _nested(d)
+    plain = lambda x: F.coalesce(S.number_text(x), F.lit("-"))
+    entries = lambda c, text: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws(":", e["key"], *text(e["value"]))), ",")
+    count = lambda v: v["post_count"].cast("string")
+    week = lambda w: F.concat_ws(":", w["week_start"].cast("string"), w["followers"].cast("string"), plain(w["growth_pct"]))
+    c = F.col("collaboration_cadence")
+    return rows.select(
+        "account_id", "post_count", "avg_likes", "avg_comments", "avg_shares", "engagement_rate", "posts_per_week", "baseline_engagement", "engagement_rate_percentile",
+        entries("media_type_breakdown", lambda v: (count(v), plain(v["avg_engagement"]))).alias("media_types"),
+        entries("category_breakdown", lambda v: (count(v), plain(v["avg_engagement"]), plain(v["vs_baseline_multiplier"]))).alias("categories"),
+        F.concat_ws(":", count(c), plain(c["avg_engagement"]), plain(c["vs_baseline_multiplier"])).alias("cadence"),
+        F.array_join(F.transform("weekly_growth", week), ",").alias("weeks"), "cumulative_growth_pct", "growth_data_gap",
+    )
+
+
 # ------------------------------------------------------------------ raw sources
 
 
