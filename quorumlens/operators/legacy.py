@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import LEGACY_DAYS, py_round, ratio
 from .metrics import account_averages, engagement, post_sums
+from .requests import legacy_competitors, legacy_problem
+from .upsert import upsert
 
 RANKED = ("engagement_rate", "likes_rate", "comments_rate", "followers", "avg_likes")
 # Fixed value: the prototype's text.
@@ -46,3 +48,32 @@ def legacy_scoreboard(metrics: DataFrame) -> DataFrame:
 def followers_engagement(metrics: DataFrame) -> DataFrame:
     """Chart points; an account without followers is drawn at 1, for the logarithmic axis."""
     return metrics.select("analysis_id", "handle", F.when(F.col("followers") == 0, F.lit(1)).otherwise(F.col("followers")).cast("bigint").alias("followers"), (F.col("engagement_rate") * 100).alias("rate_pct"))
+
+
+def new_analyses(forms: DataFrame) -> DataFrame:
+    """A row for each form without a problem, which begins at once; fields are stored as they were entered."""
+    valid = forms.where(legacy_problem().isNull())
+    return valid.select(F.col("request_id").alias("analysis_id"), F.col("company").alias("company_name"), "industry", "region", F.lit("scraping").alias("status"))
+
+
+def new_accounts(forms: DataFrame) -> DataFrame:
+    """analysis_id, handle, role of these forms: the target as entered, then its competitors."""
+    valid = forms.where(legacy_problem().isNull())
+    target = F.array(F.struct(F.col("target").alias("handle"), F.lit("target").alias("role")))
+    rivals = F.transform(legacy_competitors(F.col("competitors")), lambda h: F.struct(h.alias("handle"), F.lit("competitor").alias("role")))
+    return valid.select(F.col("request_id").alias("analysis_id"), F.inline(F.concat(target, rivals)))
+
+
+def update_profiles(accounts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """accounts with followers, following and bio of the profiles (account_id and these three) that were scraped, nulls too;
+    accounts that don't exist aren't made."""
+    known = profiles.join(accounts.select("account_id"), "account_id", "left_semi")
+    return upsert(accounts, known.select("account_id", "followers", "following", "bio"), ["account_id"])
+
+
+def finish(analyses: DataFrame, reports: DataFrame, made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(analyses, reports) after reports were made: each is one more row, an earlier one of its analysis stays, and its
+    analysis is done."""
+    done = made.select("analysis_id").distinct().withColumn("__done", F.lit(True))
+    after = analyses.join(done, "analysis_id", "left").withColumn("status", F.when(F.col("__done"), "done").otherwise(F.col("status"))).drop("__done")
+    return after, reports.unionByName(made.select(*reports.columns))

@@ -541,13 +541,46 @@ def _agg16(d: Domain) -> DataFrame:
     return requests.all_valid(_handle_checks(d))
 
 
-@query("flt15_legacy_form", """with f as (select c_custkey as request_id, case when c_nationkey = 0 then '' else c_name end as company, case when c_nationkey = 1 then '' else c_mktsegment end as industry, ' ' as region, case when c_nationkey <> 2 then '@x' end as target, c_nationkey % 8 as n from customer)
-select request_id, case when n > 5 then 'Enter at most 5 competitors.' when company = '' or industry = '' or target is null or n = 0 then 'All fields are required.' end as error, n::int as n_competitors from f""")
+_FORMS = """f as (select c_custkey as request_id, case when c_nationkey = 0 then '' else c_name end as company, case when c_nationkey = 1 then '' else c_mktsegment end as industry, ' ' as region, case when c_nationkey <> 2 then '@x' end as target, c_nationkey % 8 as n from customer)"""
+
+
+@query("flt15_legacy_form", f"""with {_FORMS} select request_id, case when n > 5 then 'Enter at most 5 competitors.' when company = '' or industry = '' or target is null or n = 0 then 'All fields are required.' end as error, n::int as n_competitors from f""")
 def _flt15(d: Domain) -> DataFrame:
+    return _forms(d).select("request_id", requests.legacy_problem().alias("error"), F.size(requests.legacy_competitors(F.col("competitors"))).alias("n_competitors"))
+
+
+def _forms(d: Domain) -> DataFrame:
     k = F.col("c_nationkey")
     lines = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < k % 8, F.concat(F.lit(" @@rival"), i.cast("string"))).otherwise(F.lit("  ")))
-    form = d.table("customer").select(F.col("c_custkey").alias("request_id"), F.when(k != 0, F.col("c_name")).otherwise("").alias("company"), F.when(k != 1, F.col("c_mktsegment")).otherwise("").alias("industry"), F.lit(" ").alias("region"), F.when(k != 2, "@x").alias("target"), F.array_join(lines, "\n").alias("competitors"))
-    return form.select("request_id", requests.legacy_problem().alias("error"), F.size(requests.legacy_competitors(F.col("competitors"))).alias("n_competitors"))
+    return d.table("customer").select(F.col("c_custkey").alias("request_id"), F.when(k != 0, F.col("c_name")).otherwise("").alias("company"), F.when(k != 1, F.col("c_mktsegment")).otherwise("").alias("industry"), F.lit(" ").alias("region"), F.when(k != 2, "@x").alias("target"), F.array_join(lines, "\n").alias("competitors"))
+
+
+_FORMED = f"with {_FORMS}, valid as (select * from f where n between 1 and 5 and company <> '' and industry <> '' and target is not null)"
+
+
+@query("snk15_legacy_accounts", f"{_FORMED} select request_id as analysis_id, case when i = 0 then target else 'rival' || (i - 1) end as handle, case when i = 0 then 'target' else 'competitor' end as role from valid, (select unnest(range(0, 6)) as i) where i <= n")
+def _legacy_accounts(d: Domain) -> DataFrame:
+    return legacy.new_accounts(_forms(d))
+
+
+@query("snk15_legacy_profiles", "select s_suppkey as account_id, s_name as handle, case when c_custkey is not null then case when c_nationkey > 5 then floor(c_acctbal)::bigint end else -1 end as followers, case when c_custkey is not null then c_nationkey::bigint else -1 end as following, case when c_custkey is not null then c_mktsegment else 'old' end as bio from supplier left join customer on c_custkey = s_suppkey and c_custkey % 2 = 0")
+def _legacy_profiles(d: Domain) -> DataFrame:
+    accounts = d.table("supplier").select(F.col("s_suppkey").alias("account_id"), F.col("s_name").alias("handle"), F.lit(-1).cast("long").alias("followers"), F.lit(-1).cast("long").alias("following"), F.lit("old").alias("bio"))
+    scraped = d.table("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("account_id"), F.when(F.col("c_nationkey") > 5, F.floor("c_acctbal").cast("long")).alias("followers"), F.col("c_nationkey").cast("long").alias("following"), F.col("c_mktsegment").alias("bio"))
+    return legacy.update_profiles(accounts, scraped)
+
+
+@query("snk15_legacy_reports", f"{_FORMED}, made as (select request_id as analysis_id, i from valid, (select unnest([1, 2]) as i) where request_id % 2 = 0 and (i = 1 or request_id % 4 = 0)) select v.request_id as analysis_id, case when count(i) > 0 then 'done' else 'scraping' end as status, count(i) as reports, coalesce(string_agg('out/' || v.request_id || '-' || i || '.pdf', ',' order by i), '') as paths from valid v left join made on analysis_id = request_id group by 1")
+def _legacy_reports(d: Domain) -> DataFrame:
+    """A first report of every second analysis, then another one of every fourth."""
+    analyses = legacy.new_analyses(_forms(d))
+    reports = analyses.where("false").select("analysis_id", F.lit("").alias("swot"), F.lit("").alias("pdf_path"))
+    for i in (1, 2):
+        path = F.concat(F.lit("out/"), F.col("analysis_id").cast("string"), F.lit(f"-{i}.pdf"))
+        made = analyses.where(F.col("analysis_id") % (2 * i) == 0).select("analysis_id", F.to_json(F.struct(F.array(F.lit("x")).alias("strengths"))).alias("swot"), path.alias("pdf_path"))
+        analyses, reports = legacy.finish(analyses, reports, made)
+    listed = reports.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("reports"), F.array_join(F.array_sort(F.collect_list("pdf_path")), ",").alias("paths"))
+    return analyses.join(listed, "analysis_id", "left").select("analysis_id", "status", F.coalesce("reports", F.lit(0)).alias("reports"), F.coalesce("paths", F.lit("")).alias("paths"))
 
 
 # ------------------------------------------------------------------ upserts
