@@ -96,16 +96,26 @@ ADVICE = ("keep_doing", "urgent", "mid_term", "long_term")
 
 def swot(metrics: DataFrame) -> DataFrame:
     """Earlier prototype: four lists of two about the target of each platform, and four of recommendations, each of which
-    names its metric."""
-    target = metrics.where("role = 'target'")
+    names its metric.  Opportunities and threats name the competitor that is ahead of the target, if one is."""
+    most = lambda c, who: (F.max_by("handle", F.struct(c, "handle")).alias(who), F.max(c).alias(f"{who}_most"))
+    rivals = metrics.where("role = 'competitor'").groupBy(*GROUP).agg(*most("followers", "big"), *most("posts_per_week", "busy"), *most("engagement_rate", "close"))
+    target = metrics.where("role = 'target'").join(rivals, list(GROUP), "left")
+    ahead = lambda who, c, text, none: F.when(F.col(f"{who}_most") > F.col(c), text).otherwise(F.lit(none))
+    percent = number_text(F.floor(F.col("close_most") * 10000 + 0.5) / 100)
     word = lambda c, hi, lo: F.when(F.col(c) >= 50, F.lit(hi)).otherwise(F.lit(lo))
     p = lambda c: F.col(c).cast("string")
     return target.select(
         *GROUP, "handle",
         F.array(_say("Engagement percentile ", p("engagement_rate_percentile")), _say("Likes percentile ", p("avg_likes_percentile"))).alias("strengths"),
         F.array(_say("Audience percentile ", p("followers_percentile")), word("followers_percentile", "Reach is not the limit", "Reach is below the median")).alias("weaknesses"),
-        F.array(F.lit("Test collaborations"), F.lit("Test the leading format")).alias("opportunities"),
-        F.array(F.lit("Competitors with larger audiences"), F.lit("Competitors with a higher cadence")).alias("threats"),
+        F.array(
+            ahead("close", "engagement_rate", _say("Learn from ", F.col("close"), ", which engages ", percent, "% of its followers"), "Build on the highest engagement rate of the platform"),
+            ahead("busy", "posts_per_week", _say("Raise the cadence towards ", number_text(F.col("busy_most")), " posts a week"), "Keep the highest cadence and test other formats"),
+        ).alias("opportunities"),
+        F.array(
+            ahead("big", "followers", _say(F.col("big"), " has a larger audience: ", F.format_number("big_most", 0), " followers"), "No competitor has a larger audience"),
+            ahead("busy", "posts_per_week", _say(F.col("busy"), " posts more often: ", number_text(F.col("busy_most")), " a week"), "No competitor posts more often"),
+        ).alias("threats"),
         F.array(_say("Hold the engagement rate at percentile ", p("engagement_rate_percentile")), _say("Hold average likes at ", number_text(F.col("avg_likes")))).alias("keep_doing"),
         F.array(word("engagement_rate_percentile", "Protect the engagement rate", "Raise the engagement rate"), word("avg_likes_percentile", "Protect average likes", "Raise average likes")).alias("urgent"),
         F.array(_say("Test a cadence above ", number_text(F.col("posts_per_week")), " posts per week"), F.lit("Test collaborations against the baseline engagement")).alias("mid_term"),

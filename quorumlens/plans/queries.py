@@ -965,8 +965,14 @@ def _either(c: str, hi: str, lo: str) -> str:
 _SWOT = [
     ("strengths", ["'Engagement percentile ' || engagement_rate_percentile", "'Likes percentile ' || avg_likes_percentile"]),
     ("weaknesses", ["'Audience percentile ' || followers_percentile", _either("followers_percentile", "Reach is not the limit", "Reach is below the median")]),
-    ("opportunities", ["'Test collaborations'", "'Test the leading format'"]),
-    ("threats", ["'Competitors with larger audiences'", "'Competitors with a higher cadence'"]),
+    ("opportunities", [
+        f"case when close_most > engagement_rate then 'Learn from ' || close || ', which engages ' || {num('(floor(close_most * 10000 + 0.5) / 100)')} || '% of its followers' else 'Build on the highest engagement rate of the platform' end",
+        f"case when busy_most > posts_per_week then 'Raise the cadence towards ' || {num('busy_most')} || ' posts a week' else 'Keep the highest cadence and test other formats' end",
+    ]),
+    ("threats", [
+        "case when big_most > followers then big || ' has a larger audience: ' || format('{:,}', big_most) || ' followers' else 'No competitor has a larger audience' end",
+        f"case when busy_most > posts_per_week then busy || ' posts more often: ' || {num('busy_most')} || ' a week' else 'No competitor posts more often' end",
+    ]),
     ("keep_doing", ["'Hold the engagement rate at percentile ' || engagement_rate_percentile", f"'Hold average likes at ' || {num('avg_likes')}"]),
     ("urgent", [_either("engagement_rate_percentile", "Protect the engagement rate", "Raise the engagement rate"), _either("avg_likes_percentile", "Protect average likes", "Raise average likes")]),
     ("mid_term", [f"'Test a cadence above ' || {num('posts_per_week')} || ' posts per week'", "'Test collaborations against the baseline engagement'"]),
@@ -974,7 +980,7 @@ _SWOT = [
 ]
 
 
-@query("udf5_legacy_swot", f"{having('accounts', 'posts')},\n{_METRICS}, s as (select * from metrics where role = 'target') {_sentences(*_SWOT)}")
+@query("udf5_legacy_swot", f"{having('accounts', 'posts')},\n{_METRICS}, rivals as (select analysis_id, platform, arg_max(handle, (followers, handle)) as big, max(followers) as big_most, arg_max(handle, (posts_per_week, handle)) as busy, max(posts_per_week) as busy_most, arg_max(handle, (engagement_rate, handle)) as close, max(engagement_rate) as close_most from metrics where role = 'competitor' group by 1, 2), s as (select * from metrics left join rivals using (analysis_id, platform) where role = 'target') {_sentences(*_SWOT)}")
 def _udf5(d: Domain) -> DataFrame:
     return synthesis.ranked(synthesis.swot(metrics.account_metrics(d.accounts, d.posts)), (*synthesis.SWOT, *synthesis.ADVICE))
 
