@@ -74,7 +74,12 @@ def stored_insights(existing: DataFrame, insights: DataFrame) -> DataFrame:
 def customer_report(insights: DataFrame) -> DataFrame:
     """Each analysis' customer report, from its row `all`."""
     row = insights.where("platform = 'all'")
-    phase = lambda day, i: F.struct(F.array(_say(f"By day {day}: ", F.get("recommendations", F.lit(i)))).alias("actions"), F.array(F.lit("The named metric has moved as hoped.")).alias("success_metrics")).alias(f"day{day}")
+
+    def phase(day: int, i: int) -> Column:
+        """The i-th recommendation, and what it says that success is."""
+        advice = F.get("recommendations", F.lit(i))
+        return F.struct(F.array(_say(f"By day {day}: ", advice)).alias("actions"), F.array(F.regexp_extract(advice, r"success is (.*)\.$", 1)).alias("success_metrics")).alias(f"day{day}")
+
     return row.select(
         "analysis_id", F.slice("data_observations", 1, 3).alias("key_findings"), F.slice("explanations", 1, 5).alias("working_content_patterns"), F.slice("data_observations", 2, 3).alias("competitive_gaps"),
         F.slice("recommendations", 1, 5).alias("experiments"), F.struct(phase(30, 0), phase(60, 1), phase(90, 2)).alias("plan"),

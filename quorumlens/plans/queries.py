@@ -953,7 +953,7 @@ o as ({_ALL.format("data_observations", 6)}), e as ({_ALL.format("explanations",
 select analysis_id, 'key_findings' as bucket, position, sentence from o where position < 3 union all select analysis_id, 'working_content_patterns', position, sentence from e
 union all select analysis_id, 'competitive_gaps', position - 1, sentence from o where position between 1 and 3 union all select analysis_id, 'experiments', position, sentence from t where position < 5
 union all select analysis_id, 'day' || ((position + 1) * 30) || '_actions', 0, 'By day ' || ((position + 1) * 30) || ': ' || sentence from t where position < 3
-union all select analysis_id, 'day' || ((position + 1) * 30) || '_success_metrics', 0, 'The named metric has moved as hoped.' from t where position < 3""")
+union all select analysis_id, 'day' || ((position + 1) * 30) || '_success_metrics', 0, regexp_extract(sentence, 'success is (.*)[.]$', 1) from t where position < 3""")
 def _udf4(d: Domain) -> DataFrame:
     return synthesis.report_lines(synthesis.customer_report(synthesis.with_all(_insights(d))))
 
