@@ -113,7 +113,9 @@ def scan(documents: DataFrame, catalogue: list[tuple[str, str]] = CATALOGUE, thr
         found = rows.select("doc_id", "version", F.explode("hits").alias("x")).join(bands, F.col("x.key") == F.col("key"))
         found = found.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), "x", "license").distinct()
         hit = rows.select("doc_id", "version", "h").join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version")))
-    hit = hit.join(notices, "license")
+    # notices have fewer shingles than characters; hits of a frequent one aren't gathered in a task while these are few
+    small = sum(len(notice or "") for _, notice in catalogue) <= 8 * BROADCAST
+    hit = hit.join(F.broadcast(notices) if small else notices, "license")
     n = F.size("t")
     start = F.greatest(F.lit(0), F.col("x.at") - n)
     near = F.when(F.col("x.at") < 0, F.array("x.key")).otherwise(F.slice("h", start + 1, F.col("x.at") - start + WIDE + n))
