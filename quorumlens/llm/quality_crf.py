@@ -38,6 +38,8 @@ from .common import sample_texts, smallest_hashes, with_python
 GOOD, BAD, MAX_CHARS, MAX_BYTES = 3_000, 2_000, 20_000, 48_000_000
 ROUNDS, STEPS, RATE, PENALTY = 3, 40, 0.1, 1e-3
 THRESHOLD = 0.7
+#: Texts of the sample whose words are held at once.
+PART = 100
 #: Kinds of bytes whose share of a line is counted.
 KINDS = (b"#*$%&|<>=_~^@\\/{}[]+", b"!?", b".,;:", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", bytes(range(128, 256)), bytes(range(32)))
 BASE = len(KINDS) + 9
@@ -176,7 +178,11 @@ def fit(texts: list[str | None], labels: list[int]) -> Field:
     if len(set(labels)) < 2:
         none = np.zeros(width)
         return Field(none, none + 1, none, np.zeros(4), (1.0, 0.0), float(quality.mean()) if len(labels) else 1.0)
-    x, size, doc = features(texts)
+    # a part at a time: words are several times as large as what is made of them
+    parts = [features(texts[i : i + PART]) for i in range(0, len(texts), PART)]
+    x, size = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    doc = np.concatenate([p[2] + i * PART for i, p in enumerate(parts)])
+    del parts
     middle, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     middle[-3], scale[-3] = 0, 1  # the constant
     x = (x - middle) / scale
