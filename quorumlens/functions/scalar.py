@@ -46,7 +46,7 @@ def legacy_handle(s: Column) -> Column:
 
 def blank(s: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(js_trim(s) == "", F.lit(True))
+    return F.coalesce(~s.rlike(f"[^{SPACE[1:]}"), F.lit(True))
 
 
 def monday(ts: Column) -> Column:

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import COMPETITORS, LEGACY_COMPETITORS, PLATFORMS, WINDOW_DAYS, blank, first_rule, js_trim, strip_handle
+from ..functions.scalar import COMPETITORS, LEGACY_COMPETITORS, PLATFORMS, WINDOW_DAYS, blank, evaluated, first_rule, js_trim, strip_handle
 
 #: platforms array, handles by platform, and competitors with a name and handles by platform
 REQUEST = "companyName string, industry string, region string, platforms array<string>, targetHandles map<string,string>, competitors array<struct<name:string, handles:map<string,string>>>"
 
 
 def parse(requests: DataFrame, body: str = "body") -> DataFrame:
-    """request_id and the typed fields of a JSON body."""
-    return requests.select("request_id", F.from_json(body, REQUEST).alias("r")).select("request_id", "r.*")
+    """request_id and the typed fields of a JSON body, which is parsed once, however many rules look at them."""
+    return requests.select("request_id", evaluated(F.from_json(body, REQUEST)).alias("r")).select("request_id", "r.*")
 
 
 def problem(allowed: tuple[str, ...] = PLATFORMS, competitors: int = COMPETITORS) -> Column:
