@@ -15,6 +15,10 @@ class Domain:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows cost much more than their bytes, dealt out to all cores: a small file would be one task."""
+        return self.table(name).repartition(self.spark.sparkContext.defaultParallelism)
+
     @property
     def accounts(self) -> DataFrame:
         analysis = F.col("s_suppkey") % 7

@@ -496,7 +496,7 @@ def _requests(d: Domain) -> DataFrame:
     rival = lambda i: F.struct(F.when((k == 6) & F.lit(i == 2), F.lit("")).otherwise(F.concat(F.lit(f"rival{i} "), name)).alias("name"), F.create_map(F.lit("instagram"), F.lit(f"@r{i}"), F.lit("tiktok"), F.lit(f"t{i}")).alias("handles"))
     rivals = F.when(k == 4, F.array(rival(1))).otherwise(F.array(rival(1), rival(2), rival(3)))
     body = F.to_json(F.struct(F.when(k != 0, name).alias("companyName"), F.col("c_mktsegment").alias("industry"), F.lit(" EU ").alias("region"), platforms.alias("platforms"), handles.alias("targetHandles"), rivals.alias("competitors")))
-    return requests.parse(d.table("customer").select(F.col("c_custkey").alias("request_id"), body.alias("body")))
+    return requests.parse(d.spread("customer").select(F.col("c_custkey").alias("request_id"), body.alias("body")))
 
 
 @query("flt14_request_validation", "select c_custkey as request_id, case c_nationkey when 0 then 'Company name, industry, and region are required.' when 1 then 'Select at least one platform.' when 2 then 'Invalid platform selected.' when 4 then 'Exactly 3 competitors are required.' when 5 then 'Missing target handle.' when 6 then 'Missing competitor name/handle.' end as error from customer")
