@@ -165,14 +165,14 @@ def _streaming(d: Domain) -> DataFrame:
 
 
 def _fed(d: Domain, batches: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a stream makes of these batches, one after the other."""
+    """What a stream makes of these batches, one after the other: it is stopped after each and goes on from its checkpoint."""
     folder = scratch(d.spark)
-    for batch in batches:
-        batch.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     states.use(d.spark)
-    out = make(d.spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
-    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{folder}/in")
+        out = make(d.spark.readStream.schema(batches[0].schema).parquet(f"{folder}/in"))
+        writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return d.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
