@@ -8,13 +8,17 @@ The new contents are written beside the table first and put in place from there,
 replaces buckets loses nothing: the next merge, or recover(), puts them in place again.  Putting in place twice is doing it
 once, as is merging a batch twice.  One writer at a time; readers see some buckets before others while a merge goes on.
 
-A bucket is one file.  Choose their number so that one bucket fits a task, it can't be changed later: total size / 256 MB.
+A bucket is one file.  Choose their number so that one bucket fits a task, it can't be changed later: buckets_for() gives it
+from the rows that are expected.  A merge's joins have as many partitions as it has buckets at least, and a bucket is a
+partition of what is written, so that a task's share doesn't grow with the table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +26,29 @@ from pyspark.sql import types as T
 from .upsert import upsert
 
 BUCKET = "__bucket"
+#: Rows a bucket.
+ROWS = 200_000
+PARTITIONS = "spark.sql.shuffle.partitions"
 #: The folder of new contents; readers pass over names that begin so.
 MERGE = "_merge"
 
 
+def buckets_for(rows: int, least: int = 8) -> int:
+    """A number of buckets for so many rows."""
+    return max(least, -(-rows // ROWS))
+
+
+@contextmanager
+def partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """Shuffles that are planned and run in here have so many partitions at least."""
+    before = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(PARTITIONS, before)
+
+
 class Buckets:
     """The table at path, with columns of schema, unique on keys."""
 
@@ -57,8 +80,12 @@ class Buckets:
     def merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> list[int]:
         """Merge a batch that is unique on the keys; the buckets written.  combine(existing, new): the next rows, by default
         an upsert; it may change and add rows of the keys it is given, and leave none out."""
+        with partitions(self.spark, self.number):
+            return self._merge(batch, combine)
+
+    def _merge(self, batch: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame] | None) -> list[int]:
         self.recover()
-        batch = self.dealt(batch).persist()
+        batch = self.dealt(batch).persist(StorageLevel.DISK_ONLY)
         try:
             touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())
             if not touched:
@@ -67,7 +94,7 @@ class Buckets:
             have = self.existing(touched).drop(BUCKET) if self._exists() else self.spark.createDataFrame([], self.schema)
             out = combine(have, new) if combine else upsert(have, new, self.keys)
             out = self.dealt(out.select(*[F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.schema.names]))
-            out.repartition(len(touched), BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{MERGE}")
+            out.repartitionById(self.number, BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{MERGE}")
         finally:
             batch.unpersist()
         self.recover()
@@ -87,5 +114,4 @@ class Buckets:
 
     def _put_in_place(self) -> None:
         rows = self._read(f"{self.path}/{MERGE}")
-        rows = rows.repartition(self.number, BUCKET) if rows.rdd.getNumPartitions() > 1 else rows
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+        rows.repartitionById(self.number, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from ..operators import classify, constraints, growth, legacy, lifecycle, metrics, readmodels, requests, synthesis, upsert
-from ..operators.buckets import Buckets
+from ..operators.buckets import Buckets, buckets_for
 from ..sources import raw, records
 from ..streaming import states, weekly
 from .binding import Domain, having
@@ -397,9 +397,9 @@ where url <> '' and l_shipdate >= timestamp '2001-08-06'"""
 
 def _record_folder(d: Domain, since: str) -> str:
     """A folder of the posts of all platforms from that day on, as scrapers leave them."""
-    folder = scratch(d.spark)
+    folder, bundles = scratch(d.spark), buckets_for(d.posts.count())
     for platform, make in (("instagram", _posts_a), ("linkedin", _posts_c), ("tiktok", _posts_b)):
-        records.write(raw.newer(make(d), since).select(F.lit(platform).alias("platform"), "handle", F.to_date("day").alias("day"), "item"), folder, "posts")
+        records.write(raw.newer(make(d), since).select(F.lit(platform).alias("platform"), "handle", F.to_date("day").alias("day"), "item"), folder, "posts", bundles)
     return folder
 
 
@@ -407,7 +407,7 @@ def _record_folder(d: Domain, since: str) -> str:
 def _record_source(d: Domain) -> DataFrame:
     """Written from a month before the window, so that the date which reaches the source drops lines."""
     folder = _record_folder(d, "2001-07-06 00:00:00")
-    parts = {p: records.read(d.spark, folder, since="2001-08-06", platform=p, per_partition=16).drop("platform") for p in ("instagram", "linkedin", "tiktok")}
+    parts = {p: records.read(d.spark, folder, since="2001-08-06", platform=p).drop("platform") for p in ("instagram", "linkedin", "tiktok")}
     posts = raw.accepted(raw.normalise(parts, "posts"), "2001-08-06 00:00:00", limit=None)
     return posts.select("platform", "handle", "post_url", "likes", F.col("posted_at").cast("timestamp_ntz").alias("posted_at"))
 
@@ -615,7 +615,7 @@ def _snk6_buckets(d: Domain) -> DataFrame:
     """The same by buckets: a first batch makes the table, a second one is merged, twice."""
     stored, fresh = _batches(d)
     columns, keys = ["account_id", "post_url", "likes", "shares", "scraped_at"], ["account_id", "post_url"]
-    table = Buckets(d.spark, scratch(d.spark), stored.select(*columns).schema, keys, 8)
+    table = Buckets(d.spark, scratch(d.spark), stored.select(*columns).schema, keys, buckets_for(d.posts.count()))
     table.merge(stored.select(*columns))
     for _ in range(2):
         table.merge(fresh.select(*columns), lambda have, new: upsert.upsert(have, new, keys, keep=["scraped_at"]))

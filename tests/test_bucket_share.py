@@ -1,0 +1,25 @@
+"""A bucket's share and a merge's partitions stay as they are when a table grows."""
+
+from quorumlens.operators.buckets import BUCKET, PARTITIONS, ROWS, Buckets, buckets_for, partitions
+
+
+def test_buckets_grow_with_rows():
+    assert buckets_for(0) == buckets_for(8 * ROWS) == 8 and buckets_for(80 * ROWS + 1) == 81
+
+
+def test_a_merge_has_as_many_partitions_as_buckets(spark, tmp_path):
+    table = Buckets(spark, str(tmp_path / "t"), spark.createDataFrame([], "k long, n int").schema, ["k"], 40)
+    before, seen = spark.conf.get(PARTITIONS), []
+
+    def combine(have, new):
+        seen.append(spark.conf.get(PARTITIONS))
+        return have.unionByName(new)
+
+    table.merge(spark.range(400).selectExpr("id as k", "1 as n"), combine)
+    assert seen == ["40"] and spark.conf.get(PARTITIONS) == before
+    with partitions(spark, 1):
+        assert spark.conf.get(PARTITIONS) == before
+    files = list((tmp_path / "t").rglob("*.parquet"))
+    # each bucket is a partition of its own: the tasks' numbers in the files' names are all different
+    assert len(files) == len({f.name.split("-")[1] for f in files}) == table.dealt(table.read()).select(BUCKET).distinct().count()
+    assert table.read().count() == 400
