@@ -5,11 +5,15 @@ of one JSON object a line: {"day": ..., "item": ...}, the day only for posts.  W
 date is so answered by listing and by reading lines: filters on platform and handle choose folders, a filter on day skips a
 line before anything else is done with it.  The record itself stays text; sources.raw gives it types.
 
+Where handles are many, folders of single ones are too: in place of handle=..., a folder handles=K-N holds all handles whose
+CRC-32 is K modulo N, and its lines name theirs: {"handle": ..., "day": ..., "item": ...}.  A filter on handle still chooses
+folders, then lines.  Both forms may stand side by side.
+
 Spark 4.1 keeps one set of pushed filters for each load(): a frame of this format that one query filters in two ways gets
 the second way's rows for both.  read() is the safe entry: its conditions reach the source, those put on its result don't,
 and each call is a load of its own.
 
-Options: path, kind; handles, the number of (platform, handle) folders that one partition reads (1 if not set); for
+Options: path, kind; handles, the number of lowest folders that one partition reads (1 if not set); for
 streams settle, the seconds for which a file must not have changed before it is read (1).
 
 A stream's offset is the time of the newest file read.  Files are read whole and once, so they have to be moved into their
@@ -22,6 +26,7 @@ from __future__ import annotations
 import io
 import json
 import time
+import zlib
 from collections.abc import Iterator, Sequence
 from datetime import date, datetime
 from urllib.parse import unquote
@@ -49,9 +54,9 @@ def _store(path: str):
 
 
 class _Folder(InputPartition):
-    """Files of some handles: (platform, handle, path)."""
+    """Files of some handles: (platform, handle, path); handle is None where lines name it."""
 
-    def __init__(self, files: Sequence[tuple[str, str, str]]):
+    def __init__(self, files: Sequence[tuple[str, str | None, str]]):
         super().__init__(None)
         self.files = tuple(files)
 
@@ -66,24 +71,34 @@ class _Files:
         self.chosen: dict[str, set[str]] = {}
 
     def listed(self) -> list[tuple[int, str, str, str]]:
-        """(time, platform, handle, path) of the files of the folders that were asked for."""
+        """(time, platform, lowest folder, path) of the files of the folders that were asked for."""
         from pyarrow import fs
 
         store, root = _store(self.path)
         found = []
         for info in store.get_file_info(fs.FileSelector(f"{root}/kind={self.kind}", allow_not_found=True, recursive=True)):
             parts = info.path.rsplit("/", 3)
-            if not info.is_file or info.base_name.startswith(("_", ".")) or not (parts[1].startswith("platform=") and parts[2].startswith("handle=")):
+            if not info.is_file or info.base_name.startswith(("_", ".")) or not (parts[1].startswith("platform=") and parts[2].startswith(("handle=", "handles="))):
                 continue
-            platform, handle = unquote(parts[1][9:]), unquote(parts[2][7:])
-            if all(value in self.chosen.get(name, {value}) for name, value in (("platform", platform), ("handle", handle))):
-                found.append((info.mtime_ns, platform, handle, info.path))
+            platform = unquote(parts[1][9:])
+            if platform in self.chosen.get("platform", {platform}) and self.may_hold(parts[2]):
+                found.append((info.mtime_ns, platform, parts[2], info.path))
         return sorted(found)
 
+    def may_hold(self, folder: str) -> bool:
+        """Whether rows of the handles that were asked for may be in a lowest folder."""
+        asked = self.chosen.get("handle")
+        if asked is None:
+            return True
+        if folder.startswith("handle="):
+            return unquote(folder[7:]) in asked
+        own, number = map(int, folder[8:].split("-"))
+        return any(h is not None and _bundle(h, number) == own for h in asked)
+
     def folders(self, files: list[tuple[int, str, str, str]]) -> list[_Folder]:
         own: dict[tuple[str, str], list] = {}
-        for _, platform, handle, path in files:
-            own.setdefault((platform, handle), []).append((platform, handle, path))
+        for _, platform, folder, path in files:
+            own.setdefault((platform, folder), []).append((platform, unquote(folder[7:]) if folder.startswith("handle=") else None, path))
         groups = [own[k] for k in sorted(own)]
         # Spark wants one partition at least
         return [_Folder(sum(groups[i : i + self.per_partition], [])) for i in range(0, max(1, len(groups)), self.per_partition)]
@@ -98,13 +113,17 @@ class _Files:
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-        for platform, handle, path in partition.files:
+        asked = self.chosen.get("handle")
+        for platform, folder, path in partition.files:
             with store.open_input_stream(path) as stream:
                 for line in io.TextIOWrapper(stream, "utf-8", "replace", newline="\n"):
                     line = line.rstrip("\r\n")
                     if not line:
                         continue
-                    day, item = _split(line)
+                    day, item, named = _split(line)
+                    handle = named if folder is None else folder
+                    if asked is not None and handle not in asked:
+                        continue
                     if self.since is not None and (day is None or day < self.since):
                         continue
                     rows.append((platform, handle, day, item) if dated else (platform, handle, item))
@@ -115,17 +134,23 @@ class _Files:
             yield batch()
 
 
-def _split(line: str) -> tuple[date | None, str | None]:
+def _bundle(handle: str, number: int) -> int:
+    return zlib.crc32(handle.encode("utf-8", "surrogatepass")) % number
+
+
+def _split(line: str) -> tuple[date | None, str | None, str | None]:
+    """Day, item and handle of a line."""
     try:
         entry = json.loads(line)
         item = entry["item"]
     except (ValueError, KeyError, TypeError):
-        return None, line
+        return None, line, None
     try:
         day = date.fromisoformat(str(entry.get("day"))[:10])
     except ValueError:
         day = None
-    return day, item if item is None or isinstance(item, str) else json.dumps(item, ensure_ascii=False)
+    named = entry.get("handle")
+    return day, item if item is None or isinstance(item, str) else json.dumps(item, ensure_ascii=False), named if named is None else str(named)
 
 
 class _Reader(_Files, DataSourceReader):
@@ -200,8 +225,12 @@ def read(spark: SparkSession, path: str, kind: str = "posts", since=None, platfo
     return rows.withColumn("item", evaluated(F.col("item")))
 
 
-def write(rows: DataFrame, path: str, kind: str) -> None:
-    """Append rows (platform, handle, item, for posts day) to a folder of records, one file a handle and task."""
-    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in ("day", "item") if c in rows.columns]), {"ignoreNullFields": "false"})
-    rows = rows.select("platform", F.col("handle").cast("string").alias("handle"), line.alias("value"))
-    rows.repartition("platform", "handle").write.mode("append").partitionBy("platform", "handle").text(f"{path.rstrip('/')}/kind={kind}")
+def write(rows: DataFrame, path: str, kind: str, bundles: int | None = None) -> None:
+    """Append rows (platform, handle, item, for posts day) to a folder of records, one file a handle and task; with bundles,
+    one file for each of so many sets of handles."""
+    own = [c for c in (*(["handle"] if bundles else []), "day", "item") if c in rows.columns]
+    line = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in own]), {"ignoreNullFields": "false"}).alias("value")
+    handle = F.col("handle").cast("string")
+    folder = F.concat_ws("-", F.coalesce(F.crc32(handle) % bundles, F.lit(0)).cast("string"), F.lit(str(bundles))).alias("handles") if bundles else handle.alias("handle")
+    lowest = "handles" if bundles else "handle"
+    rows.select("platform", folder, line).repartition("platform", lowest).write.mode("append").partitionBy("platform", lowest).text(f"{path.rstrip('/')}/kind={kind}")
