@@ -1,5 +1,6 @@
-"""Corpus pipeline: five stages over documents by the operators in quorumlens.llm.  The third links texts by their word sets
-(near_copies), as fingerprints of 64 bits can't tell a similarity of 0.8, and then components as op3 does.
+"""Corpus pipeline: five stages over documents by the operators in quorumlens.llm.  The third links texts by op3's
+fingerprints and multi-index hashing, each link checked on the word sets; as fingerprints of 64 bits can't tell a similarity
+of 0.8, MinHash bands add the links that these miss (near_copies), and components are those of op3.
 
 A stage reads all that the one before it kept, which is written; it begins by releasing the tables that earlier stages
 held in memory.  Rows may repeat and any column may be null; an empty table stays empty with its columns."""

@@ -1,10 +1,11 @@
-"""Documents of similar texts: Jaccard similarity of five-word shingles, found by MinHash bands and checked exactly.
+"""Documents of similar texts: Jaccard similarity of five-word shingles, found by SimHash and MinHash bands, checked exactly.
 
 Two texts are linked if the sets of their shingles (XXH64, seed 42, of five words each, A-Z lower-cased; a shorter text
 is one shingle) have a Jaccard similarity of 0.8 or more.  Fingerprints of 64 bits can't find these: at 0.8 two SimHashes
-differ in 10 bits on average and in 18 now and then, which one of 3,000 pairs of unrelated texts does too.  Candidates
-are therefore pairs that share one of BANDS bands of ROWS MinHashes: at 0.8 all but 3 in 100,000 do, above it fewer are
-missed.  Every link is verified on the whole sets.  Before sets move, pairs are screened by PARITY bits a set, each the
+differ in 10 bits on average and in 18 now and then, which one of 3,000 pairs of unrelated texts does too.  So the first
+candidates are op3's: pairs of fingerprints (of five-word shingles) within two bits, by multi-index hashing.  What these
+connect is one component from the first round on.  The others are pairs that share one of BANDS bands of ROWS MinHashes: at
+0.8 all but 3 in 100,000 do, above it fewer are missed.  Every link is verified on the whole sets.  Before sets move, pairs are screened by PARITY bits a set, each the
 parity of the number of shingles that fall on it: two sets differ in at least as many shingles as these differ in bits,
 so what is screened out can't be a link.
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import broadcast_few, drop_stored, kept, stored, stored_few, tasks, text_of, with_python
-from .simhash import components, shingle_hashes, survivors
+from .simhash import components, links, majority, shingle_hashes, survivors
 
 SHINGLE, BANDS, ROWS, PARITY = 5, 20, 4, 512
 #: Pairs a node, up to which all that are still apart are compared at once, as they are when a round connects too few
@@ -43,6 +44,12 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, SHINGLE))
 
 
+def _set_and_print(text: str | None) -> tuple[np.ndarray, int]:
+    """shingle_set(text), and the fingerprint of the shingles with repeats."""
+    hashes = shingle_hashes(text, SHINGLE)
+    return np.unique(hashes), majority(hashes)
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A key of each band; an empty set has none."""
     if not len(hashes):
@@ -63,20 +70,22 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def _rows(documents: DataFrame) -> DataFrame:
-    """(doc_id, version: hash of the text, node: hash of its set, n: size of it, bits: its parities, bands) of every row."""
+    """(doc_id, version: hash of the text, node: hash of its set, n: size of it, fp: fingerprint, bits: parities of the set, bands) of
+    every row."""
 
     def run(texts: list) -> list[pa.Array]:
-        sets = [shingle_set(t) for t in texts]
+        made = [_set_and_print(t) for t in texts]
+        sets, prints = [s for s, _ in made], np.array([p for _, p in made], np.uint64).view(np.int64)
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         keys = [bands(s) for s in sets]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         bits = pa.array(np.concatenate([np.zeros(0, np.int64), *map(parity, sets)]))
         bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (PARITY // 64)), bits)
-        return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), bits, pa.ListArray.from_arrays(pa.array(ends), flat)]
+        return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), bits, pa.ListArray.from_arrays(pa.array(ends), flat)]
 
     lists = T.ArrayType(T.LongType())
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bits", lists), T.StructField("bands", lists)]
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", lists), T.StructField("bands", lists)]
     rows = documents.select("doc_id", F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
     return with_python(rows, "text", run, fields, drop=("text",))
 
@@ -119,21 +128,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
     return firsts.join(seconds, "b").where(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
+def _printed(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(a, b), a < b, and their number: pairs of the nodes (node, fp) that connect all whose fingerprints are within two
+    bits, by op3's multi-index hashing.  Of a fingerprint the smallest node stands for all."""
+    prints, _ = _cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("c")))
+    close = links(prints.select("fp"))
+    one, two = (prints.select(F.col("fp").alias(x), F.col("first").alias(f"n{x}")) for x in "ab")
+    apart = close.join(one, "a").join(two, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    equal = nodes.select("fp", "node").join(prints.where("c > 1"), "fp").where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    out = _cut(apart.unionByName(equal))
+    close.unpersist()
+    return out
+
+
 def roots(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """(node, root) of the nodes that are linked to another; rows are _rows(documents)."""
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "version")).alias("at"))
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.min(F.struct("doc_id", "version")).alias("at"))
     nodes, _ = _cut(nodes)
     entries = nodes.repartition(tasks(nodes.sparkSession), "node").select("node", "n", F.explode("bands").alias("band"))
     met, _ = _cut(entries.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1))
     entries = entries.join(met, "band")
-    degree, total = _cut(entries.groupBy("node").agg(F.sum("m").alias("degree")))
+    degree, _ = _cut(entries.groupBy("node").agg(F.sum("m").alias("degree")))
     entries, _ = _cut(entries.join(degree, "node").select("node", "n", "band", "degree"))
-    marked, _ = _cut(nodes.join(degree, "node", "left_semi").select("node", "n", "bits", "at"))
+    printed, n_printed = _printed(nodes)
+    own = degree.select("node").unionByName(printed.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    marked, total = _cut(nodes.join(own, "node", "left_semi").select("node", "n", "bits", "at"))
     marks, places = marked.select("node", "n", "bits"), marked.select("node", "at.doc_id", "at.version")
     repeated = rows.groupBy("doc_id", "version").count().where("count > 1").limit(1).count() > 0
     sets = stored(_sets(documents, places, total, repeated), "sets")
     near = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
     edges, found, before = None, None, float("inf")
+    if n_printed:
+        edges, n_edges = _cut(_verified(printed, sets, marks))
+        found = components(edges) if n_edges else None
     for step in range(ROUNDS + 1):
         now = entries.withColumn("root", F.col("node"))
         if found is not None:
