@@ -166,13 +166,15 @@ def _streaming(d: Domain) -> DataFrame:
 
 def _fed(d: Domain, batches: list[DataFrame], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stream makes of these batches, one after the other: it is stopped after each and goes on from its checkpoint."""
-    folder = scratch(d.spark)
+    folder, partitions = scratch(d.spark), None
     states.use(d.spark)
     for batch in batches:
         batch.write.mode("append").parquet(f"{folder}/in")
+        # of the first batch, as a checkpoint keeps the number
+        partitions = partitions or states.partitions_for(d.spark.read.parquet(f"{folder}/in").count(), d.spark.sparkContext.defaultParallelism)
         out = make(d.spark.readStream.schema(batches[0].schema).parquet(f"{folder}/in"))
         writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out")
-        writer.trigger(availableNow=True).start().awaitTermination()
+        states.started(writer.trigger(availableNow=True), d.spark, partitions).awaitTermination()
     return d.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalar import STUCK_MINUTES
@@ -36,6 +37,8 @@ WEEK_MS = 7 * 86_400_000
 #: The first Monday after 1970 began, in milliseconds.
 MONDAY_MS = 4 * 86_400_000
 LANES = 1024
+#: Rows of a batch for which one partition of the state is enough; points that wait until they are joined to a lane's weeks.
+PARTITION_ROWS, WAITING_ROWS = 500_000, 100_000
 #: Later than any time, earlier than any ordinal.
 NEVER, FIRST = (1 << 63) - 1, -(1 << 63)
 
@@ -46,6 +49,24 @@ def use(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+def partitions_for(rows: int, cores: int) -> int:
+    """Partitions of the state for batches of so many rows.  Each costs a Python worker's start, a load and a commit in
+    every batch, with rows or without, so their number follows from the rows, not from what shuffles of tables need."""
+    return min(LANES, max(cores, -(-rows // PARTITION_ROWS)))
+
+
+def started(writer: DataStreamWriter, spark: SparkSession, partitions: int) -> StreamingQuery:
+    """Starts a query whose state has so many partitions, if it is new; a checkpoint keeps the number it began with.  The
+    session's own number holds again afterwards, as a stream has a copy of its settings."""
+    name = "spark.sql.shuffle.partitions"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, partitions)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, kept)
+
+
 def lane(key: str, lanes: int) -> Column:
     """The lane of a key; null has one of its own, so that no other key meets it."""
     return F.when(F.col(key).isNull(), F.lit(lanes)).otherwise(F.pmod(F.xxhash64(key), F.lit(lanes))).cast("int").alias("lane")
@@ -99,6 +120,7 @@ class _Weeks(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         weeks, timer = self.lane.load()
+        waiting, n = [], 0
         for points in rows:
             week = (points["us"] // 1000 - MONDAY_MS) // WEEK_MS * WEEK_MS + MONDAY_MS
             points = points[["account_id", "us", "ordinal", "followers"]].assign(week_ms=week)
@@ -107,10 +129,19 @@ class _Weeks(StatefulProcessor):
                 late = points[gone]
                 yield self._out(key[0], "late", late, watermark - late["us"] // 1000)
                 points = points[~gone]
-            # equal times and ordinals stay in order: the one that came last
-            every = (points if weeks is None else pd.concat([weeks, points])).sort_values(["us", "ordinal"], kind="stable")
-            weeks = every.drop_duplicates(["account_id", "week_ms"], keep="last")
-        self._save(weeks, timer)
+            waiting.append(points)
+            n += len(points)
+            # not with each chunk, as a lane's weeks would be sorted as often as it has chunks
+            if n > max(WAITING_ROWS, 0 if weeks is None else len(weeks)):
+                weeks, waiting, n = self._latest(weeks, waiting), [], 0
+        self._save(self._latest(weeks, waiting), timer)
+
+    @staticmethod
+    def _latest(weeks: pd.DataFrame | None, points: list[pd.DataFrame]) -> pd.DataFrame:
+        """The latest row of each week of an account; equal times and ordinals stay in order: the one that came last."""
+        every = pd.concat(points if weeks is None else [weeks, *points], ignore_index=True)
+        order = np.lexsort((every["ordinal"].to_numpy(), every["us"].to_numpy()))
+        return every.iloc[order].drop_duplicates(["account_id", "week_ms"], keep="last")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         weeks, timer = self.lane.load()
